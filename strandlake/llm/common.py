@@ -147,7 +147,7 @@ def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
 

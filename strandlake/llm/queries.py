@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import byte_bpe, token_counts
+from strandlake.llm import byte_bpe, compression_quality, mixing, tiff, token_counts, top_k, warc
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -43,3 +43,47 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), PIECE_MODEL, limit=4096)
+
+
+@register("op1_source_mix")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+@register("op2_compression_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = compression_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = compression_quality.score_texts(docs, model, threshold=0.3)
+    return out.select("doc_id", compression_quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@register("op3_top_k_search", TOP_K_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 50 == 0, k=5, scale=256.0)
+
+
+@register("op4_warc")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op5_tiff_media")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_media_features(documents(spark, sf_dir))
