@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -91,6 +92,17 @@ def window_hashes(h: np.ndarray, k: int, base: int) -> np.ndarray:
     return mix64(out[:n])
 
 
+def sliding_min(a: np.ndarray, k: int) -> np.ndarray:
+    """Least of each k consecutive entries, by doubling."""
+    n, out, w = len(a) - k + 1, a, 1
+    if n <= 0:
+        return a[:0]
+    while 2 * w <= k:
+        out = np.minimum(out[:-w], out[w:])
+        w *= 2
+    return np.minimum(out[:n], out[k - w : k - w + n])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -129,7 +141,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost nothing."""
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -141,6 +153,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of phases whose results have been written: they go when the driver collects its
+    garbage, which a driver with a roomy heap may put off for hours."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder; Spark removes the files once nothing refers to them."""
     shared_dir(spark)
@@ -152,5 +171,6 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
-def texts_of(col: pa.Array) -> list[str | None]:
-    return col.to_pylist()
+def two_longs(x: int) -> tuple[int, int]:
+    """128 bits as two signed longs."""
+    return tuple(v - (1 << 64) if v >> 63 else v for v in (x >> 64, x & (1 << 64) - 1))
