@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import byte_bpe, compression_quality, mixing, tiff, token_counts, top_k, warc
+from strandlake.llm import byte_bpe, compression_quality, mixing, substring_dedup, tiff, token_counts, top_k, warc
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_tiff_media")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media_features(documents(spark, sf_dir))
+
+
+@register("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_words(documents(spark, sf_dir), window=50)
