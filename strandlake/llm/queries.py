@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import byte_bpe, compression_quality, mixing, substring_dedup, tiff, token_counts, top_k, warc
+from strandlake.llm import byte_bpe, compression_quality, jaccard_join, mixing, substring_dedup, tiff, token_counts, top_k, warc
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_substring_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed_words(documents(spark, sf_dir), window=50)
+
+
+@register("op6_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir), n=3, percent=90)
