@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import n_words, remove, written
+from strandlake.llm.common import free, n_words, remove, written
 
 CHUNK = 1 << 14  # slots ranked together
 GOLDEN = 0.6180339887498949
@@ -90,16 +90,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sized, _ = written(spark, sizes(df, id_col, text_col, source_col), "mix-sizes")
     sources, _ = written(spark, targets(sized, share, most), "mix-sources")
     total = sources.agg(F.sum("target")).first()[0] or 0.0
-    blocks = taken_blocks(schedule(spark, sources, total, block), sources, block)
+    plan, plan_path = written(spark, schedule(spark, sources, total, block), "mix-schedule")
+    blocks, _ = written(spark, taken_blocks(plan, sources, block), "mix-blocks")
+    remove(spark, plan_path)
+    free(spark)
 
-    n_buckets = max(1, sized.count() // 20_000)
+    n_buckets = max(1, sized.count() // 2_000)
     same = F.col("d.source").eqNullSafe(F.col("s.source"))
     docs = sized.alias("d").join(sources.alias("s"), same).select("doc_id", "size", "key", "sid", "source_size", "target", F.pmod(F.shiftright("key", 8), F.lit(n_buckets)).alias("bucket"))
     filled = docs.filter("size > 0")
     sums = filled.groupBy("sid", "bucket").agg(F.sum("size").alias("sum"))
     base = sums.select("sid", "bucket", (F.sum("sum").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum")).alias("base"))
     inside = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = filled.withColumn("inside", inside).join(base, ["sid", "bucket"]).withColumn("at", F.col("base") + F.col("inside")).drop("key", "bucket", "base", "inside")
+    bases, _ = written(spark, base, "mix-buckets")
+    placed = filled.withColumn("inside", inside).join(bases, ["sid", "bucket"]).withColumn("at", F.col("base") + F.col("inside")).drop("key", "bucket", "base", "inside")
     pieces = placed.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     lo = F.greatest(F.col("at") - F.col("block") * block, F.lit(0))
     hi = F.least(F.col("at") + F.col("size") - F.col("block") * block, F.lit(block))
