@@ -144,15 +144,15 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: int, percent: int, rounds: int) -> DataFrame | None:
-    """node, label: components of classes (rep, c1, c2, node, keys); None where no two share a key. texts: rep, text."""
-    each = classes.select("node", F.explode("keys").alias("key"))
+    """node, label: components of classes (rep, c1, c2, node, n, keys); None where no two share a key. texts: rep, text."""
+    each = classes.select("node", "n", F.explode("keys").alias("key"))
     many = each.groupBy("key").agg(F.count("*").alias("company")).filter("company > 1")
     groups, groups_path = written(spark, each.join(many, "key"), "jaccard-groups")
     free(spark)
     if groups.isEmpty():
         return None
     central = groups.groupBy("node").agg(F.sum("company").alias("weight"))
-    members, members_path = written(spark, groups.join(central, "node").select("key", "node", "weight"), "jaccard-members")
+    members, members_path = written(spark, groups.join(central, "node").select("key", "node", "n", "weight"), "jaccard-members")
     involved = classes.join(central.select("node"), "node").select("rep", "c1", "c2", "node")
     frags = fragment_pass(texts.join(involved.select("rep", "c1", "c2"), "rep"), n).dropDuplicates(["rep", "c1", "part"])
     sets, sets_path = written(spark, frags.join(involved.select("rep", "c1", "node"), ["rep", "c1"]).select("node", "n", "part", "grams"), "jaccard-sets")
@@ -160,17 +160,18 @@ def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: i
     free(spark)
 
     links, seen, labels = None, None, None
-    open_rows = members.withColumn("label", F.col("node"))
+    rest = members.withColumn("label", F.col("node")).withColumn("last", F.lit(None).cast("long"))
     for r in range(rounds + 1):
         if r < rounds:
             # one hub a group: the most central; later the most central outside the component of the hub before
-            pool = open_rows if r == 0 else open_rows.filter("label <> last")
-            hubs = pool.groupBy("key").agg(F.max(F.struct("weight", "node", "label")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"))
-            fresh = open_rows.join(hubs, "key")
-            pairs = fresh.filter("label <> hub_label").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            outside = F.when(F.col("last").isNotNull() & (F.col("label") == F.col("last")), F.lit(-1)).otherwise(F.col("weight"))
+            hubs = rest.groupBy("key").agg(F.max_by(F.struct("node", "label", "n"), F.struct(outside, "node")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"), F.col("h.n").alias("hub_n"))
+            fresh = rest.join(hubs, "key").filter("node <> hub")
+            near = fresh.filter(f"label <> hub_label AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+            pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            x, y = (open_rows.select("key", F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-            pairs = x.join(y, "key").filter("a < b AND la <> lb").select("a", "b").distinct()
+            x, y = (rest.select("key", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+            pairs = x.join(y, "key").filter(f"a < b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = checkpointed(spark, pairs)
@@ -180,13 +181,12 @@ def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: i
         if r == rounds:
             break
         seen = pairs if seen is None else seen.unionByName(pairs)
-        # groups that still hold more than one component
-        rows = fresh.select("key", "node", "weight", "hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("last"))
-        rows = rows.join(of_hub, "hub", "left").withColumn("last", F.coalesce("last", "hub")).drop("hub")
+        # a hub has met its group; groups whose other members are of more than one component go on
+        rows = fresh.select("key", "node", "n", "weight", "hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         still = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        open_rows = checkpointed(spark, rows.join(still, "key"))
-        if open_rows.isEmpty():
+        rows = rows.join(still, "key").join(labels.select(F.col("node").alias("hub"), F.col("label").alias("last")), "hub", "left")
+        rest = checkpointed(spark, rows.withColumn("last", F.coalesce("last", "hub")).drop("hub"))
+        if rest.isEmpty():
             break
     remove(spark, members_path, sets_path)
     free(spark)
@@ -198,14 +198,29 @@ def near_duplicates(df: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     spark = df.sparkSession
     rows, rows_path = written(spark, set_pass(df, id_col, text_col, n, percent), "jaccard-rows")
     number = F.coalesce(F.col("id").cast("long"), F.lit(LAST))
-    classes = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min(number).alias("rep"), F.first("keys").alias("keys"))
-    # classes are told apart by their smallest id, and where rows share ids by their hash as well
-    classes = classes.withColumn("node", F.struct("rep", "c1", "c2"))
+    classes = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min(number).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes, classes_path = written(spark, classes, "jaccard-classes")
+    # a class is a node by its smallest id; where different texts share that, by a hash
+    twice = classes.groupBy("rep").count().filter("count > 1").select("rep", F.lit(True).alias("twice"))
+    classes = classes.withColumn("node", F.col("rep")) if twice.isEmpty() else classes.join(twice, "rep", "left").withColumn("node", F.when(F.col("twice"), F.xxhash64("rep", "c1", "c2")).otherwise(F.col("rep"))).drop("twice")
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rep"), F.col(text_col).alias("text"))
     labels = link_classes(spark, classes, texts, n, percent, rounds)
-    found = classes.select("c1", "c2", "node")
-    found = found.join(labels, "node", "left").select("c1", "c2", F.coalesce("label.rep", "node.rep").alias("component")) if labels is not None else found.select("c1", "c2", F.col("node.rep").alias("component"))
-    out = rows.select("id", "c1", "c2", "n").join(found, ["c1", "c2"], "left")
+    found = classes.select("c1", "c2", "rep", "node")
+    if labels is None:
+        found = found.withColumnRenamed("rep", "component")
+    else:
+        tied = found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        least = tied.groupBy("label").agg(F.min("rep").alias("component"))
+        found = tied.join(least, "label")
+    out = rows.select("id", "c1", "c2", "n").join(found.select("c1", "c2", "component"), ["c1", "c2"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("component") == LAST, F.lit(None)).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
+
+
+def one_of_each_group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose id is the smallest of its component; an id that several rows share stays
+    if one of its rows may. Texts without n-grams stay."""
+    found = near_duplicates(df, n, percent, id_col, text_col)
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.coalesce("component_id", F.lit(LAST))
+    gone = found.groupBy(id_col).agg(F.max(own).alias("_stays")).filter("NOT _stays").select(F.col(id_col).alias("_gone"))
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
