@@ -159,6 +159,9 @@ class Ranks:
             for x in t:
                 node = node.setdefault(x, {})
             node[-1] = node
+        self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for i, t in self.bytes_of.items():
+            self.lengths[i] = len(t)
         self.cache = Recent(self._entry)
         self.pairs = Recent(self.stays)
         self.prefixes = Recent(self.shorter)
@@ -286,14 +289,14 @@ def pre_tokens(texts: list[str | None]) -> Iterator[list[bytes]]:
             yield [raw[x:y] for x, y in zip(cuts[a:b], cuts[a + 1 : b + 1])]
 
 
-def encode_texts(texts: list[str | None], vocabulary: str) -> Iterator[tuple[list[int], list[int]]]:
+def encode_texts(texts: list[str | None], vocabulary: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and byte offsets (one more than ids) of each text."""
     r = ranks_at(vocabulary)
     for slices in pre_tokens(texts):
-        ids = list(chain.from_iterable([r.cache[p][0] for p in slices]))
+        ids = np.array(list(chain.from_iterable([e[0] for e in map(r.cache.__getitem__, slices)])), np.int32)
         offsets = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum([len(r.bytes_of[i]) for i in ids], out=offsets[1:])
-        yield ids, offsets.tolist()
+        np.cumsum(r.lengths[ids], out=offsets[1:])
+        yield ids, offsets
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
