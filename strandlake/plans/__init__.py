@@ -33,3 +33,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from strandlake.plans import aggregates, filters, joins, streams  # noqa: E402,F401  (they register their queries)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -27,3 +30,9 @@ def get_session(app: str = "strandlake", cpus: int | str = "*", **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the parquet tables below sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder that spark.checkpoint.dir names; a temporary one where that is unset, as in tests."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/strandlake"
+    return f"{d.rstrip('/')}/{name}-{uuid.uuid4().hex}"
