@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 #: What separates words: the six ASCII white-space characters and nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
 _SHIPPED = "strandlake.shipped"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def n_words(col) -> F.Column:
@@ -139,9 +140,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost nothing."""
+    """df as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost nothing. Spark is
+    told to delete the shuffle files of the job as soon as it ends, which it otherwise does when the driver collects its
+    garbage."""
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

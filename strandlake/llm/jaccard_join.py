@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import WordHashes, checkpointed, free, map_arrow, mix64, remove, signed, two_longs, window_hashes, words, written
+from strandlake.llm.common import WordHashes, free, map_arrow, mix64, remove, signed, two_longs, window_hashes, words, written
 from strandlake.llm.components import components
 
 BASE = 0xA0761D6478BD642F
@@ -174,9 +174,9 @@ def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: i
             pairs = x.join(y, "key").filter(f"a < b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = checkpointed(spark, pairs)
-        found = linked(pairs, sets, percent)
-        links = checkpointed(spark, found if links is None else links.unionByName(found))
+        pairs, _ = written(spark, pairs, "jaccard-pairs")
+        found, _ = written(spark, linked(pairs, sets, percent), "jaccard-links")
+        links = found if links is None else links.unionByName(found)
         labels = components(spark, links)
         if r == rounds:
             break
@@ -185,7 +185,7 @@ def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: i
         rows = fresh.select("key", "node", "n", "weight", "hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         still = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
         rows = rows.join(still, "key").join(labels.select(F.col("node").alias("hub"), F.col("label").alias("last")), "hub", "left")
-        rest = checkpointed(spark, rows.withColumn("last", F.coalesce("last", "hub")).drop("hub"))
+        rest, _ = written(spark, rows.withColumn("last", F.coalesce("last", "hub")).drop("hub"), "jaccard-rest")
         if rest.isEmpty():
             break
     remove(spark, members_path, sets_path)
@@ -200,12 +200,15 @@ def near_duplicates(df: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     number = F.coalesce(F.col("id").cast("long"), F.lit(LAST))
     classes = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min(number).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes, classes_path = written(spark, classes, "jaccard-classes")
+    rows, _ = written(spark, rows.select("id", "c1", "c2", "n"), "jaccard-ids")
+    remove(spark, rows_path)
     # a class is a node by its smallest id; where different texts share that, by a hash
     twice = classes.groupBy("rep").count().filter("count > 1").select("rep", F.lit(True).alias("twice"))
     classes = classes.withColumn("node", F.col("rep")) if twice.isEmpty() else classes.join(twice, "rep", "left").withColumn("node", F.when(F.col("twice"), F.xxhash64("rep", "c1", "c2")).otherwise(F.col("rep"))).drop("twice")
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rep"), F.col(text_col).alias("text"))
     labels = link_classes(spark, classes, texts, n, percent, rounds)
-    found = classes.select("c1", "c2", "rep", "node")
+    found, _ = written(spark, classes.select("c1", "c2", "rep", "node"), "jaccard-nodes")
+    remove(spark, classes_path)
     if labels is None:
         found = found.withColumnRenamed("rep", "component")
     else:

@@ -117,6 +117,8 @@ def repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: s
     rows, rows_path = written(spark, digest_pass(df, id_col, text_col, window), "dedup-rows")
     number = F.coalesce(F.col("id").cast("long"), F.lit(LAST))
     classes, classes_path = written(spark, rows.groupBy("c1", "c2").agg(F.min(number).alias("rep"), F.first("marks").alias("marks")), "dedup-classes")
+    rows, _ = written(spark, rows.drop("marks"), "dedup-ids")
+    remove(spark, rows_path)
     free(spark)
     # level one: half windows that are chosen in two classes or more
     marks = classes.select("rep", "c1", "c2", F.explode("marks").alias("mark"))
@@ -132,9 +134,10 @@ def repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: s
     hits = each.join(first, ["w1", "w2"]).filter("lo < rep").groupBy("c1", "c2").agg(F.collect_list("at").alias("at"))
     cut = windows.select("c1", "c2", "text").join(hits, ["c1", "c2"]).dropDuplicates(["c1", "c2"])
     partial, _ = written(spark, keep_pass(cut, window), "dedup-partial")
-    remove(spark, alive_path, windows_path)
+    reps, _ = written(spark, classes.select("c1", "c2", "rep"), "dedup-reps")
+    remove(spark, classes_path, alive_path, windows_path)
     free(spark)
-    return rows, classes.select("c1", "c2", "rep"), partial
+    return rows, reps, partial
 
 
 def removed_words(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +146,7 @@ def removed_words(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_
     found = classes.join(partial.select("c1", "c2", "n_removed", F.sha2("kept", 256).alias("kept_sha")), ["c1", "c2"], "left")
     copy = F.coalesce(F.col("id").cast("long"), F.lit(LAST)) > F.col("rep")
     whole = copy & (F.col("n_words") >= window)
-    out = rows.drop("marks").join(found, ["c1", "c2"])
+    out = rows.join(found, ["c1", "c2"])
     return out.select(
         F.col("id").alias(id_col), "n_words",
         F.when(whole, F.col("n_words")).when(copy, F.lit(0)).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
