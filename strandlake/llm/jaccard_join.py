@@ -225,5 +225,6 @@ def one_of_each_group(df: DataFrame, n: int = 5, percent: int = 80, id_col: str
     if one of its rows may. Texts without n-grams stay."""
     found = near_duplicates(df, n, percent, id_col, text_col)
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.coalesce("component_id", F.lit(LAST))
-    gone = found.groupBy(id_col).agg(F.max(own).alias("_stays")).filter("NOT _stays").select(F.col(id_col).alias("_gone"))
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = found.groupBy(id_col).agg(F.max(own).alias("stays")).filter("NOT stays").select(F.col(id_col).alias("gone_id"))
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("row_id"))
+    return packed.join(gone, F.col("row_id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")

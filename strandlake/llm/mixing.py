@@ -119,6 +119,7 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The rows of df, with all their columns, each as often as the mix takes it: taken words over size, to the nearest whole
     number (only the one document at which a source's target ends is ever taken in part). Rows without words are not taken."""
     by = mix(df, id_col, text_col, source_col, block).filter("taken > 0").groupBy("doc_id", "size").agg(F.round(F.sum("taken") / (F.count("*") * F.col("size"))).cast("int").alias("_times"))
-    by = by.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_times").filter("_times > 0")
-    met = df.withColumn("_words", n_words(F.col(text_col))).join(by, F.col("_id").eqNullSafe(F.col(id_col)) & (F.col("_words") == F.col("_size")))
-    return met.withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*df.columns)
+    by = by.select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("_times").alias("times")).filter("times > 0")
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("row_id"), n_words(F.col(text_col)).alias("row_size"))
+    met = packed.join(by, F.col("mix_id").eqNullSafe(F.col("row_id")) & (F.col("row_size") == F.col("mix_size")))
+    return met.select("row", F.explode(F.expr("sequence(1, times)")).alias("copy")).select("row.*")

@@ -163,17 +163,17 @@ def without_repeats(df: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     told = rows.select("id", "c1", "c2", "n_words").distinct().join(found, ["c1", "c2"])
     told = told.withColumn("_gone", (number > F.col("rep")) & (F.col("n_words") >= window) | (F.coalesce("n_removed", F.lit(0)) == F.col("n_words")) & (F.col("n_words") > 0) & (number == F.col("rep")))
     told = told.withColumn("_kept", F.when(number == F.col("rep"), F.col("kept"))).filter("_gone OR _kept IS NOT NULL")
-    told = told.select(F.col("id").alias("_id"), "c1", "c2", "_gone", "_kept")
-    names = df.columns
+    told = told.select(F.col("id").alias("told_id"), F.col("c1").alias("told_c1"), F.col("c2").alias("told_c2"), F.col("_gone").alias("gone"), F.col("_kept").alias("kept"))
 
     def run(batches):
-        at = names.index(text_col)
         for b in batches:
-            keys = [two_longs(xxhash.xxh3_128_intdigest(b" ".join(words(x)))) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], [*b.schema.names, "_c1", "_c2"])
-
-    # the class tells rows apart that share an id
-    keyed = map_arrow(df, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_c1 bigint, _c2 bigint"]))
-    same = F.col("_id").eqNullSafe(F.col(id_col)) & (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2"))
-    out = keyed.join(told, same, "left").filter(~F.coalesce("_gone", F.lit(False)))
-    return out.withColumn(text_col, F.coalesce("_kept", text_col)).select(*names)
+            keys = [two_longs(xxhash.xxh3_128_intdigest(b" ".join(words(x)))) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], ["row", "row_id", "c1", "c2"])
+
+    # rows travel as one column, so their names cannot clash; the class tells rows apart that share an id
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text"))
+    kinds = [f"{k} {packed.schema[k].dataType.simpleString()}" for k in ("row", "row_id")]
+    keyed = map_arrow(packed, run, ", ".join([*kinds, "c1 bigint, c2 bigint"]))
+    same = F.col("told_id").eqNullSafe(F.col("row_id")) & (F.col("c1") == F.col("told_c1")) & (F.col("c2") == F.col("told_c2"))
+    out = keyed.join(told, same, "left").filter(~F.coalesce("gone", F.lit(False)))
+    return out.select(F.col("row").withField(text_col, F.coalesce("kept", F.col(f"row.{text_col}"))).alias("row")).select("row.*")
