@@ -14,10 +14,12 @@ by fragment, and summed for each pair.
 
 What is asked for are components, so pairs inside one need not be counted. Sets that are equal are one class with one
 representative. In every group of sets that share a fragment, all are first compared with one of them, the most central
-(that with the most company in its fragments); components of those links are formed; then, as long as groups hold more
-than one component, the most central of the sets outside the component of the last hub takes its turn; after `rounds` of
-these all pairs that are left between different components are counted. No pair that could join two components is left
-out.
+(that with the most company in its fragments), and components of those links are formed. What is left are families of
+groups that hold more than one component. They are compared in blocks: a block holds sets of one component or of several
+small ones, two blocks meet in one task unless both are of the same component, and the overlaps of all their pairs are
+products of incidence matrices, a fragment of the n-gram order at a time, summed. Only one link for each two components
+leaves a task, so pairs are never rows, however large a family is; a family is the unit up to `family` sets, and beyond
+that the single groups are. No pair that could join two components is left out.
 
 Defined results: a null text or one without words has the empty set and links with nothing; a text of fewer words than an
 n-gram has one element, all of them; a null id counts as larger than every id, and is null again in the result; rows that
@@ -28,6 +30,7 @@ no part.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +40,9 @@ from strandlake.llm.common import WordHashes, free, map_arrow, mix64, remove, si
 from strandlake.llm.components import components
 
 BASE = 0xA0761D6478BD642F
-PARTS = 8  # fragments in which overlaps are counted
+PARTS = 8  # fragments in which overlaps with a hub are counted
+FRAGMENT = 8192  # n-grams of a fragment where blocks meet
+BLOCK, BLOCK_GRAMS = 512, 1 << 19  # sets, and n-grams, of a block
 LAST = (1 << 63) - 1  # stands for a null id
 
 
@@ -143,57 +148,103 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
-def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: int, percent: int, rounds: int) -> DataFrame | None:
+def block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) between the components of two blocks, one for each two components. Rows: b1, b2, block, node, n, label, grams."""
+    b1, b2 = pdf["b1"].iloc[0], pdf["b2"].iloc[0]
+    sides = [pdf[pdf["block"] == b].reset_index(drop=True) for b in ((b1,) if b1 == b2 else (b1, b2))]
+    rows = pd.concat(sides, ignore_index=True)
+    left = np.arange(len(sides[0]))
+    right = left if len(sides) == 1 else np.arange(len(sides[0]), len(rows))
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    size = rows["n"].to_numpy(np.int64)
+    grams = np.concatenate([np.asarray(g, np.int64) for g in rows["grams"]])
+    owner = np.repeat(np.arange(len(rows)), size)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    first = np.concatenate([[True], grams[1:] != grams[:-1]])
+    column = np.cumsum(first) - 1
+    shared = np.bincount(column)[column] > 1
+    column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+    common = np.zeros((len(left), len(right)), np.float32)
+    width = int(column.max()) + 1 if len(column) else 0
+    for lo in range(0, width, FRAGMENT):  # partial overlaps, summed
+        cut = slice(*np.searchsorted(column, [lo, lo + FRAGMENT]))
+        m = np.zeros((len(rows), min(FRAGMENT, width - lo)), np.float32)
+        m[owner[cut], column[cut] - lo] = 1
+        common += m[left] @ m[right].T
+    label = rows["label"].to_numpy()
+    ok = (100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)) & (label[left][:, None] != label[right][None, :])
+    i, j = np.nonzero(ok)
+    node = rows["node"].to_numpy()
+    out = pd.DataFrame({"a": node[left[i]], "b": node[right[j]], "la": label[left[i]], "lb": label[right[j]]})
+    return out.drop_duplicates(["la", "lb"])[["a", "b"]]
+
+
+def compared_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside each unit. rest: unit, node, n, label."""
+    per = rest.groupBy("unit", "label").agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
+    parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS))
+    per = per.withColumn("parts", parts).withColumn("big", (F.col("members") >= BLOCK) | (F.col("grams") >= BLOCK_GRAMS))
+    small = per.filter("NOT big").groupBy("unit").agg(F.greatest(F.ceil(F.sum("members") / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).alias("packs"))
+    placed = rest.join(per.select("unit", "label", "parts", "big"), ["unit", "label"]).join(small, "unit", "left")
+    block = F.when(F.col("big"), F.xxhash64(F.lit(1), "label", F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.xxhash64(F.lit(2), F.pmod(F.xxhash64("label"), "packs")))
+    placed = placed.withColumn("block", block).withColumn("one", F.when(F.col("big"), F.col("label")))
+    blocks = placed.select("unit", "block", "one").distinct()
+    x, y = (blocks.select("unit", F.col("block").alias(f"b{k}"), F.col("one").alias(f"o{k}")) for k in (1, 2))
+    meets = x.join(y, "unit").filter("b1 <= b2 AND NOT coalesce(o1 = o2, false)").select("unit", "b1", "b2")
+    either = meets.withColumn("block", F.explode(F.array_distinct(F.array("b1", "b2"))))
+    whole = sets.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    tiles = placed.select("unit", "block", "node", "n", "label").join(either, ["unit", "block"]).join(whole, "node")
+    return tiles.groupBy("unit", "b1", "b2").applyInPandas(lambda pdf: block_links(pdf, percent), "a bigint, b bigint")
+
+
+def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: int, percent: int, family: int) -> DataFrame | None:
     """node, label: components of classes (rep, c1, c2, node, n, keys); None where no two share a key. texts: rep, text."""
     each = classes.select("node", "n", F.explode("keys").alias("key"))
     many = each.groupBy("key").agg(F.count("*").alias("company")).filter("company > 1")
     groups, groups_path = written(spark, each.join(many, "key"), "jaccard-groups")
-    free(spark)
     if groups.isEmpty():
         return None
     central = groups.groupBy("node").agg(F.sum("company").alias("weight"))
     members, members_path = written(spark, groups.join(central, "node").select("key", "node", "n", "weight"), "jaccard-members")
-    involved = classes.join(central.select("node"), "node").select("rep", "c1", "c2", "node")
+    nodes, nodes_path = written(spark, members.select("node", "n").distinct(), "jaccard-members")
+    remove(spark, groups_path)
+    involved = classes.join(nodes.select("node"), "node").select("rep", "c1", "c2", "node")
     frags = fragment_pass(texts.join(involved.select("rep", "c1", "c2"), "rep"), n).dropDuplicates(["rep", "c1", "part"])
     sets, sets_path = written(spark, frags.join(involved.select("rep", "c1", "node"), ["rep", "c1"]).select("node", "n", "part", "grams"), "jaccard-sets")
-    remove(spark, groups_path)
     free(spark)
 
-    links, seen, labels = None, None, None
-    rest = members.withColumn("label", F.col("node")).withColumn("last", F.lit(None).cast("long"))
-    for r in range(rounds + 1):
-        if r < rounds:
-            # one hub a group: the most central; later the most central outside the component of the hub before
-            outside = F.when(F.col("last").isNotNull() & (F.col("label") == F.col("last")), F.lit(-1)).otherwise(F.col("weight"))
-            hubs = rest.groupBy("key").agg(F.max_by(F.struct("node", "label", "n"), F.struct(outside, "node")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"), F.col("h.n").alias("hub_n"))
-            fresh = rest.join(hubs, "key").filter("node <> hub")
-            near = fresh.filter(f"label <> hub_label AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-            pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        else:
-            x, y = (rest.select("key", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-            pairs = x.join(y, "key").filter(f"a < b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs, _ = written(spark, pairs, "jaccard-pairs")
-        found, _ = written(spark, linked(pairs, sets, percent), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(spark, links)
-        if r == rounds:
-            break
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        # a hub has met its group; groups whose other members are of more than one component go on
-        rows = fresh.select("key", "node", "n", "weight", "hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        still = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        rows = rows.join(still, "key").join(labels.select(F.col("node").alias("hub"), F.col("label").alias("last")), "hub", "left")
-        rest, _ = written(spark, rows.withColumn("last", F.coalesce("last", "hub")).drop("hub"), "jaccard-rest")
-        if rest.isEmpty():
-            break
-    remove(spark, members_path, sets_path)
+    # each member with the most central one of its group
+    hubs = members.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    met, met_path = written(spark, members.join(hubs, "key").filter("node <> hub").select("node", "n", "hub", "hub_n").distinct(), "jaccard-met")
+    near = met.filter(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+    pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links, _ = written(spark, linked(pairs, sets, percent), "jaccard-links")
+    labels, _ = written(spark, components(spark, links), "jaccard-labels")
+
+    # families of groups that hold more than one component
+    families = components(spark, met.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("label", "unit")
+    told = nodes.join(labels, "node", "left").join(families, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("unit", "node").alias("unit"))
+    told, told_path = written(spark, told, "jaccard-told")
+    open_units = told.groupBy("unit").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    rest = told.join(open_units.filter(F.col("size") <= family).select("unit"), "unit").select("unit", "node", "n", "label")
+    wide = told.join(open_units.filter(F.col("size") > family).select("unit"), "unit").select("node", "n", "label")
+    if not wide.isEmpty():
+        inner = members.select("key", "node").join(wide, "node")
+        mixed = inner.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+        rest = rest.unionByName(inner.join(mixed, "key").select(F.xxhash64(F.lit(3), "key").alias("unit"), "node", "n", "label"))
+    rest, rest_path = written(spark, rest, "jaccard-rest")
+    if not rest.isEmpty():
+        more, _ = written(spark, compared_in_blocks(rest, sets, percent), "jaccard-links")
+        if not more.isEmpty():
+            labels, _ = written(spark, components(spark, links.unionByName(more)), "jaccard-labels")
+    remove(spark, members_path, nodes_path, sets_path, met_path, told_path, rest_path)
     free(spark)
     return labels
 
 
-def near_duplicates(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", family: int = 20_000) -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id in reach) per row of df."""
     spark = df.sparkSession
     rows, rows_path = written(spark, set_pass(df, id_col, text_col, n, percent), "jaccard-rows")
@@ -206,7 +257,7 @@ def near_duplicates(df: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     twice = classes.groupBy("rep").count().filter("count > 1").select("rep", F.lit(True).alias("twice"))
     classes = classes.withColumn("node", F.col("rep")) if twice.isEmpty() else classes.join(twice, "rep", "left").withColumn("node", F.when(F.col("twice"), F.xxhash64("rep", "c1", "c2")).otherwise(F.col("rep"))).drop("twice")
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rep"), F.col(text_col).alias("text"))
-    labels = link_classes(spark, classes, texts, n, percent, rounds)
+    labels = link_classes(spark, classes, texts, n, percent, family)
     found, _ = written(spark, classes.select("c1", "c2", "rep", "node"), "jaccard-nodes")
     remove(spark, classes_path)
     if labels is None:
