@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from strandlake.functions import stats_math as M
 
 PRECEDENCE = {"||": 2, "|": 2, "&&": 3, "&": 3, "=": 5, "==": 5, "!=": 5, "<": 5, "<=": 5, ">": 5, ">=": 5, "~": 5, "!~": 5, "+": 6, "-": 6, "*": 7, "/": 7, "%": 7}
-TOKEN = re.compile(r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>"[^"]*"(?:/i)?|'[^']*'(?:/i)?)|(?P<set>@[\w./-]+)|(?P<op>\|\||&&|==|!=|<=|>=|!~|[-+*/%<>=~|&()\[\],])|(?P<name>(?:(?:INFO|FORMAT|FMT)/)?[A-Za-z_][\w.]*))""")
+TOKEN = re.compile(r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>"[^"]*"(?:/i)?|'[^']*'(?:/i)?)|(?P<set>@[\w./-]+)|(?P<op>\|\||&&|==|!=|<=|>=|!~|[-+*/%<>=~|&()\[\],:])|(?P<name>(?:(?:INFO|FORMAT|FMT)/)?[A-Za-z_][\w.]*))""")
 AGGREGATES = {"MAX", "MIN", "AVG", "MEAN", "MEDIAN", "STDEV", "SUM", "COUNT"}
 
 

@@ -49,7 +49,7 @@ class Projector:
     def site(self, tag: str, i: str | None) -> Column:
         tag = tag.removeprefix("/")
         name = tag.removeprefix("INFO/")
-        low = name.lower()
+        low = {"filter": "filters"}.get(name.lower(), name.lower())
         if low == "pos0":
             return (F.col("pos") - 1).cast("string")
         if low in ("end", "end0") and low not in self.types:
