@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlake.llm import byte_bpe, compression_quality, jaccard_join, mixing, substring_dedup, tiff, token_counts, top_k, warc
+from strandlake.llm import byte_bpe, compression_quality, jaccard_join, licenses, mixing, substring_dedup, tiff, token_counts, top_k, warc
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -97,3 +98,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir), n=3, percent=90)
+
+
+@register("op7_license_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(documents(spark, sf_dir))
+    names = F.array_distinct(F.transform("matches", lambda m: m["license"]))
+    return out.select("doc_id", "n_sentences", "n_known", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"))
