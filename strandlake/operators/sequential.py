@@ -56,20 +56,25 @@ def mark_overlaps(df: DataFrame, keys: list[str], beg: str, end: str, how: str =
     schema = df.withColumn("overlap", F.lit(True)).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([thin(p) for _, p in pdf.groupby("_c")], ignore_index=True)
+        pdf = pdf.sort_values(["_c", beg, end], kind="stable").reset_index(drop=True)
+        b, e, q, c = pdf[beg].to_numpy(), pdf[end].to_numpy(), pdf[weight].fillna(0).to_numpy(float), pdf["_c"].to_numpy()
+        gone = np.zeros(len(pdf), bool)
+        cuts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]]))
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi - lo > 1:
+                gone[lo:hi] = thinned(b[lo:hi], e[lo:hi], q[lo:hi])
+        return pdf.drop(columns="_c").assign(overlap=gone)[[f.name for f in schema]]
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([beg, end], kind="stable").reset_index(drop=True)
-        b, e, q = pdf[beg].to_numpy(), pdf[end].to_numpy(), pdf[weight].fillna(0).to_numpy(float)
+    def thinned(b: np.ndarray, e: np.ndarray, q: np.ndarray) -> np.ndarray:
         meet = (b[:, None] <= e[None, :]) & (b[None, :] <= e[:, None])
         np.fill_diagonal(meet, False)
-        gone = np.zeros(len(pdf), bool)
+        gone = np.zeros(len(b), bool)
         for i in np.argsort(q, kind="stable"):
             if not meet.any():
                 break
             gone[i] = True  # every row that is visited while overlaps remain
             meet[i, :] = meet[:, i] = False
-        return pdf.drop(columns="_c").assign(overlap=gone)[[f.name for f in schema]]
+        return gone
 
     return x.groupBy(*keys, F.floor(F.col("_c") / 256)).applyInPandas(run, schema)
 

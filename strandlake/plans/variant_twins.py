@@ -128,8 +128,8 @@ def severity_rank(spark, sf):
     return table(spark, sf, "part").select("p_partkey", consequence.severity(F.get(names, (F.col("p_partkey") % 4).cast("int"))).alias("rank"))
 
 
-@register("split_vep_worst", "WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, CASE l_partkey % 4 WHEN 0 THEN 6 WHEN 1 THEN 14 WHEN 2 THEN 18 ELSE 11 END AS r, l_orderkey AS k FROM lineitem) SELECT l_orderkey, CAST(max(r) AS INTEGER) AS severity, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY l_orderkey")
-def split_vep_worst(spark, sf):
+@register("split_packed_worst", "WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, CASE l_partkey % 4 WHEN 0 THEN 6 WHEN 1 THEN 14 WHEN 2 THEN 18 ELSE 11 END AS r, l_orderkey AS k FROM lineitem) SELECT l_orderkey, CAST(max(r) AS INTEGER) AS severity, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY l_orderkey")
+def split_packed_worst(spark, sf):
     """Order lines packed as consequence strings, split again, ranked."""
     names = F.array(*map(F.lit, ("intron_variant", "splice_region_variant&missense_variant", "stop_gained", "synonymous_variant")))
     li = table(spark, sf, "lineitem").withColumn("one", F.concat_ws("|", F.get(names, (F.col("l_partkey") % 4).cast("int")), F.col("l_partkey").cast("string")))
