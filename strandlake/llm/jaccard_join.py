@@ -18,8 +18,8 @@ representative. In every group of sets that share a fragment, all are first comp
 groups that hold more than one component. They are compared in blocks: a block holds sets of one component or of several
 small ones, two blocks meet in one task unless both are of the same component, and the overlaps of all their pairs are
 products of incidence matrices, a fragment of the n-gram order at a time, summed. Only one link for each two components
-leaves a task, so pairs are never rows, however large a family is; a family is the unit up to `family` sets, and beyond
-that the single groups are. No pair that could join two components is left out.
+leaves a task, so pairs are never rows, however large a family is (but for units of FEW sets, where pairs are less than FEW
+times the rows); a family is the unit up to `family` sets, and beyond that the single groups are. No pair that could join two components is left out.
 
 Defined results: a null text or one without words has the empty set and links with nothing; a text of fewer words than an
 n-gram has one element, all of them; a null id counts as larger than every id, and is null again in the result; rows that
@@ -43,6 +43,7 @@ BASE = 0xA0761D6478BD642F
 PARTS = 8  # fragments in which overlaps with a hub are counted
 FRAGMENT = 8192  # n-grams of a fragment where blocks meet
 BLOCK, BLOCK_GRAMS = 512, 1 << 19  # sets, and n-grams, of a block
+FEW = 12  # sets of a unit whose pairs are taken as they are
 LAST = (1 << 63) - 1  # stands for a null id
 
 
@@ -219,7 +220,7 @@ def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: i
     hubs = members.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
     met, met_path = written(spark, members.join(hubs, "key").filter("node <> hub").select("node", "n", "hub", "hub_n").distinct(), "jaccard-met")
     near = met.filter(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-    pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs, pairs_path = written(spark, near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "jaccard-pairs")
     links, _ = written(spark, linked(pairs, sets, percent), "jaccard-links")
     labels, _ = written(spark, components(spark, links), "jaccard-labels")
 
@@ -236,10 +237,17 @@ def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: i
         rest = rest.unionByName(inner.join(mixed, "key").select(F.xxhash64(F.lit(3), "key").alias("unit"), "node", "n", "label"))
     rest, rest_path = written(spark, rest, "jaccard-rest")
     if not rest.isEmpty():
-        more, _ = written(spark, compared_in_blocks(rest, sets, percent), "jaccard-links")
+        # units of a few sets: their pairs, which are fewer than FEW times the rows; larger ones: blocks
+        size = rest.groupBy("unit").agg(F.count("*").alias("size"))
+        few = rest.join(size.filter(F.col("size") <= FEW).select("unit"), "unit")
+        x, y = (few.select("unit", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+        small = x.join(y, "unit").filter(f"a < b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+        found = linked(small.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+        large = rest.join(size.filter(F.col("size") > FEW).select("unit"), "unit")
+        more, _ = written(spark, found.unionByName(compared_in_blocks(large, sets, percent)), "jaccard-links")
         if not more.isEmpty():
             labels, _ = written(spark, components(spark, links.unionByName(more)), "jaccard-labels")
-    remove(spark, members_path, nodes_path, sets_path, met_path, told_path, rest_path)
+    remove(spark, members_path, nodes_path, pairs_path, sets_path, met_path, told_path, rest_path)
     free(spark)
     return labels
 

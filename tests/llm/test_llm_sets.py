@@ -78,9 +78,12 @@ def brute_components(docs, n, percent):
     return sorted((i is None, i or 0, len(sets[k]), -1 if least[find(k)] == big else least[find(k)]) for k, (i, _) in enumerate(docs))
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_components_are_those_of_all_pairs(spark, docs, n, percent):
-    got = jaccard_join.near_duplicates(frame(spark, docs), n, percent).collect()
+@pytest.mark.parametrize("n,percent,family", [(3, 90, 20_000), (5, 80, 20_000), (3, 90, 1)])
+def test_components_are_those_of_all_pairs(spark, docs, n, percent, family, monkeypatch):
+    if family == 1:  # groups instead of families, and blocks of a few sets
+        monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+        monkeypatch.setattr(jaccard_join, "FEW", 2)
+    got = jaccard_join.near_duplicates(frame(spark, docs), n, percent, family=family).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute_components(docs, n, percent)
 
 
