@@ -43,7 +43,8 @@ BASE = 0xA0761D6478BD642F
 PARTS = 8  # fragments in which overlaps with a hub are counted
 FRAGMENT = 8192  # n-grams of a fragment where blocks meet
 BLOCK, BLOCK_GRAMS = 512, 1 << 19  # sets, and n-grams, of a block
-FEW = 12  # sets of a unit whose pairs are taken as they are
+SKETCH = 64  # ranges of the n-gram order whose elements are counted for each set
+FEW = 48  # sets of a unit whose pairs are taken as they are
 LAST = (1 << 63) - 1  # stands for a null id
 
 
@@ -74,7 +75,7 @@ class Cutting:
         return int(np.searchsorted(self.low, size, "right")) - 1
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Keys of a set; two sets that are linked and not equal share one."""
+        """Keys of a set; two sets that are linked and not equal share one. Odd keys are those of empty fragments."""
         if not len(s):
             return s
         c = self.scheme(len(s))
@@ -90,16 +91,16 @@ class Cutting:
         whole = total[cut[1:]] - total[cut[:-1]]
         tag = mix64(np.arange(n, dtype=np.uint64) + np.uint64(scheme << 32))
         full = np.diff(cut) > 0
-        out = [mix64(whole[full] ^ tag[full])]
+        out = [mix64(whole[full] ^ tag[full]) & ~np.uint64(1)]
         for f in np.flatnonzero(~full).tolist():
             g = (f + 1) % n
             less = np.concatenate([whole[g : g + 1], whole[g] - mixed[cut[g] : cut[g + 1]]])
-            out.append(mix64(mix64(less ^ tag[f]) ^ np.uint64(0x5851F42D4C957F2D)))
+            out.append(mix64(mix64(less ^ tag[f]) ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1))
         return np.concatenate(out)
 
 
 def set_pass(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """Of each row: its id, 128-bit hash and size of its set, and keys."""
+    """Of each row: its id, 128-bit hash and size of its set, keys, and a sketch (elements in each of SKETCH ranges)."""
 
     def run(batches):
         hashes, cutting = WordHashes(6), Cutting(percent)
@@ -109,12 +110,12 @@ def set_pass(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
                 rows = []
                 for text in part.column(1).to_pylist():
                     s = n_grams(text, n, hashes)
-                    rows.append((*two_longs(xxhash.xxh3_128_intdigest(s.tobytes())), len(s), signed(cutting.keys(s))))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["id", "c1", "c2", "n", "keys"])
+                    rows.append((*two_longs(xxhash.xxh3_128_intdigest(s.tobytes())), len(s), signed(cutting.keys(s)), np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SKETCH).astype(np.int32)))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["id", "c1", "c2", "n", "keys", "sketch"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_arrow(df.select(id_col, text_col), run, f"id {kind}, c1 bigint, c2 bigint, n bigint, keys array<bigint>")
+    return map_arrow(df.select(id_col, text_col), run, f"id {kind}, c1 bigint, c2 bigint, n bigint, keys array<bigint>, sketch array<int>")
 
 
 def fragment_pass(df: DataFrame, n: int) -> DataFrame:
@@ -139,6 +140,13 @@ def fragment_pass(df: DataFrame, n: int) -> DataFrame:
     return map_arrow(df.select("rep", "c1", "c2", "text"), run, "rep bigint, c1 bigint, n bigint, part int, grams array<bigint>")
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that may reach the threshold: sets differ in at least the sum of the differences of their sketches."""
+    x, y = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda u, v: F.abs(u - v)), F.lit(0), lambda t, v: t + v)
+    return pairs.join(x, "a").join(y, "b").filter(apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold: overlaps by fragment, summed for each pair."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("grams").alias("ga"))
@@ -209,7 +217,7 @@ def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: i
         return None
     central = groups.groupBy("node").agg(F.sum("company").alias("weight"))
     members, members_path = written(spark, groups.join(central, "node").select("key", "node", "n", "weight"), "jaccard-members")
-    nodes, nodes_path = written(spark, members.select("node", "n").distinct(), "jaccard-members")
+    nodes, nodes_path = written(spark, classes.select("node", "n", "sketch").join(central.select("node"), "node"), "jaccard-nodes")
     remove(spark, groups_path)
     involved = classes.join(nodes.select("node"), "node").select("rep", "c1", "c2", "node")
     frags = fragment_pass(texts.join(involved.select("rep", "c1", "c2"), "rep"), n).dropDuplicates(["rep", "c1", "part"])
@@ -218,21 +226,24 @@ def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: i
 
     # each member with the most central one of its group
     hubs = members.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    met, met_path = written(spark, members.join(hubs, "key").filter("node <> hub").select("node", "n", "hub", "hub_n").distinct(), "jaccard-met")
+    met, met_path = written(spark, members.join(hubs, "key").filter("node <> hub").groupBy("node", "n", "hub", "hub_n").agg(F.min(F.col("key") % 2 != 0).alias("odd")), "jaccard-met")
     near = met.filter(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-    pairs, pairs_path = written(spark, near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "jaccard-pairs")
+    pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs, pairs_path = written(spark, possible(pairs, nodes, percent), "jaccard-pairs")
     links, _ = written(spark, linked(pairs, sets, percent), "jaccard-links")
     labels, _ = written(spark, components(spark, links), "jaccard-labels")
 
     # families of groups that hold more than one component
-    families = components(spark, met.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("label", "unit")
+    families = components(spark, met.filter("NOT odd").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("label", "unit")
     told = nodes.join(labels, "node", "left").join(families, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("unit", "node").alias("unit"))
     told, told_path = written(spark, told, "jaccard-told")
     open_units = told.groupBy("unit").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
     rest = told.join(open_units.filter(F.col("size") <= family).select("unit"), "unit").select("unit", "node", "n", "label")
     wide = told.join(open_units.filter(F.col("size") > family).select("unit"), "unit").select("node", "n", "label")
-    if not wide.isEmpty():
-        inner = members.select("key", "node").join(wide, "node")
+    # odd keys join what has little in common; their groups are units of their own, as are all groups of too large a family
+    inner = members.filter("key % 2 <> 0").select("key", "node").join(told.select("node", "n", "label"), "node")
+    inner = inner.unionByName(members.filter("key % 2 = 0").select("key", "node").join(wide, "node"))
+    if not inner.isEmpty():
         mixed = inner.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
         rest = rest.unionByName(inner.join(mixed, "key").select(F.xxhash64(F.lit(3), "key").alias("unit"), "node", "n", "label"))
     rest, rest_path = written(spark, rest, "jaccard-rest")
@@ -242,7 +253,7 @@ def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: i
         few = rest.join(size.filter(F.col("size") <= FEW).select("unit"), "unit")
         x, y = (few.select("unit", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
         small = x.join(y, "unit").filter(f"a < b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-        found = linked(small.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+        found = linked(possible(small.join(pairs, ["a", "b"], "left_anti"), nodes, percent), sets, percent)
         large = rest.join(size.filter(F.col("size") > FEW).select("unit"), "unit")
         more, _ = written(spark, found.unionByName(compared_in_blocks(large, sets, percent)), "jaccard-links")
         if not more.isEmpty():
@@ -252,12 +263,12 @@ def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: i
     return labels
 
 
-def near_duplicates(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", family: int = 20_000) -> DataFrame:
+def near_duplicates(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", family: int = 4_000) -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id in reach) per row of df."""
     spark = df.sparkSession
     rows, rows_path = written(spark, set_pass(df, id_col, text_col, n, percent), "jaccard-rows")
     number = F.coalesce(F.col("id").cast("long"), F.lit(LAST))
-    classes = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min(number).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min(number).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes, classes_path = written(spark, classes, "jaccard-classes")
     rows, _ = written(spark, rows.select("id", "c1", "c2", "n"), "jaccard-ids")
     remove(spark, rows_path)
