@@ -208,11 +208,13 @@ def compared_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return tiles.groupBy("unit", "b1", "b2").applyInPandas(lambda pdf: block_links(pdf, percent), "a bigint, b bigint")
 
 
-def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: int, percent: int, family: int) -> DataFrame | None:
-    """node, label: components of classes (rep, c1, c2, node, n, keys); None where no two share a key. texts: rep, text."""
-    each = classes.select("node", "n", F.explode("keys").alias("key"))
+def link_classes(spark: SparkSession, keyed: DataFrame, keyed_path: str, classes: DataFrame, texts: DataFrame, n: int, percent: int, family: int) -> DataFrame | None:
+    """node, label: components of classes (rep, c1, c2, node, n, sketch); None where no two share a key. keyed: node, n, keys, a
+    view of the table at keyed_path, which goes once it has been read. texts: rep, text."""
+    each = keyed.select("node", "n", F.explode("keys").alias("key"))
     many = each.groupBy("key").agg(F.count("*").alias("company")).filter("company > 1")
     groups, groups_path = written(spark, each.join(many, "key"), "jaccard-groups")
+    remove(spark, keyed_path)
     if groups.isEmpty():
         return None
     central = groups.groupBy("node").agg(F.sum("company").alias("weight"))
@@ -255,7 +257,10 @@ def link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, n: i
         small = x.join(y, "unit").filter(f"a < b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
         found = linked(possible(small.join(pairs, ["a", "b"], "left_anti"), nodes, percent), sets, percent)
         large = rest.join(size.filter(F.col("size") > FEW).select("unit"), "unit")
-        more, _ = written(spark, found.unionByName(compared_in_blocks(large, sets, percent)), "jaccard-links")
+        more, _ = written(spark, found, "jaccard-links")
+        if not large.isEmpty():  # a job of its own: what the first has shuffled is gone by then
+            crossed, _ = written(spark, compared_in_blocks(large, sets, percent), "jaccard-links")
+            more = more.unionByName(crossed)
         if not more.isEmpty():
             labels, _ = written(spark, components(spark, links.unionByName(more)), "jaccard-labels")
     remove(spark, members_path, nodes_path, pairs_path, sets_path, met_path, told_path, rest_path)
@@ -276,9 +281,9 @@ def near_duplicates(df: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     twice = classes.groupBy("rep").count().filter("count > 1").select("rep", F.lit(True).alias("twice"))
     classes = classes.withColumn("node", F.col("rep")) if twice.isEmpty() else classes.join(twice, "rep", "left").withColumn("node", F.when(F.col("twice"), F.xxhash64("rep", "c1", "c2")).otherwise(F.col("rep"))).drop("twice")
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rep"), F.col(text_col).alias("text"))
-    labels = link_classes(spark, classes, texts, n, percent, family)
-    found, _ = written(spark, classes.select("c1", "c2", "rep", "node"), "jaccard-nodes")
-    remove(spark, classes_path)
+    narrow, _ = written(spark, classes.select("rep", "c1", "c2", "node", "n", "sketch"), "jaccard-nodes")
+    labels = link_classes(spark, classes.select("node", "n", "keys"), classes_path, narrow, texts, n, percent, family)
+    found = narrow.select("c1", "c2", "rep", "node")
     if labels is None:
         found = found.withColumnRenamed("rep", "component")
     else:
