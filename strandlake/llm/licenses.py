@@ -1,8 +1,10 @@
 """Licence scans by sentence rules (operator 7).
 
-A text is cut into sentences (at line ends, and after . ! ? : ; where white space follows, so that "2.0" stays whole), every
+A text is cut into sentences (at blank lines, and after . ! ? : ; where white space follows, so that "2.0" stays whole), every
 sentence is normalised (lower case, runs of anything but letters and digits become one blank), and known sentences become
-identifiers. Rules, most specific first, are ordered lists of identifiers; a rule matches where its identifiers follow one
+identifiers. A single line end is a blank, and comment marks before a line are dropped, so wrapped texts are read as if on one
+line; but whole lines that make up a known sentence are a sentence of their own, with or without an end before and after them.
+A known sentence may also hold : and ; as ends within. From the front, the longest known sentence is taken. Rules, most specific first, are ordered lists of identifiers; a rule matches where its identifiers follow one
 another with at most `gap` other sentences between two of them. A sentence that one rule has taken no later rule takes, and
 a rule matches as often as it can, from the front.
 
@@ -19,7 +21,10 @@ from pyspark.sql import DataFrame
 
 from strandlake.llm.common import map_arrow
 
-SENTENCE_END = re.compile(r"[.!?:;]+(?=\s|$)|[\r\n]+")
+SENTENCE_END = re.compile(r"([.!?:;]+)(?=\s|$)")
+LINE_END = re.compile(r"\r\n|\r|\n")
+MARKS = re.compile(r"[^0-9a-z.?:]*(?:(?:rem|dnl)\s+)?")  # of comments, before a line in lower case
+LINE, PART, END = range(3)  # what ends a piece of a text: a line end; : or ;; anything that no sentence goes over
 OTHER = re.compile(r"[^0-9a-z]+")
 
 # Names of licences as notices give them, normalised.
@@ -91,20 +96,46 @@ def known_sentences() -> dict[str, str]:
 
 
 KNOWN = known_sentences()
+#: The first words of known sentences, by number.
+STARTS = {" ".join(words[:k]) for words in map(str.split, KNOWN) for k in range(1, len(words) + 1)}
+
+
+def pieces(text: str) -> list[tuple[str, int]]:
+    """Normalised pieces of lines, with what ends each."""
+    out = []
+    for line in LINE_END.split(text.lower()):
+        parts = SENTENCE_END.split(line[MARKS.match(line).end() :])
+        empty = True
+        for raw, end in zip(parts[::2], [*parts[1::2], None]):
+            kind = LINE if end is None else END if set(end) & set(".!?") else PART
+            if s := OTHER.sub(" ", raw).strip():
+                out.append((s, kind))
+                empty = False
+            elif out and (empty if end is None else kind > out[-1][1]):
+                out[-1] = (out[-1][0], END if end is None else kind)
+    return out
 
 
 def identifiers(text: str | None) -> tuple[int, list[tuple[int, str]]]:
     """Number of sentences that hold a letter or digit, and (place, identifier) of the known ones."""
-    n, found = 0, []
-    for raw in SENTENCE_END.split(text or ""):
-        if not raw or raw.isspace():
-            continue
-        s = OTHER.sub(" ", raw.lower()).strip()
-        if s:
-            if (k := KNOWN.get(s)) is not None:
-                found.append((n, k))
-            n += 1
-    return n, found
+    n, found, cut, k, begun = 0, [], pieces(text or ""), 0, False
+    while k < len(cut):
+        s, j, best = cut[k][0], k, None
+        while s in STARTS:
+            if s in KNOWN:
+                best = (j, KNOWN[s])
+            if cut[j][1] == END or j + 1 == len(cut):
+                break
+            j += 1
+            s = f"{s} {cut[j][0]}"
+        if best:
+            n += begun
+            found.append((n, best[1]))
+            n, k, begun = n + 1, best[0] + 1, False
+        else:
+            begun = cut[k][1] == LINE
+            n, k = n + (not begun), k + 1
+    return n + begun, found
 
 
 def matches(found: list[tuple[int, str]], gap: int = 2) -> list[tuple[str, int, int]]:

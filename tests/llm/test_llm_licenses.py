@@ -46,3 +46,59 @@ def test_query_finds_what_a_plain_search_finds(spark):
         assert set(want) <= set(filter(None, got[r.doc_id].split(",")))
         if not any(k.rstrip(".") in r.text.lower() for k in lines):
             assert got[r.doc_id] == ""
+
+
+MIT_TEXT = MIT + """ and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+NAMES_TEXT = """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+GPL_3_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+GPL_2_TEXT = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version."""
+WRAPPED = {MIT_TEXT: "MIT", BSD_TEXT: "BSD-2-Clause", BSD_TEXT + NAMES_TEXT: "BSD-3-Clause", ISC_TEXT: "ISC", GPL_3_TEXT: "GPL-3.0-or-later", GPL_2_TEXT: "GPL-2.0-or-later", GPL_2_TEXT.replace("This program", "This"): "GPL-2.0-or-later"}
+
+
+def test_wrapped_texts():
+    for text, name in WRAPPED.items():
+        for mark in ("", "# ", " * ", "// ", ";; ", "! ", "REM ", "dnl "):
+            for end in ("\n", "\r\n", "\r"):
+                marked = end.join(mark + x for x in text.split("\n"))
+                assert names(marked) == [name], (mark, marked)
+                assert names(f"/*{end}{marked}{end} */{end}code = 1;") == [name]
+                assert names(f"Copyright (c) Somebody{end}{marked}") == [name]  # no end before it
+    assert names("Licensed under the\nMIT License") == names("words\nLicensed under the MIT\nLicense\nwords") == ["MIT"]
+    assert names("Licensed under the\n\nMIT License and words") == names("I read about the\nMIT License today") == []
+    assert licenses.identifiers("some words\nthat go on. More\n\nThe end\nof it") == (3, [])
+    assert licenses.identifiers("some words\non two lines\nReleased under the\nMIT License\nmore\nwords") == (3, [(1, "name:MIT")])
+    bsd = [sentence(k) for k in ("bsd-intro", "bsd-source", "bsd-binary")]
+    assert names("\nA sentence\nwrapped at\neach word\nand line.\n".join(bsd)) == ["BSD-2-Clause"]  # gaps are of sentences, not of lines
