@@ -135,14 +135,20 @@ def binom_test(spark, sf):
 
 
 @register("ld_pairs", "WITH q AS (SELECT l_partkey, l_suppkey % 20 AS s, sum(l_quantity) AS q FROM lineitem WHERE l_partkey <= 60 GROUP BY 1, 2) SELECT a.l_partkey AS x, b.l_partkey AS y, CAST(count(*) AS BIGINT) AS n, round(pow(corr(a.q, b.q), 2), 6) AS r2 FROM q a JOIN q b ON a.s = b.s AND b.l_partkey BETWEEN a.l_partkey + 1 AND a.l_partkey + 3 GROUP BY 1, 2 HAVING count(*) >= 5")
-def ld_pairs(spark, sf):
-    """r2 of the quantity vectors of neighbouring parts (window of three); the first sixty parts are the region asked for."""
-    q = table(spark, sf, "lineitem").filter("l_partkey <= 60").groupBy("l_partkey", (F.col("l_suppkey") % 20).alias("s")).agg(F.sum("l_quantity").alias("q"))
+def ld_pairs(spark, sf, region="l_partkey <= 60"):
+    """r2 of the quantity vectors of neighbouring parts (window of three) of a region; its SQL holds the first sixty parts."""
+    q = table(spark, sf, "lineitem").filter(region).groupBy("l_partkey", (F.col("l_suppkey") % 20).alias("s")).agg(F.sum("l_quantity").alias("q"))
     a = q.select(F.explode(F.sequence(F.col("l_partkey") + 1, F.col("l_partkey") + 3)).alias("y"), F.col("l_partkey").alias("x"), "s", F.col("q").alias("qa"))
     met = a.join(q.select(F.col("l_partkey").alias("y"), "s", F.col("q").alias("qb")), ["y", "s"])
     return genotypes.ld(met, ["x", "y"], "qa", "qb").filter("n >= 5").withColumn("r2", F.round("r2", 6))
 
 
+@register("ld_pairs_all")
+def ld_pairs_all(spark, sf):
+    """ld_pairs of all parts."""
+    return ld_pairs(spark, sf, "true")
+
+
 @register("norm_split", "SELECT p_partkey, CAST(i AS INTEGER) AS alt_index, string_split(p_type, ' ')[i] AS alt FROM (SELECT p_partkey, p_type, unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS i FROM part)")
 def norm_split(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.split("p_type", " ").alias("alt"))
