@@ -1,5 +1,7 @@
 """Joins: presence masks, intervals, as-of, nearest, annotation, merging."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from strandlake.operators import regions, setops
@@ -69,13 +71,13 @@ def merge_outer_columns(spark, sf):
     return setops.outer_columns(side(0, "q_a"), side(3, "q_b"), ["l_partkey"])
 
 
-def windows(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderstatus = 'P'")
+def windows(spark, sf, whole=False):
+    o = table(spark, sf, "orders").filter("true" if whole else "o_orderstatus = 'P'")
     return o.select(F.col("o_orderpriority").alias("pri"), F.floor(epoch("o_orderdate") / DAY).alias("beg"), "o_orderkey").withColumn("end", F.col("beg") + F.col("o_orderkey") % 5)
 
 
-def shipments(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_quantity > 45")
+def shipments(spark, sf, whole=False):
+    li = table(spark, sf, "lineitem").filter("true" if whole else "l_quantity > 45")
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("spri"))
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("spri", "l_orderkey", "l_linenumber", F.floor(epoch("l_shipdate") / DAY).alias("sbeg")).withColumn("send", F.col("sbeg") + F.col("l_linenumber"))
 
@@ -85,36 +87,36 @@ s AS (SELECT o_orderpriority AS spri, l_orderkey, l_linenumber, CAST(epoch(l_shi
 
 
 @register("interval_overlap_join", WINDOWS + 'SELECT w.o_orderkey, s.l_orderkey, s.l_linenumber FROM w JOIN s ON pri = spri AND beg <= send AND sbeg <= "end"')
-def interval_overlap_join(spark, sf):
-    return regions.overlap_join(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end")).select("o_orderkey", "l_orderkey", "l_linenumber")
+def interval_overlap_join(spark, sf, whole=False):
+    return regions.overlap_join(shipments(spark, sf, whole), windows(spark, sf, whole), [("spri", "pri")], ("sbeg", "send"), ("beg", "end")).select("o_orderkey", "l_orderkey", "l_linenumber")
 
 
 @register("region_include", WINDOWS + 'SELECT l_orderkey, l_linenumber FROM s WHERE EXISTS (SELECT 1 FROM w WHERE pri = spri AND beg <= send AND sbeg <= "end")')
-def region_include(spark, sf):
-    return regions.overlap_join(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left_semi").select("l_orderkey", "l_linenumber")
+def region_include(spark, sf, whole=False):
+    return regions.overlap_join(shipments(spark, sf, whole), windows(spark, sf, whole), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left_semi").select("l_orderkey", "l_linenumber")
 
 
 @register("region_exclude", WINDOWS + 'SELECT l_orderkey, l_linenumber FROM s WHERE NOT EXISTS (SELECT 1 FROM w WHERE pri = spri AND beg <= send AND sbeg <= "end")')
-def region_exclude(spark, sf):
-    return regions.overlap_join(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left_anti").select("l_orderkey", "l_linenumber")
+def region_exclude(spark, sf, whole=False):
+    return regions.overlap_join(shipments(spark, sf, whole), windows(spark, sf, whole), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left_anti").select("l_orderkey", "l_linenumber")
 
 
 @register("annotate_min_overlap", WINDOWS + 'SELECT w.o_orderkey, s.l_orderkey, s.l_linenumber FROM w JOIN s ON pri = spri AND beg <= send AND sbeg <= "end" WHERE (least(send, "end") - greatest(sbeg, beg) + 1) >= 0.5 * ("end" - beg + 1)')
-def annotate_min_overlap(spark, sf):
+def annotate_min_overlap(spark, sf, whole=False):
     shared = F.least("send", "end") - F.greatest("sbeg", "beg") + 1
-    return regions.overlap_join(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), residual=shared >= 0.5 * (F.col("end") - F.col("beg") + 1)).select("o_orderkey", "l_orderkey", "l_linenumber")
+    return regions.overlap_join(shipments(spark, sf, whole), windows(spark, sf, whole), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), residual=shared >= 0.5 * (F.col("end") - F.col("beg") + 1)).select("o_orderkey", "l_orderkey", "l_linenumber")
 
 
 @register("annotate_left_range", WINDOWS + 'SELECT s.l_orderkey, s.l_linenumber, CAST(count(w.o_orderkey) AS BIGINT) AS n, min(w.o_orderkey) AS first, CAST(sum(w.o_orderkey) AS BIGINT) AS total FROM s LEFT JOIN w ON pri = spri AND beg <= send AND sbeg <= "end" GROUP BY ALL')
-def annotate_left_range(spark, sf):
-    met = regions.overlap_join(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left")
+def annotate_left_range(spark, sf, whole=False):
+    met = regions.overlap_join(shipments(spark, sf, whole), windows(spark, sf, whole), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left")
     return met.groupBy("l_orderkey", "l_linenumber").agg(F.count("o_orderkey").alias("n"), F.min("o_orderkey").alias("first"), F.sum("o_orderkey").alias("total"))
 
 
 @register("merge_intervals", WINDOWS + """, m AS (SELECT *, max("end") OVER (PARTITION BY pri ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM w),
 i AS (SELECT *, sum(CASE WHEN pe >= beg THEN 0 ELSE 1 END) OVER (PARTITION BY pri ORDER BY beg, "end" ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT pri, min(beg) AS beg, max("end") AS "end", CAST(count(*) AS BIGINT) AS n FROM i GROUP BY pri, k""")
-def merge_intervals(spark, sf):
-    return regions.merge_intervals(windows(spark, sf), ["pri"], "beg", "end")
+def merge_intervals(spark, sf, whole=False):
+    return regions.merge_intervals(windows(spark, sf, whole), ["pri"], "beg", "end")
 
 
 @register("asof_map_interp", """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, value FROM events), q AS (SELECT * FROM e WHERE event_id % 3 = 0), m AS (SELECT user_id, t, max(value) AS value FROM e WHERE event_id % 3 <> 0 GROUP BY 1, 2),
@@ -178,8 +180,13 @@ def gvcf_islands(spark, sf):
 
 
 @register("gvcf_expand", "SELECT o_orderkey, CAST(unnest(range(o_orderkey % 5 + 1)) AS BIGINT) + CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS pos FROM orders WHERE o_orderstatus = 'P'")
-def gvcf_expand(spark, sf):
-    return windows(spark, sf).select("o_orderkey", F.explode(F.sequence("beg", "end")).alias("pos"))
+def gvcf_expand(spark, sf, whole=False):
+    return windows(spark, sf, whole).select("o_orderkey", F.explode(F.sequence("beg", "end")).alias("pos"))
+
+
+# The same of all orders and all lines.
+for _f in (interval_overlap_join, region_include, region_exclude, annotate_min_overlap, annotate_left_range, merge_intervals, gvcf_expand):
+    register(f"{_f.__name__}_all")(partial(_f, whole=True))
 
 
 @register("annotate_transfer", "SELECT o_orderkey, coalesce(c_mktsegment, '.') AS segment, CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END AS mark FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")

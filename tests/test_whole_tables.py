@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from datetime import datetime, timedelta
 from statistics import correlation
 
 import pytest
@@ -11,17 +12,24 @@ from strandlake import plans
 RNG = random.Random(11)
 
 
+def day(n):
+    return datetime(1995, 1, 1) + timedelta(days=n)
+
+
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
-    """A folder of small tables, and the rows of lineitem."""
+    """A folder of small tables, and the rows of lineitem and orders."""
     d = str(tmp_path_factory.mktemp("small"))
-    lines = [dict(l_orderkey=RNG.randrange(60), l_partkey=RNG.choice([1, 2, 3, 61, 62, 63, 65, 70, 900, 902]), l_suppkey=RNG.randrange(40), l_quantity=float(RNG.randint(1, 50))) for _ in range(400)]
+    lines = [dict(l_orderkey=RNG.randrange(60), l_partkey=RNG.choice([1, 2, 3, 61, 62, 63, 65, 70, 900, 902]), l_suppkey=RNG.randrange(40), l_quantity=float(RNG.randint(1, 50)), l_linenumber=i, l_shipdate=day(RNG.randrange(90))) for i in range(400)]
+    orders = [dict(o_orderkey=k, o_orderstatus=RNG.choice("FOP"), o_orderpriority=RNG.choice(["1-URGENT", "2-HIGH"]), o_orderdate=day(RNG.randrange(90))) for k in range(60)]
+    lines = [x | {"l_linenumber": x["l_linenumber"] % 7} for x in {(x["l_orderkey"], x["l_linenumber"] % 7): x for x in lines}.values()]
     spark.createDataFrame(lines).write.parquet(f"{d}/lineitem.parquet")
-    return d, lines
+    spark.createDataFrame(orders).write.parquet(f"{d}/orders.parquet")
+    return d, lines, orders
 
 
 def test_ld_pairs_all(spark, small):
-    d, lines = small
+    d, lines, _ = small
     q = defaultdict(float)
     for x in lines:
         q[x["l_partkey"], x["l_suppkey"] % 20] += x["l_quantity"]
@@ -34,3 +42,33 @@ def test_ld_pairs_all(spark, small):
     got = {(r.x, r.y): (r.n, r.r2) for r in plans.queries()["ld_pairs_all"](spark, d).collect()}
     assert set(got) == set(want) and {(61, 62), (900, 902)} < set(got)
     assert all(got[k] == (n, pytest.approx(r2, abs=1e-6)) for k, (n, r2) in want.items())
+
+
+def got(spark, d, name, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in plans.queries()[name](spark, d).collect())
+
+
+def test_intervals_of_all_rows(spark, small):
+    d, lines, orders = small
+    number = lambda t: (t - datetime(1970, 1, 1)).days
+    w = [(o["o_orderpriority"], number(o["o_orderdate"]), number(o["o_orderdate"]) + o["o_orderkey"] % 5, o["o_orderkey"]) for o in orders]
+    pri = {o["o_orderkey"]: o["o_orderpriority"] for o in orders}
+    s = [(pri[x["l_orderkey"]], number(x["l_shipdate"]), number(x["l_shipdate"]) + x["l_linenumber"], x["l_orderkey"], x["l_linenumber"]) for x in lines]
+    met = {b[3:]: [a for a in w if a[0] == b[0] and a[1] <= b[2] and b[1] <= a[2]] for b in s}
+    line = {b[3:]: b for b in s}
+    assert len(line) == len(s) and any(met.values()) and not all(met.values())
+    assert got(spark, d, "interval_overlap_join_all", "o_orderkey", "l_orderkey", "l_linenumber") == sorted((a[3], *k) for k, v in met.items() for a in v)
+    assert got(spark, d, "region_include_all", "l_orderkey", "l_linenumber") == sorted(k for k, v in met.items() if v)
+    assert got(spark, d, "region_exclude_all", "l_orderkey", "l_linenumber") == sorted(k for k, v in met.items() if not v)
+    half = [(a[3], *k) for k, v in met.items() for a in v if min(line[k][2], a[2]) - max(line[k][1], a[1]) + 1 >= 0.5 * (a[2] - a[1] + 1)]
+    assert got(spark, d, "annotate_min_overlap_all", "o_orderkey", "l_orderkey", "l_linenumber") == sorted(half)
+    sums = {(r.l_orderkey, r.l_linenumber): (r.n, r.first, r.total) for r in plans.queries()["annotate_left_range_all"](spark, d).collect()}
+    assert sums == {k: (len(v), min((a[3] for a in v), default=None), sum(a[3] for a in v) if v else None) for k, v in met.items()}
+    merged = []
+    for p, beg, end, _ in sorted(w):
+        if merged and merged[-1][0] == p and beg <= merged[-1][2]:
+            merged[-1] = (p, merged[-1][1], max(end, merged[-1][2]), merged[-1][3] + 1)
+        else:
+            merged.append((p, beg, end, 1))
+    assert got(spark, d, "merge_intervals_all", "pri", "beg", "end", "n") == merged
+    assert got(spark, d, "gvcf_expand_all", "o_orderkey", "pos") == sorted((a[3], p) for a in w for p in range(a[1], a[2] + 1))
