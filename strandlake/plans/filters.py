@@ -51,6 +51,15 @@ def filter_arithmetic(spark, sf):
     return df.filter(hit).select("l_orderkey", "l_linenumber", F.round(compile_value("l_extendedprice*(1-l_discount)/l_quantity", df), 3).alias("unit"))
 
 
+@register("filter_arithmetic_all")
+def filter_arithmetic_all(spark, sf):
+    """filter_arithmetic of all orders; the remainder is a value."""
+    df = table(spark, sf, "lineitem")
+    hit = compile_filter("l_extendedprice*(1-l_discount)/l_quantity > 1500", df).site
+    unit = F.round(compile_value("l_extendedprice*(1-l_discount)/l_quantity", df), 3)
+    return df.filter(hit).select("l_orderkey", "l_linenumber", unit.alias("unit"), compile_value("l_orderkey % 7", df).cast("long").alias("rest"))
+
+
 @register(
     "filter_missing_logic",
     """SELECT c_custkey, CAST(count(*) FILTER (o_totalprice IS NULL) AS BIGINT) AS eq_missing, CAST(count(*) FILTER (o_totalprice IS DISTINCT FROM 1000.0) AS BIGINT) AS ne_const,

@@ -71,6 +71,15 @@ def merge_outer_columns(spark, sf):
     return setops.outer_columns(side(0, "q_a"), side(3, "q_b"), ["l_partkey"])
 
 
+@register("merge_outer_columns_all")
+def merge_outer_columns_all(spark, sf):
+    """All lines in two sides: suppliers of even number, and the others."""
+    li = table(spark, sf, "lineitem")
+    even = F.coalesce(F.col("l_suppkey") % 2 == 0, F.lit(False))
+    side = lambda rows, name: li.filter(rows).groupBy("l_partkey").agg(F.sum("l_quantity").alias(name))
+    return setops.outer_columns(side(even, "q_a"), side(~even, "q_b"), ["l_partkey"])
+
+
 def windows(spark, sf, whole=False):
     o = table(spark, sf, "orders").filter("true" if whole else "o_orderstatus = 'P'")
     return o.select(F.col("o_orderpriority").alias("pri"), F.floor(epoch("o_orderdate") / DAY).alias("beg"), "o_orderkey").withColumn("end", F.col("beg") + F.col("o_orderkey") % 5)

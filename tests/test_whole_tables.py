@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from math import comb
 from statistics import correlation
 
 import pytest
@@ -20,7 +21,7 @@ def day(n):
 def small(spark, tmp_path_factory):
     """A folder of small tables, and the rows of lineitem and orders."""
     d = str(tmp_path_factory.mktemp("small"))
-    lines = [dict(l_orderkey=RNG.randrange(60), l_partkey=RNG.choice([1, 2, 3, 61, 62, 63, 65, 70, 900, 902]), l_suppkey=RNG.randrange(40), l_quantity=float(RNG.randint(1, 50)), l_linenumber=i, l_shipdate=day(RNG.randrange(90))) for i in range(400)]
+    lines = [dict(l_orderkey=RNG.randrange(60), l_partkey=RNG.choice([1, 2, 3, 61, 62, 63, 65, 70, 900, 902]), l_suppkey=RNG.randrange(40), l_quantity=float(RNG.randint(1, 50)), l_linenumber=i, l_shipdate=day(RNG.randrange(90)), l_extendedprice=RNG.uniform(1000, 99000), l_discount=RNG.randrange(11) / 100, l_returnflag=RNG.choice("ANR")) for i in range(400)]
     orders = [dict(o_orderkey=k, o_orderstatus=RNG.choice("FOP"), o_orderpriority=RNG.choice(["1-URGENT", "2-HIGH"]), o_orderdate=day(RNG.randrange(90))) for k in range(60)]
     lines = [x | {"l_linenumber": x["l_linenumber"] % 7} for x in {(x["l_orderkey"], x["l_linenumber"] % 7): x for x in lines}.values()]
     spark.createDataFrame(lines).write.parquet(f"{d}/lineitem.parquet")
@@ -72,3 +73,29 @@ def test_intervals_of_all_rows(spark, small):
             merged.append((p, beg, end, 1))
     assert got(spark, d, "merge_intervals_all", "pri", "beg", "end", "n") == merged
     assert got(spark, d, "gvcf_expand_all", "o_orderkey", "pos") == sorted((a[3], p) for a in w for p in range(a[1], a[2] + 1))
+
+
+def test_two_sides_of_all_lines(spark, small):
+    d, lines, _ = small
+    q = defaultdict(lambda: [None, None])
+    for x in lines:
+        both = q[x["l_partkey"]]
+        both[x["l_suppkey"] % 2] = (both[x["l_suppkey"] % 2] or 0) + x["l_quantity"]
+    assert got(spark, d, "merge_outer_columns_all", "l_partkey", "q_a", "q_b") == sorted((k, *v) for k, v in q.items())
+
+
+def test_filter_of_all_orders(spark, small):
+    d, lines, _ = small
+    unit = lambda x: x["l_extendedprice"] * (1 - x["l_discount"]) / x["l_quantity"]
+    want = sorted((x["l_orderkey"], x["l_linenumber"], pytest.approx(unit(x), abs=1e-3), x["l_orderkey"] % 7) for x in lines if unit(x) > 1500)
+    assert len({x[3] for x in want}) == 7
+    assert [(*r,) for r in got(spark, d, "filter_arithmetic_all", "l_orderkey", "l_linenumber", "unit", "rest")] == want
+
+
+def test_fisher_of_all_lines(spark, small):
+    d, lines, _ = small
+    n = lambda flag, low: sum(x["l_returnflag"] == flag and (x["l_discount"] < 0.05) == low for x in lines)
+    a, b, c, e = n("A", True), n("A", False), n("R", True), n("R", False)
+    ways = [comb(a + b, k) * comb(c + e, a + c - k) for k in range(max(0, a + c - c - e), min(a + b, a + c) + 1)]
+    p = sum(w for w in ways if w <= ways[a - max(0, a - e)]) / sum(ways)
+    assert got(spark, d, "fisher_2x2", "y", "a", "b", "c", "d", "p") == [(1995, a, b, c, e, pytest.approx(p, abs=1e-9))]
