@@ -174,6 +174,14 @@ def sort_multi_key(spark, sf):
     return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.col("o_orderdate").desc(), "o_orderkey")).cast("long").alias("place"))
 
 
+@register("sort_multi_key_all")
+def sort_multi_key_all(spark, sf):
+    """All orders with their places, newest first: range partitions and their offsets, so no task sees all rows."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    places = setops.scatter(o, 1, F.col("o_orderdate").desc(), F.col("o_orderkey").asc())
+    return places.select("o_orderkey", (F.col("chunk") + 1).cast("long").alias("place")).orderBy("place")
+
+
 @register("concat_union", "SELECT o_orderkey, CAST(0 AS INTEGER) AS src FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, CAST(1 AS INTEGER) FROM orders WHERE o_orderkey % 3 <> 1")
 def concat_union(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")

@@ -99,3 +99,11 @@ def test_fisher_of_all_lines(spark, small):
     ways = [comb(a + b, k) * comb(c + e, a + c - k) for k in range(max(0, a + c - c - e), min(a + b, a + c) + 1)]
     p = sum(w for w in ways if w <= ways[a - max(0, a - e)]) / sum(ways)
     assert got(spark, d, "fisher_2x2", "y", "a", "b", "c", "d", "p") == [(1995, a, b, c, e, pytest.approx(p, abs=1e-9))]
+
+
+def test_places_of_all_orders(spark, tmp_path):
+    orders = [dict(o_orderkey=k, o_orderdate=day(RNG.randrange(20))) for k in RNG.sample(range(1000), 300)]
+    spark.createDataFrame(orders).repartition(7).write.parquet(f"{tmp_path}/orders.parquet")
+    want = sorted(orders, key=lambda o: (-o["o_orderdate"].toordinal(), o["o_orderkey"]))
+    rows = [(r.o_orderkey, r.place) for r in plans.queries()["sort_multi_key_all"](spark, str(tmp_path)).collect()]
+    assert rows == [(o["o_orderkey"], i + 1) for i, o in enumerate(want)]
