@@ -8,6 +8,9 @@ Every boolean node has two truths, that of the site and that of each sample. Mis
 else, are unequal to everything else, and are neither less nor greater. Vectors compare by any pair of elements. With
 ``compat=True`` operators of equal precedence group to the right and comparisons are done in single precision where both
 sides are small enough, as the command-line language does.
+
+FILTER is compared as a set, TYPE as the set of the ALTs' types. ``{STR}``, ``{INT}``, ``{FLOAT}`` and ``{}`` stand for columns that
+are bound in turn (the values of the other side of a join), and ``py.name(..)`` calls a function of columns that is given by name.
 """
 
 from __future__ import annotations
@@ -15,24 +18,39 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.functions import stats_math as M
+from strandlake.functions.stats_math import variant_type
 
 PRECEDENCE = {"||": 2, "|": 2, "&&": 3, "&": 3, "=": 5, "==": 5, "!=": 5, "<": 5, "<=": 5, ">": 5, ">=": 5, "~": 5, "!~": 5, "+": 6, "-": 6, "*": 7, "/": 7, "%": 7}
-TOKEN = re.compile(r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>"[^"]*"(?:/i)?|'[^']*'(?:/i)?)|(?P<set>@[\w./-]+)|(?P<op>\|\||&&|==|!=|<=|>=|!~|[-+*/%<>=~|&()\[\],:])|(?P<name>(?:(?:INFO|FORMAT|FMT)/)?[A-Za-z_][\w.]*))""")
+TOKEN = re.compile(r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>"[^"]*"(?:/i)?|'[^']*'(?:/i)?)|(?P<bound>\{(?:STR|INT|FLOAT)?\})|(?P<set>@[\w./-]+)|(?P<op>\|\||&&|==|!=|<=|>=|!~|[-+*/%<>=~|&()\[\],:])|(?P<name>(?:(?:INFO|FORMAT|FMT)/)?[A-Za-z_][\w.]*))""")
+# Bits of the types of a site; one without variants is "ref".
+TYPE_BITS = {"ref": 1, "snp": 2, "mnp": 4, "indel": 8, "other": 16, "bnd": 32, "overlap": 64}
 AGGREGATES = {"MAX", "MIN", "AVG", "MEAN", "MEDIAN", "STDEV", "SUM", "COUNT"}
 
 
+def names_in(path: str) -> list[str]:
+    """The lines of a short list, from whatever file system Spark reads."""
+    spark = SparkSession.getActiveSession()
+    try:
+        return [r.value.strip() for r in spark.read.text(path).collect() if r.value.strip()]
+    except AnalysisException as e:
+        raise FilterError(f"cannot read {path!r}") from e
+
+
 class FilterError(ValueError):
     """A name or a form that the expression cannot have."""
 
 
 @dataclass
 class Value:
-    """A vector operand. kind: num or str; col: array<double|string> of the site, or array of such arrays by sample;
+    """A vector operand. kind: num or str (gt, filter and type: the genotype, FILTER and TYPE terms); col: array<double|string> of the site, or array of such arrays by sample;
     scalar: the plain column where there is one; literal: its value if constant."""
 
     kind: str
@@ -68,9 +86,10 @@ def _array(c: Column, kind: str) -> Column:
 
 
 class Compiler:
-    def __init__(self, schema: T.StructType, samples: str = "samples", sets: dict[str, list[str]] | None = None, compat: bool = False, columns: dict[str, Column] | None = None):
+    def __init__(self, schema: T.StructType, samples: str = "samples", sets: dict[str, list[str]] | None = None, compat: bool = False, columns: dict[str, Column] | None = None, bound: list[Column] = (), functions: dict[str, Callable] | None = None):
         self.fields = {f.name: f.dataType for f in schema}
         self.samples, self.sets, self.compat, self.columns = samples, sets or {}, compat, columns or {}
+        self.bound, self.functions = list(bound), functions or {}
         s = self.fields.get(samples)
         self.fmt = {f.name: f.dataType for f in s.elementType} if isinstance(s, T.ArrayType) and isinstance(s.elementType, T.StructType) else {}
         info = self.fields.get("info")
@@ -129,9 +148,13 @@ class Compiler:
             s = t[1:-3] if fold else t[1:-1]
             return Value("str", F.split(F.lit(s), ",") if s else F.array(F.lit("")), literal=("(?i)" if fold else "") + s)
         if kind == "set":
-            if t[1:] not in self.sets:
-                raise FilterError(f"no set named {t[1:]!r}")
-            return Value("str", F.array(*map(F.lit, self.sets[t[1:]])), literal=list(self.sets[t[1:]]))
+            names = list(self.named(t[1:]))
+            return Value("str", F.array(*map(F.lit, names)), literal=names)
+        if kind == "bound":
+            if not self.bound:
+                raise FilterError(f"nothing is bound to {t}")
+            c = self.bound.pop(0)
+            return Value("str", F.array(c.cast("string")), scalar=c.cast("string")) if t in ("{}", "{STR}") else Value("num", F.array(c.cast("double")), scalar=c.cast("double"))
         if kind == "name" and self.peek() == ("op", "("):
             return self.call(t)
         if kind == "name":
@@ -142,8 +165,18 @@ class Compiler:
     def number(x: float) -> Value:
         return Value("num", F.array(F.lit(x)), scalar=F.lit(x), literal=x)
 
+    def named(self, name: str) -> list[str]:
+        """A set that was given, or the lines of a file."""
+        return self.sets[name] if name in self.sets else names_in(name)
+
     # names
     def resolve(self, name: str) -> Value:
+        if name == "FILTER" and isinstance(self.fields.get("filters"), T.ArrayType):
+            return Value("filter", F.coalesce("filters", F.array().cast("array<string>")))
+        if name == "TYPE" and "alt" in self.fields and not {"TYPE", "type"} & self.fields.keys():
+            bit = lambda a: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in TYPE_BITS.items() for x in kv)), variant_type(F.col("ref"), a)), F.lit(16))
+            bits = F.aggregate(F.transform("alt", bit), F.lit(0), lambda s, x: s.bitwiseOR(x))
+            return Value("type", F.when(bits <= 1, 1).otherwise(bits.bitwiseAND(F.lit(126))))
         head, _, tail = name.partition("/")
         if head in ("FORMAT", "FMT") and tail:
             return self.sample_field(tail)
@@ -225,6 +258,8 @@ class Compiler:
             parts.append(self.take()[1])
         self.take("]")
         spec = "".join(parts)
+        if spec.startswith("@") or "GT" in spec.split(":"):
+            return self.chosen(v, spec)
         smpl, _, idx = spec.rpartition(":") if ":" in spec else (("", "", spec) if not v.per_sample else (spec, ":", "*"))
         pick = lambda a: a if idx in ("", "*") else F.array(*(F.get(a, F.lit(int(k))) for k in self.positions(idx))) if "-" not in idx or not idx.endswith("-") else F.slice(a, int(idx[:-1]) + 1, 1 << 20)
         if not v.per_sample:
@@ -235,6 +270,34 @@ class Compiler:
             col = F.transform(col, lambda x, i: F.when(i.isin(keep), x))
         return Value(v.kind, F.transform(col, pick) if v.kind != "gt" else col, per_sample=True)
 
+    def chosen(self, v: Value, spec: str) -> Value:
+        """Subscripts by a list of samples (@file, @file:index) or by genotype (GT, samples:GT: the values of the alleles that a
+        sample has)."""
+        if not v.per_sample:
+            raise FilterError(f"[{spec}] is for FORMAT fields only")
+        smpl, _, idx = spec.rpartition(":") if ":" in spec else (spec, "", "*") if spec.startswith("@") else ("*", "", spec)
+        if v.kind == "gt":
+            if idx == "GT":
+                raise FilterError("genotypes have no values by genotype")
+        none = F.array().cast(f"array<{'string' if v.kind == 'str' else 'double'}>")
+        pick = lambda a: a if idx in ("", "*") else F.array(*(F.get(a, F.lit(k)) for k in self.positions(idx)))
+        if idx == "GT":
+            own = lambda a, s: F.when(F.exists(s["gt"], lambda g: g.isNull()), none).otherwise(F.transform(F.array_distinct(s["gt"]), lambda g: F.get(a, g)))
+        else:
+            own = lambda a, s: pick(a)
+        if smpl.startswith("@"):
+            keep = lambda s, i: s["sample"].isin(list(self.named(smpl[1:])))
+        elif smpl in ("", "*"):
+            keep = None
+        else:
+            places = self.positions(smpl)
+            keep = lambda s, i: i.isin(places)
+        pairs = F.zip_with(v.col, self.samples, lambda a, s: F.struct(a.alias("a"), s.alias("s"))) if v.kind != "gt" else F.transform(v.col, lambda s: F.struct(s.alias("a"), s.alias("s")))
+        if v.kind == "gt":
+            return Value("gt", F.transform(pairs, lambda x, i: x["a"] if keep is None else F.when(keep(x["s"], i), x["a"])), per_sample=True)
+        take = lambda x, i: own(x["a"], x["s"]) if keep is None else F.when(keep(x["s"], i), own(x["a"], x["s"])).otherwise(none)
+        return Value(v.kind, F.transform(pairs, take), per_sample=True)
+
     @staticmethod
     def positions(spec: str) -> list[int]:
         out = []
@@ -273,6 +336,11 @@ class Compiler:
             f = lambda a: F.transform(a, F.abs)
         elif up == "PHRED":
             f = lambda a: F.transform(a, lambda p: -10 * F.log10(p))
+        elif name.startswith("py.") and name[3:] in self.functions:
+            out = self.functions[name[3:]](*(x.scalar if x.scalar is not None else x.col for x in args))
+            return Value("num", F.array(out.cast("double")), scalar=out)
+        elif up in ("BINOM", "FISHER") and args[0].per_sample:
+            return self.exact_by_sample(up, args)
         elif up in ("BINOM", "FISHER"):
             flat = F.concat(*(x.col for x in args))
             out = M.binom_two_sided(F.get(flat, F.lit(0)), F.get(flat, F.lit(1))) if up == "BINOM" else M.fisher_exact(*(F.get(flat, F.lit(i)) for i in range(4)))
@@ -284,6 +352,23 @@ class Compiler:
             return Value("num", F.transform(v.col, f), per_sample=True)
         return Value("num", f(v.col))
 
+    def exact_by_sample(self, name: str, args: list[Value]) -> Value:
+        """Exact tests of FORMAT fields. BINOM of one field compares the values of the two alleles of the genotype."""
+        at = lambda x, i: F.get(x, F.lit(i))
+        if name == "BINOM" and len(args) == 1:
+            whole = lambda g: (F.size(g) >= 2) & ~F.exists(g, lambda v: v.isNull())
+            one = lambda x, s: F.when(whole(s["gt"]), M.binom_two_sided(F.get(x, at(s["gt"], 0)), F.get(x, at(s["gt"], 1))))
+            out = F.zip_with(args[0].col, self.samples, one)
+        elif name == "BINOM":
+            out = F.zip_with(args[0].col, args[1].col, lambda x, y: M.binom_two_sided(at(x, 0), at(y, 0)))
+        else:
+            test = lambda *x: F.when(~F.exists(F.array(*x), lambda v: v.isNull()), M.fisher_exact(*x))
+            if len(args) == 1:
+                out = F.transform(args[0].col, lambda x: test(*(at(x, i) for i in range(4))))
+            else:
+                out = F.zip_with(args[0].col, args[1].col, lambda x, y: test(at(x, 0), at(y, 0), at(x, 1), at(y, 1)))
+        return Value("num", F.transform(out, lambda p: F.array(p)), per_sample=True)
+
     # operators
     def apply(self, op: str, a, b):
         if op in ("&&", "||", "&", "|"):
@@ -335,6 +420,11 @@ class Compiler:
     def compare(self, op: str, a, b):
         if isinstance(a, Truth) or isinstance(b, Truth):
             raise FilterError(f"{op} needs values")
+        if {"filter", "type"} & {a.kind, b.kind}:
+            v, lit = (a, b) if a.kind in ("filter", "type") else (b, a)
+            if not isinstance(lit.literal, str) or op not in ("=", "==", "!=", "~", "!~"):
+                raise FilterError(f"{v.kind} is compared with a text by =, !=, ~ or !~")
+            return Truth(self.site_set(v, lit.literal, op))
         if "gt" in (a.kind, b.kind):
             v, lit = (a, b) if a.kind == "gt" else (b, a)
             mask = F.transform(v.col, lambda s: M.gt_is(s["gt"], lit.literal))
@@ -376,6 +466,21 @@ class Compiler:
             return Truth(F.exists(mask, lambda x: x), mask)
         return Truth(test(a.col))
 
+    @staticmethod
+    def site_set(v: Value, text: str, op: str) -> Column:
+        """FILTER: = the same set, ~ all of these are set; TYPE: = no ALT of another type, ~ some ALT of a type."""
+        if v.kind == "type":
+            try:
+                bits = sum({TYPE_BITS[t.lower().removesuffix("s")] for t in text.split(",")})
+            except KeyError:
+                raise FilterError(f"no type {text!r}") from None
+            hit = v.col == bits if op in ("=", "==", "!=") else v.col.bitwiseAND(F.lit(bits)) != 0
+        else:
+            want = F.array(*map(F.lit, [] if text == "." else text.split(";"))).cast("array<string>")
+            same = F.array_sort(F.array_distinct(v.col)) == F.array_sort(F.array_distinct(want))
+            hit = same if op in ("=", "==", "!=") or text == "." else F.size(F.array_except(want, v.col)) == 0
+        return ~hit if op.startswith("!") else hit
+
     @staticmethod
     def spread(test, a: Value, b: Value) -> Truth:
         none = lambda x: F.coalesce(x, F.lit(False))

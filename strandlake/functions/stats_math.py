@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ def reduce_array(name: str, a: Column) -> Column:
 
 
 def log_factorial(n: Column) -> Column:
-    """ln n! by summing logs below 32 and Stirling's series above."""
+    """ln n!: a table up to 32, Stirling's series above."""
     x = n.cast("double")
-    direct = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n.cast("int"), F.lit(32)))), F.lit(0.0), lambda s, k: s + F.log(k.cast("double")))
+    direct = F.get(F.array(*(F.lit(math.lgamma(k + 1)) for k in range(33))), F.greatest(F.lit(0), F.least(n.cast("int"), F.lit(32))))
     z = x + 1
     series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
     return F.when(x < 33, direct).otherwise(series)
@@ -68,29 +70,31 @@ def hwe_chi2(hom_ref: Column, het: Column, hom_alt: Column) -> Column:
     return sum((F.when(x > 0, (o - x) * (o - x) / x).otherwise(0.0) for o, x in zip((hom_ref, het, hom_alt), e)), F.lit(0.0))
 
 
-def hwe_exact(n_ref: int, n_alt: int, n_het: int) -> tuple[float, float]:
-    """(HWE, ExcHet): the exact test of Wigginton and others by its recursion on the number of heterozygotes, outwards from
-    the likeliest, and the probability of at least as many of them."""
-    rare = min(n_ref, n_alt)
-    total = n_ref + n_alt
-    if not total or not rare:
-        return 1.0, 1.0
-    mid = rare * (total - rare) // total
-    mid += (rare ^ mid) & 1
-    p = {mid: 1.0}
-    het, hom_r = mid, (rare - mid) // 2
-    hom_c = total // 2 - het - hom_r
-    while het > 1:
-        p[het - 2] = p[het] * het * (het - 1) / (4.0 * (hom_r + 1) * (hom_c + 1))
-        het, hom_r, hom_c = het - 2, hom_r + 1, hom_c + 1
-    het, hom_r = mid, (rare - mid) // 2
-    hom_c = total // 2 - het - hom_r
-    while het <= rare - 2:
-        p[het + 2] = p[het] * 4.0 * hom_r * hom_c / ((het + 2.0) * (het + 1.0))
-        het, hom_r, hom_c = het + 2, hom_r - 1, hom_c - 1
-    s = sum(p.values())
-    own = p.get(n_het, 0.0)
-    return min(1.0, sum(v for v in p.values() if v <= own) / s), min(1.0, sum(v for k, v in p.items() if k >= n_het) / s)
+def hwe_exact(n_ref: Column, n_alt: Column, n_het: Column) -> tuple[Column, Column]:
+    """(HWE, ExcHet) of allele counts and observed heterozygotes. Under Hardy-Weinberg equilibrium h heterozygotes among the
+    genotypes that n_ref and n_alt alleles can form have a probability in proportion to 2^h over the factorials of the three
+    genotype counts; h has the parity of the rarer allele. HWE sums what is no likelier than the observed count, ExcHet what
+    has as many heterozygotes or more."""
+    a, b, seen = n_ref.cast("int"), n_alt.cast("int"), n_het.cast("int")
+    rare = F.least(a, b)
+    counts = F.sequence(rare % 2, rare, F.lit(2))
+    weight = lambda h: h * math.log(2.0) - log_factorial(h) - log_factorial((a - h) / 2) - log_factorial((b - h) / 2)
+    logs = F.transform(counts, weight)
+    top = F.array_max(logs)
+    share = F.transform(logs, lambda x: F.exp(x - top))
+    pairs = F.arrays_zip(counts.alias("h"), share.alias("w"))
+    total = F.aggregate(share, F.lit(0.0), lambda s, x: s + x)
+    own = F.aggregate(F.filter(pairs, lambda p: p["h"] == seen), F.lit(0.0), lambda s, p: s + p["w"])
+    rarer = F.aggregate(share, F.lit(0.0), lambda s, x: s + F.when(x <= own * (1 + 1e-9), x).otherwise(0.0))
+    above = F.aggregate(F.filter(pairs, lambda p: p["h"] >= seen), F.lit(0.0), lambda s, p: s + p["w"])
+    none = (rare <= 0) | a.isNull() | b.isNull()
+    return F.when(none, 1.0).otherwise(F.least(F.lit(1.0), rarer / total)), F.when(none, 1.0).otherwise(F.least(F.lit(1.0), above / total))
+
+
+def variant_type(ref: Column, alt: Column) -> Column:
+    """Type of one ALT: ref, snp, mnp, indel, bnd, overlap or other."""
+    plain = alt.rlike("^[ACGTNacgtn]+$")
+    return F.when(alt.isNull(), None).when(alt == "*", "overlap").when(alt.rlike(r"[\[\]]"), "bnd").when(~plain, F.when(alt.isin("<*>", "<NON_REF>"), "ref").otherwise("other")).when(alt == ref, "ref").when(F.length(alt) != F.length(ref), "indel").when(F.length(ref) == 1, "snp").otherwise("mnp")
 
 
 # Names of genotype classes.

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.stats_math import variant_type  # noqa: F401
+
 
 def trim_left_align(pos: int, alleles: list[str], reference: str, first: int = 1) -> tuple[int, list[str]]:
     """Leftmost, shortest form of a variant. reference begins at position `first`; symbolic alleles stay as they are."""
@@ -113,12 +115,6 @@ def atomize(df: DataFrame) -> DataFrame:
     return df.select("chrom", "pos", "ref", "alt").mapInPandas(run, "chrom string, pos bigint, ref string, alt string, from_pos bigint, from_ref string, from_alt string")
 
 
-def variant_type(ref: Column, alt: Column) -> Column:
-    """Type of one ALT: ref, snp, mnp, indel, bnd, overlap or other."""
-    plain = alt.rlike("^[ACGTNacgtn]+$")
-    return F.when(alt == "*", "overlap").when(alt.rlike(r"[\[\]]"), "bnd").when(~plain, F.when(alt.isin("<*>", "<NON_REF>"), "ref").otherwise("other")).when(alt == ref, "ref").when(F.length(alt) != F.length(ref), "indel").when(F.length(ref) == 1, "snp").otherwise("mnp")
-
-
 def variant_key(chrom_code: Column, pos: Column, hash31: Column) -> Column:
     """64-bit key: 5 bits of contig, 28 of position, 31 of alleles."""
     return F.shiftleft(chrom_code.cast("long"), 59).bitwiseOR(F.shiftleft(pos.cast("long"), 31)).bitwiseOR(hash31.cast("long"))

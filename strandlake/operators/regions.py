@@ -1,57 +1,86 @@
 """Interval operators on (chrom, beg, end), closed on both ends.
 
-An interval join has no equi-key, so both sides are cut into bins of the position axis and joined on (group, bin); a pair
-is reported in one bin only, that of the later beginning. Long intervals are what makes bins many, so the bin width is
-taken from the data unless it is given."""
+An interval join has no equi-key. Intervals get a level by their length: the bins of a level are as wide as its longest
+interval, so an interval lies in two bins of its own level, or of a higher one, at most. A pair meets on the level of the longer
+of the two, in the bin where the later one begins. However lengths are mixed, a row is sent twice for each level that the
+data have, and not once for each short bin under a long interval."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LEAST_BITS, LEVEL_BITS = 4, 4  # width of the narrowest bins, and how much wider those of the next level are
 
-def _bins(df: DataFrame, beg: str, end: str, width: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(beg) / width), F.floor(F.col(end) / width))))
 
+def level_of(beg: Column, end: Column) -> Column:
+    """0 for up to 2**LEAST_BITS positions, one more for each LEVEL_BITS that the length needs."""
+    bits = F.length(F.bin(F.greatest(F.lit(1), end - beg + 1).cast("long") - 1))
+    return F.greatest(F.lit(0), F.ceil((bits - LEAST_BITS) / LEVEL_BITS)).cast("int")
 
-def bin_width(df: DataFrame, beg: str, end: str) -> int:
-    """Twice the mean length, a power of two."""
-    mean = df.agg(F.avg(F.col(end) - F.col(beg) + 1)).first()[0] or 1
-    return 1 << max(4, int(2 * mean).bit_length())
 
+def levels_in(df: DataFrame, beg: str, end: str) -> set[int]:
+    """Levels that occur: a handful of numbers, whatever the size of the table."""
+    found = df.filter(F.col(beg) <= F.col(end)).agg(F.collect_set(level_of(F.col(beg), F.col(end)))).first()[0]
+    return set(found)
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], a_iv: tuple[str, str], b_iv: tuple[str, str], how: str = "inner", width: int | None = None, residual: Column | None = None) -> DataFrame:
+
+def placed(df: DataFrame, beg: str, end: str, levels: list[int], tag: str) -> DataFrame:
+    """A row for each bin of each level from the interval's own upwards: _own, _level, _bin."""
+    own = level_of(F.col(beg), F.col(end))
+    bits = lambda k: LEAST_BITS + k * LEVEL_BITS
+
+    def cells_of(k: int) -> Column:
+        bins = F.sequence(F.shiftright(F.col(beg).cast("long"), bits(k)), F.shiftright(F.col(end).cast("long"), bits(k)))
+        return F.when(own <= k, F.transform(bins, lambda x: F.struct(F.lit(k).alias("level"), x.alias("bin")))).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>"))
+
+    cells = [cells_of(k) for k in levels]
+    out = df.withColumn(f"_own_{tag}", own).withColumn("_cell", F.explode(F.flatten(F.array(*cells)) if len(cells) > 1 else cells[0]))
+    return out.withColumn(f"_level_{tag}", F.col("_cell.level")).withColumn(f"_bin_{tag}", F.col("_cell.bin")).drop("_cell")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], a_iv: tuple[str, str], b_iv: tuple[str, str], how: str = "inner", residual: Column | None = None) -> DataFrame:
     """Pairs of rows of equal keys whose intervals overlap. how: inner, left, left_semi or left_anti; keys: (column of a,
-    column of b). Columns of the two sides must differ in name."""
-    width = width or bin_width(b, *b_iv)
+    column of b). Columns of the two sides must differ in name. Intervals that end before they begin, or have no end, overlap
+    with nothing; left and left_anti return such rows of a once, like all others without a partner."""
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(how)
     (ab, ae), (bb, be) = a_iv, b_iv
-    cond = F.col("_bin_a") == F.col("_bin_b")
+    levels = sorted(levels_in(a, *a_iv) | levels_in(b, *b_iv)) or [0]
+    proper = F.coalesce(F.col(ab) <= F.col(ae), F.lit(False))
+    right = placed(b.filter(F.col(bb) <= F.col(be)), bb, be, levels, "b")
+    cond = (F.col("_level_a") == F.col("_level_b")) & (F.col("_bin_a") == F.col("_bin_b"))
     for x, y in keys:
         cond = cond & (a[x] == b[y])
-    cond = cond & (F.col(ab) <= F.col(be)) & (F.col(bb) <= F.col(ae))
+    cond = cond & (F.col(ab) <= F.col(be)) & (F.col(bb) <= F.col(ae)) & (F.col("_level_a") == F.greatest("_own_a", "_own_b"))
     if residual is not None:
         cond = cond & residual
-    right = _bins(b.filter(F.col(bb) <= F.col(be)), bb, be, width, "_bin_b")
-    once = F.col("_bin_a") == F.greatest(F.floor(F.col(ab) / width), F.floor(F.col(bb) / width))
+    width = F.pow(F.lit(2.0), LEAST_BITS + LEVEL_BITS * F.col("_level_a"))
+    once = cond & (F.col("_bin_a") == F.floor(F.greatest(F.col(ab), F.col(bb)) / width))
+    marks = [f"{m}_{t}" for m in ("_own", "_level", "_bin") for t in "ab"]
     if how == "inner":
-        left = _bins(a.filter(F.col(ab) <= F.col(ae)), ab, ae, width, "_bin_a")
-        return left.join(right, cond & once).drop("_bin_a", "_bin_b")
-    left = _bins(a.filter(F.col(ab) <= F.col(ae)), ab, ae, width, "_bin_a")
-    if how in ("left_semi", "left_anti"):
-        one_bin = a.filter(F.floor(F.col(ab) / width) == F.floor(F.col(ae) / width)).withColumn("_bin_a", F.floor(F.col(ab) / width))
-        wide = a.filter(F.floor(F.col(ab) / width) != F.floor(F.col(ae) / width))
-        hit = one_bin.join(right, cond, how).drop("_bin_a")
-        spread = _bins(wide.withColumn("_id", F.monotonically_increasing_id()), ab, ae, width, "_bin_a")
-        ids = spread.join(right, cond, "left_semi").groupBy("_id", *a.columns).agg(F.count("*").alias("_n"))
-        if how == "left_semi":
-            return hit.unionByName(ids.select(*a.columns))
-        none = spread.join(right, cond, "left").groupBy("_id", *a.columns).agg(F.max(F.col("_bin_b")).alias("_b")).filter("_b IS NULL")
-        return hit.unionByName(none.select(*a.columns)).unionByName(a.filter(~(F.col(ab) <= F.col(ae)) | F.col(ab).isNull() | F.col(ae).isNull()))
-    if how == "left":
-        met = left.join(right, cond & once).drop("_bin_a", "_bin_b")
-        rest = overlap_join(a, b, keys, a_iv, b_iv, "left_anti", width, residual)
-        return met.unionByName(rest, allowMissingColumns=True)
-    raise ValueError(how)
+        return placed(a.filter(proper), ab, ae, levels, "a").join(right, once).drop(*marks)
+    # rows of a that lie in one bin in all meet all their partners there; the others are numbered, each in one place only
+    top = levels[-1]
+    bits = LEAST_BITS + top * LEVEL_BITS
+    one = level_of(F.col(ab), F.col(ae)) == top
+    one = one & (F.shiftright(F.col(ab).cast("long"), bits) == F.shiftright(F.col(ae).cast("long"), bits))
+    left = placed(a.filter(proper & one), ab, ae, [top], "a")
+    many = placed(a.filter(proper & ~one).withColumn("_row", F.monotonically_increasing_id()), ab, ae, levels, "a")
+    if how == "left_semi":
+        hit = left.join(right, cond, how).select(*a.columns)
+        return hit.unionByName(many.join(right, cond, how).dropDuplicates(["_row"]).select(*a.columns))
+    # one join of all bins; of a row without a partner in any of them, one copy is left
+    met = many.join(right, once, "left")
+    per = Window.partitionBy("_row")
+    met = met.withColumn("_n", F.count("_bin_b").over(per)).withColumn("_k", F.row_number().over(per.orderBy("_level_a", "_bin_a")))
+    if how == "left_anti":
+        out = left.join(right, cond, how).select(*a.columns)
+        out = out.unionByName(met.filter("_n = 0 AND _k = 1").select(*a.columns))
+        return out.unionByName(a.filter(~proper))
+    out = left.join(right, cond, how).drop(*marks)
+    out = out.unionByName(met.filter("_bin_b IS NOT NULL OR _n = 0 AND _k = 1").drop("_row", "_n", "_k", *marks))
+    return out.unionByName(a.filter(~proper), allowMissingColumns=True)
 
 
 def merge_intervals(df: DataFrame, keys: list[str], beg: str, end: str, gap: int = 0) -> DataFrame:

@@ -7,15 +7,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.session import scratch_path
+
 MERGE = {
     "sum": lambda c: F.sum(F.coalesce(c, F.lit(0))), "avg": lambda c: F.sum(F.coalesce(c, F.lit(0))) / F.count(F.lit(1)),
     "min": F.min, "max": F.max, "join": lambda c: F.array_join(F.array_sort(F.collect_list(c.cast("string"))), ","),
-    "first": lambda c: F.min(c), "unique": lambda c: F.array_join(F.array_sort(F.collect_set(c.cast("string"))), ","), "append": lambda c: F.array_join(F.array_sort(F.collect_list(c.cast("string"))), ","),
+    "unique": lambda c: F.array_join(F.array_sort(F.collect_set(c.cast("string"))), ","),
+}
+# rules that go by the order of the rows; the first and the distinct ones do not count missing values
+ORDERED = {
+    "first": lambda c, o: F.min_by(c, F.when(c.isNotNull(), o)),
+    "append": lambda c, o: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(o.alias("o"), c.cast("string").alias("v"))))), lambda x: x["v"]), ","),
+    "append-missing": lambda c, o: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), F.coalesce(c.cast("string"), F.lit(".")).alias("v")))), lambda x: x["v"]), ","),
+    "distinct": lambda c, o: F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(o.alias("o"), c.cast("string").alias("v"))))), lambda x: x["v"])), ","),
 }
 
 
 def presence(sources: list[DataFrame], keys: list[str]) -> DataFrame:
-    """keys, bits ("0101": in which sources), n: one row per distinct key. One shuffle whatever the number of sources."""
+    """keys, bits ("0101": in which sources), n: one row per distinct key. One shuffle whatever the number of sources, of which
+    there can be 63 (the bits of a long)."""
+    if len(sources) > 63:
+        raise ValueError("presence masks hold up to 63 sources")
     both = reduce(DataFrame.unionByName, [s.select(*keys, F.lit(1 << i).cast("long").alias("_bit")) for i, s in enumerate(sources)])
     k = len(sources)
     g = both.groupBy(*keys).agg(F.bit_or("_bit").alias("_mask"))
@@ -47,18 +59,27 @@ def concat(sources: list[DataFrame], keys: list[str] | None = None, *order: Colu
 
 
 def scatter(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """Adds chunk: rows in order, n to a chunk. Ranks go through range partitions, so no task sees all rows."""
+    """Adds chunk: rows in order, n to a chunk. Ranks go through range partitions, so no task sees all rows. The partitions are
+    written once with their numbers and read again: numbers given in two runs of a plan need not agree."""
+    spark = df.sparkSession
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
-    sizes = placed.groupBy("_p").count()
+    path = scratch_path(spark, "scatter")
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    sizes = placed.groupBy("_p").count()  # a row for each range partition
     base = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("_base"))
     return placed.join(F.broadcast(base), "_p").withColumn("chunk", F.floor((F.col("_base") + F.col("_i")) / n)).drop("_p", "_i", "_base")
 
 
-def merge_rows(sources: list[DataFrame], keys: list[str], rules: dict[str, str]) -> DataFrame:
+def merge_rows(sources: list[DataFrame], keys: list[str], rules: dict[str, str], order: list[str] = ()) -> DataFrame:
     """One row per key with every field merged by its rule: sum, avg (missing counts as 0, over contributing rows), min, max,
-    join, unique."""
-    both = reduce(DataFrame.unionByName, [s.select(*keys, *rules) for s in sources])
-    return both.groupBy(*keys).agg(*(MERGE[r](F.col(c)).alias(f"{c}_{r}") for c, r in rules.items()))
+    join and unique (by value), or in the order of the sources and then of the columns `order`: first, append, append-missing,
+    distinct. Rows that tie are taken by value."""
+    each = [s.select(*keys, *dict.fromkeys([*rules, *order]), F.lit(i).alias("_source")) for i, s in enumerate(sources)]
+    place = F.struct("_source", *order)
+    both = reduce(DataFrame.unionByName, each)
+    name = lambda c, r: f"{c}_{r.replace('-', '_')}"
+    return both.groupBy(*keys).agg(*((ORDERED[r](F.col(c), F.struct(place, F.col(c))) if r in ORDERED else MERGE[r](F.col(c))).alias(name(c, r)) for c, r in rules.items()))
 
 
 def outer_columns(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -44,22 +44,18 @@ def filter_exclude(spark, sf):
     return compile_filter('o_totalprice>100000 || o_orderstatus="O"', df).drop(df).select("o_orderkey")
 
 
-@register("filter_arithmetic", "SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * (1 - l_discount) / l_quantity, 3) AS DOUBLE) AS unit FROM lineitem WHERE l_extendedprice * (1 - l_discount) / l_quantity > 1500 AND CAST(l_orderkey AS BIGINT) % 7 = 3")
+@register("filter_arithmetic", "SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * (1 - l_discount) / l_quantity, 3) AS DOUBLE) AS unit, CAST(l_orderkey AS BIGINT) % 7 AS rest FROM lineitem WHERE l_extendedprice * (1 - l_discount) / l_quantity > 1500")
 def filter_arithmetic(spark, sf):
-    df = table(spark, sf, "lineitem")
-    hit = compile_filter("l_extendedprice*(1-l_discount)/l_quantity > 1500 && l_orderkey % 7 = 3", df).site
-    return df.filter(hit).select("l_orderkey", "l_linenumber", F.round(compile_value("l_extendedprice*(1-l_discount)/l_quantity", df), 3).alias("unit"))
-
-
-@register("filter_arithmetic_all")
-def filter_arithmetic_all(spark, sf):
-    """filter_arithmetic of all orders; the remainder is a value."""
+    """The remainder is a value."""
     df = table(spark, sf, "lineitem")
     hit = compile_filter("l_extendedprice*(1-l_discount)/l_quantity > 1500", df).site
     unit = F.round(compile_value("l_extendedprice*(1-l_discount)/l_quantity", df), 3)
     return df.filter(hit).select("l_orderkey", "l_linenumber", unit.alias("unit"), compile_value("l_orderkey % 7", df).cast("long").alias("rest"))
 
 
+register("filter_arithmetic_all")(filter_arithmetic)
+
+
 @register(
     "filter_missing_logic",
     """SELECT c_custkey, CAST(count(*) FILTER (o_totalprice IS NULL) AS BIGINT) AS eq_missing, CAST(count(*) FILTER (o_totalprice IS DISTINCT FROM 1000.0) AS BIGINT) AS ne_const,
@@ -114,7 +110,7 @@ def filter_subscript(spark, sf):
     return compile_filter("q[0] > 30 && q[1-2] < 10", df).keep(df).select("l_orderkey")
 
 
-@register("strlen_abs_phred", "SELECT p_partkey, CAST(length(p_name) AS DOUBLE) AS len, round(abs(p_size - 25.0), 6) AS dev, round(-10 * log10(p_size / 100.0), 6) AS ph FROM part WHERE length(p_name) > 8")
+@register("strlen_abs_phred", "SELECT p_partkey, CAST(length(p_name) AS DOUBLE) AS len, CAST(round(abs(p_size - 25.0), 6) AS DOUBLE) AS dev, round(-10 * log10(p_size / 100.0), 6) AS ph FROM part WHERE length(p_name) > 8")
 def strlen_abs_phred(spark, sf):
     df = table(spark, sf, "part")
     one = lambda e: F.get(compile_value(e, df), F.lit(0))

@@ -1,7 +1,5 @@
 """Joins: presence masks, intervals, as-of, nearest, annotation, merging."""
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from strandlake.operators import regions, setops
@@ -64,15 +62,8 @@ def merge_sum_max_join(spark, sf):
     return out.withColumn("l_tax_avg", F.round("l_tax_avg", 4))
 
 
-@register("merge_outer_columns", """WITH a AS (SELECT l_partkey, sum(l_quantity) AS q_a FROM lineitem WHERE l_suppkey % 7 = 0 GROUP BY 1), b AS (SELECT l_partkey, sum(l_quantity) AS q_b FROM lineitem WHERE l_suppkey % 7 = 3 GROUP BY 1) SELECT l_partkey, q_a, q_b FROM a FULL JOIN b USING (l_partkey)""")
+@register("merge_outer_columns", """WITH a AS (SELECT l_partkey, sum(l_quantity) AS q_a FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1), b AS (SELECT l_partkey, sum(l_quantity) AS q_b FROM lineitem WHERE NOT coalesce(l_suppkey % 2 = 0, false) GROUP BY 1) SELECT l_partkey, q_a, q_b FROM a FULL JOIN b USING (l_partkey)""")
 def merge_outer_columns(spark, sf):
-    li = table(spark, sf, "lineitem")
-    side = lambda k, name: li.filter(F.col("l_suppkey") % 7 == k).groupBy("l_partkey").agg(F.sum("l_quantity").alias(name))
-    return setops.outer_columns(side(0, "q_a"), side(3, "q_b"), ["l_partkey"])
-
-
-@register("merge_outer_columns_all")
-def merge_outer_columns_all(spark, sf):
     """All lines in two sides: suppliers of even number, and the others."""
     li = table(spark, sf, "lineitem")
     even = F.coalesce(F.col("l_suppkey") % 2 == 0, F.lit(False))
@@ -80,52 +71,55 @@ def merge_outer_columns_all(spark, sf):
     return setops.outer_columns(side(even, "q_a"), side(~even, "q_b"), ["l_partkey"])
 
 
-def windows(spark, sf, whole=False):
-    o = table(spark, sf, "orders").filter("true" if whole else "o_orderstatus = 'P'")
+register("merge_outer_columns_all")(merge_outer_columns)
+
+
+def windows(spark, sf):
+    o = table(spark, sf, "orders")
     return o.select(F.col("o_orderpriority").alias("pri"), F.floor(epoch("o_orderdate") / DAY).alias("beg"), "o_orderkey").withColumn("end", F.col("beg") + F.col("o_orderkey") % 5)
 
 
-def shipments(spark, sf, whole=False):
-    li = table(spark, sf, "lineitem").filter("true" if whole else "l_quantity > 45")
+def shipments(spark, sf):
+    li = table(spark, sf, "lineitem")
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("spri"))
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("spri", "l_orderkey", "l_linenumber", F.floor(epoch("l_shipdate") / DAY).alias("sbeg")).withColumn("send", F.col("sbeg") + F.col("l_linenumber"))
 
 
-WINDOWS = """WITH w AS (SELECT o_orderpriority AS pri, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS beg, o_orderkey, CAST(epoch(o_orderdate) // 86400 AS BIGINT) + o_orderkey % 5 AS "end" FROM orders WHERE o_orderstatus = 'P'),
-s AS (SELECT o_orderpriority AS spri, l_orderkey, l_linenumber, CAST(epoch(l_shipdate) // 86400 AS BIGINT) AS sbeg, CAST(epoch(l_shipdate) // 86400 AS BIGINT) + l_linenumber AS send FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45) """
+WINDOWS = """WITH w AS (SELECT o_orderpriority AS pri, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS beg, o_orderkey, CAST(epoch(o_orderdate) // 86400 AS BIGINT) + o_orderkey % 5 AS "end" FROM orders),
+s AS (SELECT o_orderpriority AS spri, l_orderkey, l_linenumber, CAST(epoch(l_shipdate) // 86400 AS BIGINT) AS sbeg, CAST(epoch(l_shipdate) // 86400 AS BIGINT) + l_linenumber AS send FROM lineitem JOIN orders ON l_orderkey = o_orderkey) """
 
 
 @register("interval_overlap_join", WINDOWS + 'SELECT w.o_orderkey, s.l_orderkey, s.l_linenumber FROM w JOIN s ON pri = spri AND beg <= send AND sbeg <= "end"')
-def interval_overlap_join(spark, sf, whole=False):
-    return regions.overlap_join(shipments(spark, sf, whole), windows(spark, sf, whole), [("spri", "pri")], ("sbeg", "send"), ("beg", "end")).select("o_orderkey", "l_orderkey", "l_linenumber")
+def interval_overlap_join(spark, sf):
+    return regions.overlap_join(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end")).select("o_orderkey", "l_orderkey", "l_linenumber")
 
 
 @register("region_include", WINDOWS + 'SELECT l_orderkey, l_linenumber FROM s WHERE EXISTS (SELECT 1 FROM w WHERE pri = spri AND beg <= send AND sbeg <= "end")')
-def region_include(spark, sf, whole=False):
-    return regions.overlap_join(shipments(spark, sf, whole), windows(spark, sf, whole), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left_semi").select("l_orderkey", "l_linenumber")
+def region_include(spark, sf):
+    return regions.overlap_join(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left_semi").select("l_orderkey", "l_linenumber")
 
 
 @register("region_exclude", WINDOWS + 'SELECT l_orderkey, l_linenumber FROM s WHERE NOT EXISTS (SELECT 1 FROM w WHERE pri = spri AND beg <= send AND sbeg <= "end")')
-def region_exclude(spark, sf, whole=False):
-    return regions.overlap_join(shipments(spark, sf, whole), windows(spark, sf, whole), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left_anti").select("l_orderkey", "l_linenumber")
+def region_exclude(spark, sf):
+    return regions.overlap_join(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left_anti").select("l_orderkey", "l_linenumber")
 
 
 @register("annotate_min_overlap", WINDOWS + 'SELECT w.o_orderkey, s.l_orderkey, s.l_linenumber FROM w JOIN s ON pri = spri AND beg <= send AND sbeg <= "end" WHERE (least(send, "end") - greatest(sbeg, beg) + 1) >= 0.5 * ("end" - beg + 1)')
-def annotate_min_overlap(spark, sf, whole=False):
+def annotate_min_overlap(spark, sf):
     shared = F.least("send", "end") - F.greatest("sbeg", "beg") + 1
-    return regions.overlap_join(shipments(spark, sf, whole), windows(spark, sf, whole), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), residual=shared >= 0.5 * (F.col("end") - F.col("beg") + 1)).select("o_orderkey", "l_orderkey", "l_linenumber")
+    return regions.overlap_join(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), residual=shared >= 0.5 * (F.col("end") - F.col("beg") + 1)).select("o_orderkey", "l_orderkey", "l_linenumber")
 
 
 @register("annotate_left_range", WINDOWS + 'SELECT s.l_orderkey, s.l_linenumber, CAST(count(w.o_orderkey) AS BIGINT) AS n, min(w.o_orderkey) AS first, CAST(sum(w.o_orderkey) AS BIGINT) AS total FROM s LEFT JOIN w ON pri = spri AND beg <= send AND sbeg <= "end" GROUP BY ALL')
-def annotate_left_range(spark, sf, whole=False):
-    met = regions.overlap_join(shipments(spark, sf, whole), windows(spark, sf, whole), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left")
+def annotate_left_range(spark, sf):
+    met = regions.overlap_join(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left")
     return met.groupBy("l_orderkey", "l_linenumber").agg(F.count("o_orderkey").alias("n"), F.min("o_orderkey").alias("first"), F.sum("o_orderkey").alias("total"))
 
 
 @register("merge_intervals", WINDOWS + """, m AS (SELECT *, max("end") OVER (PARTITION BY pri ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM w),
 i AS (SELECT *, sum(CASE WHEN pe >= beg THEN 0 ELSE 1 END) OVER (PARTITION BY pri ORDER BY beg, "end" ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT pri, min(beg) AS beg, max("end") AS "end", CAST(count(*) AS BIGINT) AS n FROM i GROUP BY pri, k""")
-def merge_intervals(spark, sf, whole=False):
-    return regions.merge_intervals(windows(spark, sf, whole), ["pri"], "beg", "end")
+def merge_intervals(spark, sf):
+    return regions.merge_intervals(windows(spark, sf), ["pri"], "beg", "end")
 
 
 @register("asof_map_interp", """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, value FROM events), q AS (SELECT * FROM e WHERE event_id % 3 = 0), m AS (SELECT user_id, t, max(value) AS value FROM e WHERE event_id % 3 <> 0 GROUP BY 1, 2),
@@ -164,12 +158,7 @@ def snp_gap(spark, sf):
 
 @register("indel_gap", TICKS + ", c AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) < 43200 THEN 0 ELSE 1 END AS nw FROM e), k AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS c FROM c) SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, c ORDER BY value DESC, event_id) AS r FROM k) WHERE r = 1")
 def indel_gap(spark, sf):
-    e = ticks(spark, sf).withColumn("o", F.struct("t", "event_id"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    e = e.withColumn("nw", F.when(F.col("t") - F.lag("t").over(w) < 43200, 0).otherwise(1)).withColumn("c", F.sum("nw").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return setops.first_of(e, [F.col("user_id"), F.col("c")], F.col("value").desc(), F.col("event_id")).select("event_id")
+    return regions.best_of_cluster(ticks(spark, sf), ["user_id"], "t", 43200, F.col("value").desc(), F.col("event_id")).select("event_id")
 
 
 @register("cluster_size", TICKS + ", a AS (SELECT event_id, user_id, t, (SELECT count(*) FROM e b WHERE b.user_id = e.user_id AND b.t BETWEEN e.t AND e.t + 86399) AS n FROM e) SELECT event_id, CAST((SELECT max(n) FROM a b WHERE b.user_id = a.user_id AND b.t BETWEEN a.t - 86399 AND a.t) AS BIGINT) AS cluster_size FROM a")
@@ -188,14 +177,14 @@ def gvcf_islands(spark, sf):
     return regions.islands(ticks(spark, sf), ["user_id"], ["t", "event_id"], F.col("event_type"), "t").select("user_id", F.col("run").cast("long").alias("run"), "label", "first", "last", "n")
 
 
-@register("gvcf_expand", "SELECT o_orderkey, CAST(unnest(range(o_orderkey % 5 + 1)) AS BIGINT) + CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS pos FROM orders WHERE o_orderstatus = 'P'")
-def gvcf_expand(spark, sf, whole=False):
-    return windows(spark, sf, whole).select("o_orderkey", F.explode(F.sequence("beg", "end")).alias("pos"))
+@register("gvcf_expand", "SELECT o_orderkey, CAST(unnest(range(o_orderkey % 5 + 1)) AS BIGINT) + CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS pos FROM orders")
+def gvcf_expand(spark, sf):
+    return windows(spark, sf).select("o_orderkey", F.explode(F.sequence("beg", "end")).alias("pos"))
 
 
-# The same of all orders and all lines.
+# Second names, from when the first ones took a part of the rows.
 for _f in (interval_overlap_join, region_include, region_exclude, annotate_min_overlap, annotate_left_range, merge_intervals, gvcf_expand):
-    register(f"{_f.__name__}_all")(partial(_f, whole=True))
+    register(f"{_f.__name__}_all")(_f)
 
 
 @register("annotate_transfer", "SELECT o_orderkey, coalesce(c_mktsegment, '.') AS segment, CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END AS mark FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
@@ -205,11 +194,12 @@ def annotate_transfer(spark, sf):
     return o.select("o_orderkey", F.coalesce("c_mktsegment", F.lit(".")).alias("segment"), F.col("c_custkey").isNotNull().cast("int").alias("mark"))
 
 
-@register("annotate_merge_logic", "SELECT o_custkey, min(o_orderpriority) AS p_first, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS p_unique, round(sum(o_totalprice), 2) AS t_sum, max(o_totalprice) AS t_max FROM orders GROUP BY o_custkey")
+@register("annotate_merge_logic", "SELECT o_custkey, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS p_first, string_agg(o_orderpriority, ',' ORDER BY o_orderdate, o_orderkey) AS p_append, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS p_unique, round(sum(o_totalprice), 2) AS t_sum, max(o_totalprice) AS t_max FROM orders GROUP BY o_custkey")
 def annotate_merge_logic(spark, sf):
-    o = table(spark, sf, "orders")
-    m = setops.MERGE
-    return o.groupBy("o_custkey").agg(m["first"](F.col("o_orderpriority")).alias("p_first"), m["unique"](F.col("o_orderpriority")).alias("p_unique"), F.round(m["sum"](F.col("o_totalprice")), 2).alias("t_sum"), m["max"](F.col("o_totalprice")).alias("t_max"))
+    """Orders of a customer as annotation rows, in the order of their dates."""
+    o = table(spark, sf, "orders").withColumns({f"p{k}": F.col("o_orderpriority") for k in (1, 2, 3)}).withColumn("t", F.col("o_totalprice"))
+    out = setops.merge_rows([o], ["o_custkey"], {"p1": "first", "p2": "append", "p3": "unique", "t": "sum", "o_totalprice": "max"}, ["o_orderdate", "o_orderkey"])
+    return out.select("o_custkey", F.col("p1_first").alias("p_first"), F.col("p2_append").alias("p_append"), F.col("p3_unique").alias("p_unique"), F.round("t_sum", 2).alias("t_sum"), F.col("o_totalprice_max").alias("t_max"))
 
 
 @register("csq_priority_join", "SELECT l_orderkey, arg_min(p_type, (p_size, p_partkey)) AS worst FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")

@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder that spark.checkpoint.dir names; a temporary one where that is unset, as in tests."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/strandlake"
+    """An unused path in the shared folder that spark.checkpoint.dir names. Where that is unset, a local session gets a temporary
+    folder; on a cluster, whose machines do not share one, it is an error."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = f"{tempfile.gettempdir()}/checkpoints/strandlake"
     return f"{d.rstrip('/')}/{name}-{uuid.uuid4().hex}"

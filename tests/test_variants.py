@@ -1,5 +1,7 @@
 """Variant operators on small tables that are written here."""
 
+from math import factorial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +60,9 @@ def test_vcf_round_trip(spark, vcf, tmp_path):
         ("FMT/DP>15", [10]), ("FMT/DP>5 & FMT/AD[*:1]>4", [10]), ('GT="het"', [10, 20]), ('GT="mis"', [5, 10]), ('GT="1/1"', [20]), ("N_PASS(FMT/DP>2)=2", [10, 20]), ("N_ALT=2", [10]),
         ("F_MISSING>0.3", [5, 10]), ("AC[0]=2", [10]), ("AN=6", [20]), ("MAX(FMT/DP)=20", [10]), ("SMPL_SUM(FMT/AD)=10", [10]), ("ILEN=-1", [20]), ('ID="rs1"', [10]), ("DB=1", [10]),
         ("COUNT(FMT/DP)<3 || QUAL>20", [5, 10, 20]), ("(QUAL<10)", [5]), ("POS-5*2<=0", [5, 10]),
+        ('FILTER="PASS"', [10]), ('FILTER="."', [20]), ('FILTER!="PASS"', [5, 20]), ('FILTER="s50;q10"', [5]), ('FILTER="q10"', []), ('FILTER~"q10"', [5]), ('FILTER!~"q10"', [10, 20]),
+        ('TYPE="snp"', [10]), ('TYPE="indel"', [20]), ('TYPE~"snps"', [10]), ('TYPE="ref"', [5]), ('TYPE!="snp"', [5, 20]), ('TYPE~"snp,indel"', [10, 20]),
+        ("FMT/AD[GT]>10", [10]), ("FMT/AD[1:GT]=9", [10]), ("FMT/AD[0:GT]=9", []), ("BINOM(FMT/AD)<0.9", [10]), ("FISHER(FMT/AD[*:0-1],FMT/AD[*:0-1])<=1", [5, 10, 20]),
     ],
 )
 def test_filter_expressions(vcf, expr, want):
@@ -65,6 +70,19 @@ def test_filter_expressions(vcf, expr, want):
     assert sorted(r.pos for r in compile_filter(expr, df).keep(df).collect()) == want
 
 
+def test_lists_bound_values_and_functions(spark, vcf, tmp_path):
+    df, _ = vcf
+    (tmp_path / "names.txt").write_text("s2\ns3\n")
+    hits = lambda e, **k: sorted(r.pos for r in compile_filter(e, df, **k).keep(df).collect())
+    assert hits(f"FMT/DP[@{tmp_path}/names.txt] > 6") == [10, 20] and hits(f"FMT/AD[@{tmp_path}/names.txt:0]=4") == [20]
+    assert hits('GT[@some]="het"', sets={"some": ["s1"]}) == [10]
+    assert hits("POS={INT} || ID={STR}", bound=[F.lit(20), F.lit("rs1")]) == [10, 20]
+    assert hits("py.twice(QUAL) > 90", functions={"twice": lambda c: c * 2}) == [10]
+    for bad in ('FILTER>1', 'TYPE="nothing"', "QUAL[GT]>1", "POS={INT}", "py.none(QUAL)>1"):
+        with pytest.raises(FilterError):
+            compile_filter(bad, df)
+
+
 def test_grouping_to_the_right_and_errors(vcf):
     df, _ = vcf
     v = lambda e, **k: df.limit(1).select(compile_value(e, df, **k).alias("v")).first().v
@@ -114,7 +132,11 @@ def test_exact_tests(spark):
     assert one(M.fisher_exact(F.lit(40), F.lit(10), F.lit(12), F.lit(38))) == pytest.approx(3.0e-8, rel=0.5)
     assert one(M.binom_two_sided(F.lit(2), F.lit(8))) == pytest.approx(0.109375, abs=1e-9)
     assert one(M.log_factorial(F.lit(100))) == pytest.approx(363.73937555556, abs=1e-8)
-    assert M.hwe_exact(10, 10, 10)[1] < M.hwe_exact(10, 10, 4)[1] and M.hwe_exact(5, 0, 0) == (1.0, 1.0)
+    for ref, alt, het in [(10, 10, 10), (10, 10, 4), (21, 5, 3), (30, 12, 0), (7, 7, 7), (5, 0, 0)]:
+        rare, n = min(ref, alt), (ref + alt) // 2
+        ways = {h: factorial(n) // (factorial(h) * factorial((ref - h) // 2) * factorial((alt - h) // 2)) * 2**h for h in range(rare % 2, rare + 1, 2)}
+        want = sum(w for w in ways.values() if w <= ways[het]) / sum(ways.values()), sum(w for h, w in ways.items() if h >= het) / sum(ways.values())
+        assert (one(M.hwe_exact(*map(F.lit, (ref, alt, het)))[0]), one(M.hwe_exact(*map(F.lit, (ref, alt, het)))[1])) == pytest.approx(want, abs=1e-9)
     assert one(M.genotype_index(F.lit(2), F.lit(1))) == 4
 
 
@@ -124,7 +146,7 @@ def test_interval_operators(spark):
     a, b = mk(60, "a"), mk(50, "b")
     A, B = spark.createDataFrame(a, "c string, x long, y long, i int"), spark.createDataFrame(b, "d string, s long, e long, j int")
     over = lambda p, q: p[0] == q[0] and p[1] <= q[2] and q[1] <= p[2]
-    j = lambda how: regions.overlap_join(A, B, [("c", "d")], ("x", "y"), ("s", "e"), how, width=64)
+    j = lambda how: regions.overlap_join(A, B, [("c", "d")], ("x", "y"), ("s", "e"), how)
     assert sorted((r.i, r.j) for r in j("inner").collect()) == sorted((p[3], q[3]) for p in a for q in b if over(p, q))
     hit = {p[3] for p in a if any(over(p, q) for q in b)}
     assert sorted(r.i for r in j("left_semi").collect()) == sorted(hit)
@@ -138,6 +160,16 @@ def test_interval_operators(spark):
     assert {r.p: r.v_at for r in i.collect()} == {0: 1.0, 10: 1.0, 15: 2.0, 30: 3.0}
 
 
+def test_intervals_that_end_before_they_begin(spark):
+    A = spark.createDataFrame([("c", 1, 5, 1), ("c", 9, 3, 2), ("c", None, 3, 3), ("c", 1, 2_000_000, 4), ("c", 900, 901, 5)], "c string, x long, y long, i int")
+    B = spark.createDataFrame([("c", 4, 4, 7), ("c", 8, 2, 8), ("c", 1_500_000, 1_500_001, 9)], "d string, s long, e long, j int")
+    j = lambda how: regions.overlap_join(A, B, [("c", "d")], ("x", "y"), ("s", "e"), how)
+    assert sorted(r.i for r in j("left_anti").collect()) == [2, 3, 5]
+    assert sorted(r.i for r in j("left_semi").collect()) == [1, 4]
+    assert sorted((r.i, r.j or 0) for r in j("left").collect()) == [(1, 7), (2, 0), (3, 0), (4, 7), (4, 9), (5, 0)]
+    assert sorted((r.i, r.j) for r in j("inner").collect()) == [(1, 7), (4, 7), (4, 9)]
+
+
 def test_regions_text(spark, tmp_path):
     (tmp_path / "a.bed").write_text("#x\n1\t9\t20\n2 0 1\n")
     (tmp_path / "b.txt").write_text("1\t10\n1\t5\t6\n")
@@ -270,7 +302,7 @@ def test_cohorts(spark):
     assert same[1] == [None, None] and same[2] == [0, 1] and same[4] == [1]
     s = spark.createDataFrame([("a", 1, [0, 1], [1, 0]), ("a", 1, [0, 1], [1, 0]), ("a", 2, [0, 1], [0, 1]), ("a", 3, [1, 0], [0, 1])], "sample string, chunk int, a array<int>, b array<int>")
     assert [r.swap for r in cohorts.ligation_swaps(s).orderBy("chunk").collect()] == [True, True, False]
-    tags = stats.fill_tags(g, ["pos"]).filter("pos = 1").first()
+    tags = stats.biallelic(stats.fill_tags(g, ["pos"])).filter("pos = 1").first()
     assert (tags.AN, tags.AC, tags.AC_Het, tags.AF) == (6, 2, 2, pytest.approx(1 / 3))
 
 
@@ -283,6 +315,30 @@ def test_sets(spark):
     assert m.v_avg == 2.0  # missing counts as nought, over three records
 
 
+def test_scatter_of_wide_rows(spark):
+    df = spark.range(20_000).select("id", F.hash("id").alias("h"), F.sha2(F.col("id").cast("string"), 256).alias("wide")).repartition(23)
+    out = setops.scatter(df, 700, F.col("h"), F.col("id")).collect()
+    want = {r.id: k // 700 for k, r in enumerate(sorted(df.collect(), key=lambda r: (r.h, r.id)))}
+    assert len(out) == 20_000 and {r.id: r.chunk for r in out} == want and all(r.wide for r in out)
+
+
+def test_rules_that_go_by_order(spark):
+    a = spark.createDataFrame([(1, 2, "b"), (1, 1, None), (1, 3, "a"), (1, 4, "b")], "k int, o int, v string")
+    b = spark.createDataFrame([(1, 0, "z"), (2, 5, None)], "k int, o int, v string")
+    of = lambda rule: {r.k: r[1] for r in setops.merge_rows([a, b], ["k"], {"v": rule}, ["o"]).collect()}
+    assert of("first") == {1: "b", 2: None} and of("append") == {1: "b,a,b,z", 2: ""} and of("append-missing") == {1: ".,b,a,b,z", 2: "."} and of("distinct") == {1: "b,a,z", 2: ""}
+
+
+def test_tags_of_sites_and_genotypes(spark):
+    ad = spark.createDataFrame([([6, 3, 1],), ([0, 0],), ([1, None],)], "ad array<int>").select(stats.vaf(F.col("ad")).alias("v"), stats.vaf1(F.col("ad")).alias("w")).collect()
+    assert (ad[0].v, round(ad[0].w, 9)) == ([0.3, 0.1], 0.4) and (ad[1].v, ad[1].w) == ([0.0], 0.0) and (ad[2].v, ad[2].w) == (None, None)
+    x = spark.createDataFrame([("1", 10, "AC", ["A", "GT"]), ("1", 3, "A", [])], "chrom string, pos long, ref string, alt array<string>")
+    assert sorted((r.pos, r.END, r.TYPE) for r in stats.site_tags(x).collect()) == [(3, 3, "REF"), (10, 11, "MNP,INDEL")]
+    exons = spark.createDataFrame([("1", 8, 20), ("1", 40, 42)], "chrom string, beg long, end long")
+    v = spark.createDataFrame([("1", 10, "A", ["AT", "ATTT"]), ("1", 18, "ACGTT", ["A"]), ("1", 39, "ACGT", ["A"]), ("1", 30, "A", ["AT"])], "chrom string, pos long, ref string, alt array<string>")
+    assert {(r.pos, r.allele): r.oof for r in stats.frameshifts(v, exons).collect()} == {(10, "AT"): True, (10, "ATTT"): False, (18, "A"): True, (39, "A"): False}
+
+
 def test_oxford_and_haplotypes(spark, tmp_path):
     (tmp_path / "x.gen").write_text("1:5_A_G rs 5 A G 1 0 0 0 1 0 0.33 0.33 0.33\n")
     df = tf.read_gen(spark, str(tmp_path / "x.gen"), ["a", "b", "c"])
