@@ -1,7 +1,7 @@
 """Allele operators on variant rows: left alignment, splitting, joining, merging of allele lists, atomising.
 
-Rows have chrom, pos, ref and alt (array). What is a pure function of one row is DataFrame work; left alignment, which walks
-back along the reference, and atomising are Arrow-batched."""
+Rows have chrom, pos, ref and alt (array). What is a pure function of one row is DataFrame work; atomising is Arrow-batched. Left
+alignment of tables, which needs the reference, is in `normalise`."""
 
 from __future__ import annotations
 
@@ -33,21 +33,6 @@ def trim_left_align(pos: int, alleles: list[str], reference: str, first: int = 1
     return pos, a
 
 
-def left_align(df: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Rows with pos, ref and alt in leftmost form. tiles: chrom, seq (a whole contig, from position 1), few and broadcast only
-    if Spark finds them small."""
-    cols = df.columns
-    schema = df.schema
-
-    def run(batches):
-        for pdf in batches:
-            done = [trim_left_align(p, [r, *a], s) if s else (p, [r, *a]) for p, r, a, s in zip(pdf["pos"], pdf["ref"], pdf["alt"], pdf["seq"])]
-            pdf["pos"], pdf["ref"], pdf["alt"] = [x[0] for x in done], [x[1][0] for x in done], [x[1][1:] for x in done]
-            yield pdf[cols]
-
-    return df.join(tiles.select("chrom", "seq"), "chrom", "left").select(*cols, "seq").mapInPandas(run, schema)
-
-
 def split_rows(df: DataFrame, alt: str = "alt", by_alt: tuple[str, ...] = (), by_allele: tuple[str, ...] = (), gt: str | None = None, other: int | None = 0) -> DataFrame:
     """One row per ALT. by_alt: arrays with a value for each ALT; by_allele: those with one for REF too; gt: genotype array
     (this ALT becomes 1, other ALTs `other`)."""

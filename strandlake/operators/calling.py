@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.operators.normalise import reference_text
+
 CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
 PHRED_TO_LN = -0.23025850929940458
 LN_TO_PHRED = -4.3429448190325175
@@ -61,7 +63,7 @@ def pileup(reads: DataFrame, min_mapq: int = 0, min_baseq: int = 1, skip_flags:
 def allele_depths(piled: DataFrame, fasta: DataFrame) -> DataFrame:
     """chrom, pos, sample, ref, base, depth, depth_fwd, qual_sum; aggregation is map-side combined, so depth is no burden."""
     g = piled.groupBy("chrom", "pos", "sample", "base").agg(F.count("*").alias("depth"), F.count_if(~F.col("reverse")).alias("depth_fwd"), F.sum("qual").alias("qual_sum"))
-    return g.join(fasta, "chrom").withColumn("ref", F.substring("seq", F.col("pos").cast("int"), F.lit(1))).drop("seq")
+    return reference_text(g, fasta, F.col("pos"), F.lit(1), "ref").filter("ref IS NOT NULL")
 
 
 def genotype_likelihoods(bases: list[str], quals: list[int], alleles: list[str]) -> np.ndarray:

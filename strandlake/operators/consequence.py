@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators.normalise import WIDTH
 from strandlake.operators.regions import overlap_join
+from strandlake.sources.text_formats import tiles
 
 BASES = "TCAG"
 # Fixed value: amino acids of the standard genetic code, codons in the order TTT, TTC, TTA, TTG, TCT ... GGG.
@@ -72,10 +74,15 @@ def reverse_complement(seq: Column) -> Column:
 
 def coding_sequences(gff: DataFrame, fasta: DataFrame) -> DataFrame:
     """transcript, chrom, strand, cds (sequence 5' to 3'), parts (beg, end in order of the genome)."""
-    c = gff.filter("type = 'CDS'").groupBy(F.col("parent").alias("transcript"), "chrom", "strand").agg(F.array_sort(F.collect_list(F.struct("beg", "end"))).alias("parts"))
-    x = c.join(fasta, "chrom")
-    plus = F.array_join(F.transform("parts", lambda p: F.substring("seq", p["beg"].cast("int"), (p["end"] - p["beg"] + 1).cast("int"))), "")
-    return x.withColumn("cds", F.when(F.col("strand") == "-", reverse_complement(plus)).otherwise(plus)).drop("seq")
+    # a coding part is read in slices that lie in one tile of the reference each
+    c = gff.filter("type = 'CDS'").select(F.col("parent").alias("transcript"), "chrom", "strand", "beg", "end")
+    tile = F.explode(F.sequence(F.floor((F.col("beg") - 1) / WIDTH), F.floor((F.col("end") - 1) / WIDTH))).alias("tile")
+    each = c.select("*", tile).join(tiles(fasta, WIDTH).withColumnRenamed("beg", "_from"), ["chrom", "tile"])
+    lo, hi = F.greatest("beg", "_from"), F.least(F.col("end"), F.col("_from") + WIDTH - 1)
+    each = each.withColumn("_s", F.substring("seq", (lo - F.col("_from") + 1).cast("int"), (hi - lo + 1).cast("int")))
+    x = each.groupBy("transcript", "chrom", "strand").agg(F.array_sort(F.collect_set(F.struct("beg", "end"))).alias("parts"), F.array_sort(F.collect_list(F.struct("beg", "tile", "_s"))).alias("_p"))
+    plus = F.array_join(F.transform("_p", lambda p: p["_s"]), "")
+    return x.withColumn("cds", F.when(F.col("strand") == "-", reverse_complement(plus)).otherwise(plus)).drop("_p")
 
 
 def local_consequences(variants: DataFrame, gff: DataFrame, fasta: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import stats_math as M
 from strandlake.functions.expr import FilterError, compile_filter, compile_value, expand_grid
 from strandlake.functions.project import Projector
-from strandlake.operators import alleles, calling, cohorts, consequence, genotypes, hmm, regions, sequential, setops, stats, variants
+from strandlake.operators import alleles, annotate, calling, cohorts, consequence, genotypes, hmm, normalise, regions, sequential, setops, stats, variants
 from strandlake.sources import text_formats as tf
 
 VCF = """##fileformat=VCFv4.2
@@ -192,13 +192,54 @@ def test_alleles(spark):
     assert s == [(["G"], [0.1], [5, 6], [1, 0]), (["T"], [0.2], [5, 7], [0, 1])]
     back = alleles.join_rows(alleles.split_rows(df).select("chrom", "pos", "ref", F.get("alt", F.lit(0)).alias("alt")), ["chrom", "pos", "ref"], "alt").first()
     assert back.alt == ["G", "T"]
-    left = alleles.left_align(spark.createDataFrame([("1", 9, "CAC", ["C"])], "chrom string, pos long, ref string, alt array<string>"), spark.createDataFrame([("1", ref)], "chrom string, seq string")).first()
+    left = normalise.left_align(spark.createDataFrame([("1", 9, "CAC", ["C"])], "chrom string, pos long, ref string, alt array<string>"), spark.createDataFrame([("1", ref)], "chrom string, seq string")).first()
     assert (left.pos, left.ref, left.alt) == (3, "GAC", ["G"])
     types = ["A>G", "A>A", "AC>A", "AC>GT", "A><*>", "A>*", "A><DEL>", "A>G[1:5["]
     got = spark.createDataFrame([t.split(">", 1) for t in types], "r string, a string").select(alleles.variant_type(F.col("r"), F.col("a")).alias("t")).collect()
     assert [r.t for r in got] == ["snp", "ref", "indel", "mnp", "ref", "overlap", "other", "bnd"]
 
 
+def test_left_alignment_in_rounds(spark):
+    ref = "G" + "CA" * 3000 + "TTT"  # longer than a tile
+    rows = [("1", 5990, "CAC", ["C"]), ("1", 11, "C", ["<DEL>"]), ("9", 5, "A", ["AT"])]
+    df = spark.createDataFrame(rows, "chrom string, pos long, ref string, alt array<string>")
+    out = {(r.chrom, r.ref): (r.pos, r.alt) for r in normalise.left_align(df, spark.createDataFrame([("1", ref)], "chrom string, seq string"), window=700).collect()}
+    assert out == {("1", "GCA"): (1, ["G"]), ("1", "C"): (11, ["<DEL>"]), ("9", "A"): (5, ["AT"])}
+
+
+def test_reference_checks(spark):
+    fasta = spark.createDataFrame([("1", "ACGTN" + "A" * 5000)], "chrom string, seq string")
+    rows = [("1", 1, "A", ["C"], [0, 1]), ("1", 2, "G", ["C"], [0, 1]), ("1", 3, "R", ["A"], [1, 1]), ("1", 5, "T", ["A"], [0, 0]), ("7", 1, "A", ["C"], [0, 0]), ("1", 4, "A", ["C"], [None, 1]), ("1", 4095, "AAAA", ["A"], [0, 1])]
+    df = spark.createDataFrame(rows, "chrom string, pos long, ref string, alt array<string>, gt array<int>").withColumn("samples", F.array(F.struct(F.lit("s").alias("sample"), "gt"))).drop("gt")
+    ok = {(r.chrom, r.pos): r.ref_ok for r in normalise.check_ref(df, fasta).collect()}
+    assert ok == {("1", 1): True, ("1", 2): False, ("1", 3): True, ("1", 5): True, ("7", 1): None, ("1", 4): False, ("1", 4095): True}
+    assert normalise.check_ref(df, fasta, "x").count() == 5
+    fixed = {(r.chrom, r.pos): (r.ref, r.alt, r.samples[0].gt) for r in normalise.check_ref(df, fasta, "s").collect()}
+    assert fixed[("1", 2)] == ("C", ["G"], [1, 0]) and fixed[("1", 4)] == ("T", ["C"], [None, 1]) and fixed[("1", 1)] == ("A", ["C"], [0, 1])
+    with pytest.raises(Exception, match="REF differs"):
+        normalise.check_ref(df, fasta, "e").collect()
+    snps = spark.createDataFrame([("1", 1, "C", ["A"]), ("1", 2, "G", ["T"]), ("1", 3, "A", ["C"]), ("1", 4, "T", ["A"]), ("1", 2, "A", ["G"]), ("1", 1, "A", ["T"]), ("1", 2, "C", ["G"])], "chrom string, pos long, ref string, alt array<string>").withColumn("samples", F.array(F.struct(F.lit("s").alias("sample"), F.array(F.lit(0), F.lit(1), F.lit(1)).alias("gt"))))
+    got = sorted((r.fixref, r.ref, r.alt, r.samples[0].gt) for r in normalise.fix_ref(snps, fasta).collect())
+    assert got == sorted([("ok", "A", ["T"], [0, 1, 1]), ("swap", "A", ["C"], [1, 0, 0]), ("flip+swap", "C", ["T"], [1, 0, 0]), ("ok", "C", ["G"], [0, 1, 1]), ("flip", "C", ["A"], [0, 1, 1]), ("flip+swap", "G", ["T"], [1, 0, 0]), ("ok", "T", ["A"], [0, 1, 1])])
+    assert {r.fixref for r in normalise.fix_ref(snps, fasta, "stats").collect()} == {"ok", "swap", "flip", "flip+swap"}
+    some = normalise.only_where(df, F.col("pos") > 3, lambda x: x.withColumn("ref", F.lit("Z")))
+    assert sorted((r.pos, r.ref) for r in some.collect()) == [(1, "A"), (1, "A"), (2, "G"), (3, "R"), (4, "Z"), (5, "Z"), (4095, "Z")]
+
+
+def test_annotation_and_names(spark, vcf):
+    df, _ = vcf
+    ann = spark.createDataFrame([("1", 10, "A", "T,C", 7, "late"), ("1", 10, "A", "g", 5, "early"), ("1", 20, "AC", "G", 1, "no")], "chrom string, pos long, ref string, alt string, k int, note string")
+    got = {r.pos: r.note for r in annotate.by_alleles(df, ann, {"note": "note"}, order=["k"]).collect()}
+    assert got == {10: "early", 20: None, 5: None}
+    assert {r.pos: r.note for r in annotate.by_alleles(df, ann, {"note": "note"}, order=["k"], extra='ann_note="late"').collect()}[10] == "late"
+    other = df.withColumn("mark", F.col("pos") + 1).withColumn("alt", F.array(F.lit("T")))
+    assert {r.pos: r.m for r in annotate.by_record(df, other, {"mark": "m"}, "some").collect()} == {10: 11, 20: None, 5: None}
+    assert {r.pos: r.m for r in annotate.by_record(df, other, {"mark": "m"}, "snps").collect()} == {10: 11, 20: None, 5: None}
+    assert {r.pos: r.m for r in annotate.by_record(df, other, {"mark": "m"}, "id").filter("pos = 10").collect()} == {10: 11}
+    assert {s.sample for s in annotate.rename_samples(df, {"s1": "new"}).first().samples} == {"new", "s2", "s3"}
+    assert "DEPTH" in annotate.rename_fields(df, {"DP": "DEPTH"}, "info").schema["info"].dataType.fieldNames()
+
+
 def test_order_dependent_operators(spark):
     df = spark.createDataFrame([("1", p, v) for p, v in [(1, 0.5), (2, 0.1), (3, 0.9), (50, 0.2), (51, 0.3)]], "c string, p long, v double")
     assert sorted(r.p for r in sequential.prune(df, ["c"], "p", 2, 10, "v").collect()) == [1, 3, 50, 51]
