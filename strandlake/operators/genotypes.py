@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +14,57 @@ def long_form(df: DataFrame, keys: list[str], samples: str = "samples") -> DataF
 
 
 def pair_discordance(q: DataFrame, g: DataFrame, site: list[str], sample: str, value: str, self_join: bool = False) -> DataFrame:
-    """q_sample, g_sample, n_sites, n_matches, n_mismatches over shared sites, by dosage bit masks: no common bit, a mismatch."""
-    a = q.select(*site, F.col(sample).alias("q_sample"), F.col(value).alias("_a"))
-    b = g.select(*site, F.col(sample).alias("g_sample"), F.col(value).alias("_b"))
-    met = a.join(b, site)
-    met = met.filter("q_sample > g_sample") if self_join else met
-    same = F.col("_a").bitwiseAND(F.col("_b")) != 0
-    return met.groupBy("q_sample", "g_sample").agg(F.count("*").alias("n_sites"), F.count(F.when(same, 1)).alias("n_matches"), F.count(F.when(~same, 1)).alias("n_mismatches"))
+    """q_sample, g_sample, n_sites, n_matches, n_mismatches over shared sites, by dosage bit masks: no common bit, a mismatch.
+
+    Sites are dealt into blocks and samples into tiles; two tiles of a block meet in one task, where counts of all their pairs are
+    products of incidence matrices. What leaves a task is a row for each pair of samples, not for each pair and site, and
+    blocks are so many that a tile has about CELLS genotypes."""
+    a = q.select(F.struct(*site).alias("_site"), F.col(sample).alias("q_sample"), F.col(value).cast("int").alias("_a")).filter("_a IS NOT NULL")
+    b = g.select(F.struct(*site).alias("_site2"), F.col(sample).alias("g_sample"), F.col(value).cast("int").alias("_b")).filter("_b IS NOT NULL")
+    tiles = [max(1, -(-x.select(c).distinct().count() // TILE)) for x, c in ((a, "q_sample"), (b, "g_sample"))]
+    blocks = max(1, max(a.count() // (CELLS * tiles[0]), b.count() // (CELLS * tiles[1])))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    a = a.withColumn("block", deal("_site", blocks)).withColumn("t1", deal("q_sample", tiles[0])).withColumn("t2", each(tiles[1]))
+    b = b.withColumn("block2", deal("_site2", blocks)).withColumn("u2", deal("g_sample", tiles[1])).withColumn("u1", each(tiles[0]))
+    a, b = a.withColumn("_site", F.to_json("_site")), b.withColumn("_site2", F.to_json("_site2"))
+    kinds = a.schema["q_sample"].dataType.simpleString(), b.schema["g_sample"].dataType.simpleString()
+    met = a.groupBy("block", "t1", "t2").cogroup(b.groupBy("block2", "u1", "u2"))
+    part = met.applyInPandas(lambda x, y: counts_of_pairs(x, y, self_join), f"q_sample {kinds[0]}, g_sample {kinds[1]}, n bigint, bad bigint")
+    return part.groupBy("q_sample", "g_sample").agg(F.sum("n").alias("n_sites"), (F.sum("n") - F.sum("bad")).alias("n_matches"), F.sum("bad").alias("n_mismatches"))
+
+
+TILE, CELLS, SITES = 512, 1 << 20, 4096  # samples of a tile; genotypes of a tile in a block; sites of a product
+
+
+def counts_of_pairs(x: pd.DataFrame, y: pd.DataFrame, self_join: bool) -> pd.DataFrame:
+    """Shared sites and mismatches of all pairs of samples of two tiles."""
+    out = pd.DataFrame({"q_sample": x["q_sample"].iloc[:0], "g_sample": y["g_sample"].iloc[:0], "n": pd.Series(dtype="int64"), "bad": pd.Series(dtype="int64")})
+    shared = np.intersect1d(x["_site"].unique().astype(str), y["_site2"].unique().astype(str))
+    x, y = x[x["_site"].isin(shared)], y[y["_site2"].isin(shared)]
+    if not len(x) or not len(y):
+        return out
+    qs, gs = (pd.Index(v.unique()) for v in (x["q_sample"], y["g_sample"]))
+    n, bad = np.zeros((len(qs), len(gs))), np.zeros((len(qs), len(gs)))
+    at = pd.Index(shared)
+    for lo in range(0, len(at), SITES):
+        cut = at[lo : lo + SITES]
+        xs, ys = x[x["_site"].isin(cut)], y[y["_site2"].isin(cut)]
+        mats = []
+        for df, site, names, sample, value in ((xs, "_site", qs, "q_sample", "_a"), (ys, "_site2", gs, "g_sample", "_b")):
+            m = {}
+            for v, part in df.groupby(value):
+                m[int(v)] = np.zeros((len(names), len(cut)), np.float32)
+                np.add.at(m[int(v)], (names.get_indexer(part[sample]), cut.get_indexer(part[site])), 1)
+            mats.append(m)
+        n += sum(mats[0].values()) @ sum(mats[1].values()).T
+        for v, m in mats[0].items():
+            other = [w for k, w in mats[1].items() if not v & k]
+            if other:
+                bad += m @ sum(other).T
+    i, j = np.nonzero(n)
+    out = pd.DataFrame({"q_sample": qs[i], "g_sample": gs[j], "n": n[i, j].astype(np.int64), "bad": bad[i, j].astype(np.int64)})
+    return out[out["q_sample"] > out["g_sample"]] if self_join else out
 
 
 def concordance(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -3,7 +3,7 @@ by the parts' sizes."""
 
 from pyspark.sql import functions as F
 
-from strandlake.operators import annotate, normalise, variants
+from strandlake.operators import annotate, merge, normalise, variants
 from strandlake.plans import register
 from strandlake.session import table
 
@@ -138,3 +138,42 @@ def constrained_calls(spark, sf):
     targets = r.filter("pos % 3 = 0").select("chrom", "pos", letter(F.col("p_size")).alias("ref"), F.array(F.lit("T")).alias("alt"))
     out = annotate.constrained(r.filter("pos % 4 <> 0"), targets, insert_missed=True)
     return out.select("pos", "missed", F.get("wanted_index", F.lit(0)).alias("first"))
+
+
+# Three sources with a sample each: which parts they have, and their ALT, go by the key.
+MERGED = """WITH s AS (SELECT p_partkey AS pos, k, substr('CGT', CAST((p_size + k * (p_partkey % 2)) % 3 AS INTEGER) + 1, 1) AS a, p_size + k AS q, CASE WHEN (p_partkey + k) % 5 = 0 THEN 'low' ELSE 'PASS' END AS f, (p_partkey + k) % 3 AS g FROM part, (VALUES (0), (1), (2)) v(k) WHERE p_partkey % (k + 2) <> 0),
+u AS (SELECT pos, a, min(k) AS first FROM s GROUP BY 1, 2), r AS (SELECT pos, a, row_number() OVER (PARTITION BY pos ORDER BY first) AS i FROM u), m AS (SELECT pos, string_agg(a, ',' ORDER BY i) AS alts FROM r GROUP BY 1),
+x AS (SELECT s.pos, k, CASE g WHEN 0 THEN '0/' || i WHEN 1 THEN i || '/' || i ELSE './' || i END AS gt FROM s JOIN r ON s.pos = r.pos AND s.a = r.a) """
+
+
+@register("merge_records", MERGED + "SELECT m.pos, alts, CAST(max(q) AS DOUBLE) AS qual, CASE WHEN bool_or(f = 'low') THEN 'low' ELSE 'PASS' END AS filter, coalesce(max(CASE WHEN x.k = 0 THEN gt END), './.') AS g0, coalesce(max(CASE WHEN x.k = 1 THEN gt END), './.') AS g1, coalesce(max(CASE WHEN x.k = 2 THEN gt END), './.') AS g2 FROM m JOIN s ON m.pos = s.pos JOIN x ON x.pos = s.pos AND x.k = s.k GROUP BY m.pos, alts")
+def merge_records(spark, sf):
+    p = table(spark, sf, "part")
+
+    def source(k):
+        key, size = F.col("p_partkey"), F.col("p_size")
+        alt = F.substr(F.lit("CGT"), ((size + k * (key % 2)) % 3).cast("int") + 1, F.lit(1))
+        one, none = F.lit(1), F.lit(None).cast("int")
+        gt = F.when((key + k) % 3 == 0, F.array(F.lit(0), one)).when((key + k) % 3 == 1, F.array(one, one)).otherwise(F.array(none, one))
+        return p.filter(key % (k + 2) != 0).select(F.lit("1").alias("chrom"), key.alias("pos"), F.array().cast("array<string>").alias("id"), F.lit("A").alias("ref"), F.array(alt).alias("alt"), (size + k).cast("double").alias("qual"), F.array(F.when((key + k) % 5 == 0, "low").otherwise("PASS")).alias("filters"), F.array(F.struct(F.lit(f"s{k}").alias("sample"), gt.alias("gt"), F.lit(False).alias("phased"))).alias("samples"))
+
+    from strandlake.functions.project import gt_text
+
+    m = merge.merge_records([source(k) for k in range(3)], [[f"s{k}"] for k in range(3)])
+    return m.select("pos", F.array_join("alt", ",").alias("alts"), "qual", F.array_join("filters", ";").alias("filter"), *(gt_text(F.get("samples", F.lit(k))).alias(f"g{k}") for k in range(3)))
+
+
+#: Genotypes that the filter language has no short word for: the text of a record's samples as codes and as a line.
+CODES = """WITH f AS (SELECT l_partkey AS pos, l_suppkey % 6 AS s, min(l_orderkey * 8 + l_linenumber) AS k FROM lineitem GROUP BY 1, 2), g AS (SELECT pos, s, CAST(k % 2 AS INTEGER) AS a, CAST((k // 2) % 2 AS INTEGER) AS b, CAST(k % 40 AS BIGINT) AS dp FROM f) """
+
+
+@register("format_functions", CODES + "SELECT 'c:' || pos || ' ' || CAST(sum(dp) AS BIGINT) || ' ' || CAST(count(*) FILTER (dp > 10) AS BIGINT) || ' ' || string_agg(CASE WHEN a = b THEN CASE a WHEN 0 THEN 'A' ELSE 'G' END ELSE 'R' END, '' ORDER BY s) AS line FROM g GROUP BY pos")
+def format_functions(spark, sf):
+    """A format with functions of the filter language and one-letter genotypes."""
+    from strandlake.functions.project import Projector
+
+    f = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("pos"), (F.col("l_suppkey") % 6).alias("s")).agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"))
+    gt = F.array((F.col("k") % 2).cast("int"), (F.expr("k div 2") % 2).cast("int"))
+    df = f.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("sample"), gt.alias("gt"), F.lit(False).alias("phased"), (F.col("k") % 40).alias("DP")))).alias("samples"))
+    df = df.withColumns({"chrom": F.lit("c"), "ref": F.lit("A"), "alt": F.array(F.lit("G"))})
+    return df.select(Projector(df).compile("%CHROM:%POS %SUM(FMT/DP) %N_PASS(FMT/DP>10) [%IUPACGT]").alias("line"))

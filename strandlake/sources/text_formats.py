@@ -59,8 +59,9 @@ def gt_alleles(text: Column) -> Column:
 
 
 def read_vcf(spark: SparkSession, path: str, header: Header | None = None) -> DataFrame:
-    """chrom, pos, id (array), ref, alt (array), qual, filters (array), info (struct of the declared fields), samples (array of
-    structs: sample, gt, phased, declared FORMAT fields)."""
+    """chrom, pos, id (array), ref, alt (array), qual, filters (array), info (struct of the declared fields), info_more (map of those
+    that the header does not declare, as text), samples (array of structs: sample, gt, phased, declared FORMAT fields, more: map
+    of the others)."""
     h = header or read_header(spark, path)
     c = F.split("value", "\t")
     at = lambda i: F.get(c, F.lit(i))
@@ -75,12 +76,14 @@ def read_vcf(spark: SparkSession, path: str, header: Header | None = None) -> Da
         v = F.split(at(9 + i), ":")
         get = lambda k: F.get(v, F.array_position(keys, k).cast("int") - 1)
         gt = F.when(F.array_contains(keys, "GT"), get("GT"))
-        return F.struct(F.lit(name).alias("sample"), gt_alleles(gt).alias("gt"), F.contains(gt, F.lit("|")).alias("phased"), *(_typed(F.when(F.array_contains(keys, k), get(k)), h.type_of("FORMAT", k)).alias(k) for k in fmt))
+        new = F.filter(keys, lambda k: ~k.isin("GT", *fmt))
+        more = F.map_from_arrays(new, F.transform(new, lambda k: F.coalesce(F.get(v, (F.array_position(keys, k) - 1).cast("int")), F.lit("."))))
+        return F.struct(F.lit(name).alias("sample"), gt_alleles(gt).alias("gt"), F.contains(gt, F.lit("|")).alias("phased"), more.alias("more"), *(_typed(F.when(F.array_contains(keys, k), get(k)), h.type_of("FORMAT", k)).alias(k) for k in fmt))
 
     return lines.select(
         at(0).alias("chrom"), at(1).cast("long").alias("pos"), lst(at(2), ";").alias("id"), at(3).alias("ref"), lst(at(4), ",").alias("alt"),
         F.when(at(5) != ".", at(5)).cast("double").alias("qual"), lst(at(6), ";").alias("filters"),
-        *([F.struct(*info).alias("info")] if info else []), *([F.array(*(sample(s, i) for i, s in enumerate(h.samples))).alias("samples")] if h.samples else []),
+        *([F.struct(*info).alias("info")] if info else []), F.when(at(7) != ".", F.map_filter(info_map, lambda k, v: ~k.isin(*h.fields["INFO"]) if h.fields["INFO"] else F.lit(True))).alias("info_more"), *([F.array(*(sample(s, i) for i, s in enumerate(h.samples))).alias("samples")] if h.samples else []),
     )
 
 
@@ -103,15 +106,21 @@ def vcf_lines(df: DataFrame) -> DataFrame:
     out = [F.col("chrom"), F.col("pos").cast("string"), join("id", ";"), F.col("ref"), join("alt", ","), F.coalesce(_number(F.col("qual"), T.DoubleType()), F.lit(".")), join("filters", ";")]
     if "info" in fields:
         parts = [F.when(F.col(f"info.{f.name}"), F.lit(f.name)) if isinstance(f.dataType, T.BooleanType) else F.concat(F.lit(f.name + "="), _text(F.col(f"info.{f.name}"), f.dataType)) for f in fields["info"]]
-        out.append(F.coalesce(F.nullif(F.array_join(F.array_compact(F.array(*parts)), ";"), F.lit("")), F.lit(".")))
     else:
-        out.append(F.lit("."))
+        parts = []
+    own = F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
+    if "info_more" in fields:
+        more = F.transform(F.map_entries("info_more"), lambda e: F.concat(e["key"], F.coalesce(F.concat(F.lit("="), e["value"]), F.lit(""))))
+        own = F.concat(own, F.coalesce(more, F.array().cast("array<string>")))
+    out.append(F.coalesce(F.nullif(F.array_join(own, ";"), F.lit("")), F.lit(".")))
     if "samples" in fields:
         s = fields["samples"].elementType
-        extra = [f for f in s if f.name not in ("sample", "gt", "phased")]
-        out.append(F.lit(":".join(["GT", *(f.name for f in extra)])))
+        extra = [f for f in s if f.name not in ("sample", "gt", "phased", "more")]
+        told = F.lit(":".join(["GT", *(f.name for f in extra)]))
+        rest = F.coalesce(F.array_sort(F.map_keys(F.get("samples", F.lit(0))["more"])), F.array().cast("array<string>")) if "more" in s.names else None
+        out.append(told if rest is None else F.concat_ws(":", told, F.nullif(F.array_join(rest, ":"), F.lit(""))))
         gt = lambda x: F.coalesce(F.replace(F.array_join(F.transform(x["gt"], lambda a: F.coalesce(a.cast("string"), F.lit("."))), "/"), F.lit("/"), F.when(x["phased"], "|").otherwise("/")), F.lit("."))
-        out.append(F.array_join(F.transform("samples", lambda x: F.concat_ws(":", gt(x), *(F.coalesce(_text(x[f.name], f.dataType), F.lit(".")) for f in extra))), "\t"))
+        out.append(F.array_join(F.transform("samples", lambda x: F.concat_ws(":", gt(x), *(F.coalesce(_text(x[f.name], f.dataType), F.lit(".")) for f in extra), *([] if rest is None else [F.nullif(F.array_join(F.transform(rest, lambda k: F.coalesce(F.try_element_at(x["more"], k), F.lit("."))), ":"), F.lit(""))]))), "\t"))
     return df.select(F.concat_ws("\t", *out).alias("value"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import stats_math as M
 from strandlake.functions.expr import FilterError, compile_filter, compile_value, expand_grid
 from strandlake.functions.project import Projector
-from strandlake.operators import alleles, annotate, calling, cohorts, consequence, genotypes, hmm, normalise, regions, sequential, setops, stats, variants
+from strandlake.operators import alleles, annotate, calling, cohorts, consequence, genotypes, hmm, merge, normalise, regions, sequential, setops, stats, variants
 from strandlake.sources import text_formats as tf
 
 VCF = """##fileformat=VCFv4.2
@@ -48,6 +48,11 @@ def test_vcf_round_trip(spark, vcf, tmp_path):
     lines = [x.value for x in tf.vcf_lines(tf.sort_sites(df, h.contigs)).collect()]
     want = [x for x in VCF.split("\n") if x and x[0] != "#"]
     drop = lambda s: s.replace("AF1=.", ".").replace(".:.:.", "./.:.:.") if s.startswith("2") else s
+    odd = tmp_path / "odd.vcf"
+    odd.write_text(VCF.split("#CHROM")[0] + "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n1\t7\t.\tA\tC\t.\t.\tDP=3;NEW=1,2;FLAG\tGT:XX:DP:AD:YY\t0/1:a:3:1,2:q\t1|1:.:4:0,4:r\n")
+    o = tf.read_vcf(spark, str(odd))
+    assert o.first().info_more == {"NEW": "1,2", "FLAG": None} and o.first().samples[0].more == {"XX": "a", "YY": "q"}
+    assert tf.vcf_lines(o).first().value == "1\t7\t.\tA\tC\t.\t.\tDP=3;NEW=1,2;FLAG\tGT:DP:AD:XX:YY\t0/1:3:1,2:a:q\t1|1:4:0,4:.:r"
     assert lines[1] == want[0] and lines[2] == want[1] and lines[0].split("\t")[:7] == drop(want[2]).split("\t")[:7]
     tf.write_vcf(df, h, str(tmp_path / "out"))
     assert sites(tf.read_vcf(spark, str(tmp_path / "out"), h)) == sites(df)
@@ -109,6 +114,12 @@ def test_projection(vcf):
     assert line(r"%CHROM:%POS0-%END %REF>%ALT{0} %ID %QUAL %FILTER\n")[10] == "1:9-10 A>G rs1,x 50 PASS\n"
     assert line("[%SAMPLE=%GT;]")[10] == "s1=0/1;s2=1|2;s3=./.;"
     assert line("[%TGT %AD{1} %/QUAL,]")[10] == "A/G 5 50,G|T 9 50,./. . 50,"
+    assert line("%TYPE")[10] == "SNP" and line("%TYPE")[5] == "REF" and line("%INFO")[10] == "DP=30;AF1=0.5,0.1;DB" and line("%INFO")[5] == "."
+    assert line("[%IUPACGT ]")[10] == "R K ./. " and line("[%IUPACGT ]")[20] == "AC/AC AC/A A "
+    assert line("%N_PASS(FMT/DP>2) %SUM(FMT/AD) [%SMPL_SUM(FMT/AD);]")[20] == "2 12 3;7;2;"
+    assert line("[%PBINOM(AD),]")[20] == "0,0,0," and line("[%PBINOM(AD),]")[10].split(",")[0] == "0"
+    assert line("%LINE")[20].startswith("1\t20\t.\tAC\tA\t.\t.\tDP=5\tGT:DP:AD\t0/0:3:3,0\t")
+    assert Projector(df).header("%CHROM %N_PASS(FMT/DP>2)[ %GT]") == "#[1]CHROM\t[2]N_PASS(FMT/DP>2)\t[3]GT" and Projector(df).header("%CHROM", False) == "#CHROM"
     assert line("%INFO/DP %DB %IS_TS")[10] == "30 true 1" and line("%NO", undefined=True)[5] == "."
 
 
@@ -389,3 +400,44 @@ def test_oxford_and_haplotypes(spark, tmp_path):
     assert tf.hap_lines(df).first().value == "1:5_A_G rs 5 A G 0* 0* 0* 1* ? ?"
     blocks = tf.expand_blocks(spark.createDataFrame([("1", 2, 4, "C")], "chrom string, pos long, end long, ref string"), spark.createDataFrame([("1", "ACGT")], "chrom string, seq string"))
     assert sorted((x.pos, x.ref) for x in blocks.collect()) == [(2, "C"), (3, "G"), (4, "T")]
+
+
+def test_merged_records(spark):
+    cols = "chrom string, pos long, id array<string>, ref string, alt array<string>, qual double, filters array<string>, samples array<struct<sample:string,gt:array<int>,phased:boolean,DP:int,AD:array<int>,PL:array<int>>>"
+    a = spark.createDataFrame([("1", 5, ["x"], "A", ["G"], 10.0, ["PASS"], [("s", [0, 1], False, 7, [3, 4], [9, 0, 8])]), ("1", 9, [], "A", ["AT"], None, [], [("s", [1, 1], True, 2, [0, 2], [9, 3, 0])])], cols)
+    b = spark.createDataFrame([("1", 5, ["y", "x"], "A", ["T", "G"], 30.0, ["low"], [("t", [1, 2], True, 9, [1, 2, 6], [90, 80, 70, 60, 0, 50])]), ("1", 9, [], "AC", ["A"], 5.0, ["PASS"], [("t", [None, 1], False, 1, None, None)]), ("1", 5, [], "A", ["C"], 1.0, ["PASS"], [("t", [0, 1], False, 1, [1, 1], [1, 0, 1])])], cols)
+    out = sorted(merge.merge_records([a, b], [["s"], ["t"]], by_allele=("AD",), by_genotype=("PL",), plain=("DP",)).collect(), key=lambda r: (r.pos, len(r.sources), r.alt))
+    assert len(out) == 3
+    both = next(o for o in out if o.pos == 5 and o.sources == [0, 1])
+    alone = next(o for o in out if o.pos == 5 and o.sources == [1])
+    assert (both.alt, both.qual, both.filters, both.id) == (["G", "C"], 10.0, ["PASS"], ["x"]) and (alone.alt, alone.filters) == (["T", "G"], ["low"])
+    assert [(s.gt, s.DP, s.AD, s.PL) for s in both.samples] == [([0, 1], 7, [3, 4, None], [9, 0, 8, None, None, None]), ([0, 2], 1, [1, None, 1], [1, None, None, 0, None, 1])]
+    assert alone.samples[0].gt == [None, None] and alone.samples[1].phased
+    indel = next(o for o in out if o.pos == 9)
+    assert (indel.ref, indel.alt, indel.qual, indel.filters) == ("AC", ["ATC", "A"], 5.0, ["PASS"])
+    assert [(s.sample, s.gt, s.AD, s.PL) for s in indel.samples] == [("s", [1, 1], [0, 2, None], [9, 3, 0, None, None, None]), ("t", [None, 2], None, None)]
+    same = merge.merge_records([a, a], [["s"], ["s"]], by_allele=("AD",)).filter("pos = 5").first()
+    assert [s.sample for s in same.samples] == ["1:s", "2:s"] and same.qual == 10.0 and same.id == ["x"]
+    fill = merge.merge_records([a, b.filter("pos = 9")], [["s"], ["t"]], missing_to_ref=True).filter("pos = 5").first()
+    assert fill.samples[1].gt == [0, 0] and fill.samples[1].sample == "t"
+    with pytest.raises(ValueError):
+        merge.merge_records([a, a], [["s"], ["s"]], prefix_clashes=False)
+    local = b.filter("size(alt) = 2").select(merge.local_alleles(F.col("samples"), 1).alias("s")).first().s[0]
+    assert local.laa == [0, 1] and local.lpl == [90, 80, 70]
+
+
+def test_pairs_of_samples_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(p), f"s{s}", int(v)) for p in range(60) for s in range(9) for v in rng.choice([1, 2, 4, 0], 1) if rng.random() > 0.2]
+    df = spark.createDataFrame(rows, "pos int, sample string, mask int")
+    want = {}
+    for p, s, v in rows:
+        for q, t, w in rows:
+            if p == q and s > t:
+                n, bad = want.get((s, t), (0, 0))
+                want[s, t] = n + 1, bad + (v & w == 0)
+    for tile, cells in ((512, 1 << 20), (2, 40)):
+        monkeypatch.setattr(genotypes, "TILE", tile)
+        monkeypatch.setattr(genotypes, "CELLS", cells)
+        got = {(r.q_sample, r.g_sample): (r.n_sites, r.n_mismatches) for r in genotypes.pair_discordance(df, df, ["pos"], "sample", "mask", True).collect()}
+        assert got == want
