@@ -7,6 +7,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def powers(t: np.ndarray, most: int = 10_000) -> list[np.ndarray]:
@@ -67,21 +68,30 @@ def posterior(pos: np.ndarray, emit: np.ndarray, t: np.ndarray, init: np.ndarray
 
 
 def decode(df: DataFrame, keys: list[str], at: str, emissions: list[str], transition: list[list[float]], init: list[float]) -> DataFrame:
-    """keys, at, state, prob (of that state): the Viterbi path of each group. emissions: one column for each state. A group is
-    held by one task at a time; cut very long groups into tiles of positions first."""
+    """keys, at, state, prob (of that state): the Viterbi path of each group. emissions: one column for each state. Groups go to
+    Python many at a time, about ROWS rows together; a group is held by one task, so cut very long ones into tiles of positions
+    first."""
     t, start = np.array(transition), np.array(init)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, at).schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, kind="stable")
+        pdf = pdf.sort_values([*keys, at], kind="stable", ignore_index=True)
         pos, emit = pdf[at].to_numpy(), pdf[emissions].to_numpy(float)
-        path = viterbi(pos, emit, t, start)
+        state, prob = np.zeros(len(pdf), np.int32), np.zeros(len(pdf))
+        for rows in pdf.groupby(keys, sort=False, dropna=False).indices.values():
+            path = viterbi(pos[rows], emit[rows], t, start)
+            state[rows] = path
+            prob[rows] = posterior(pos[rows], emit[rows], t, start)[np.arange(len(path)), path]
         out = pdf[[*keys, at]].copy()
-        out["state"] = path.astype("int32")
-        out["prob"] = posterior(pos, emit, t, start)[np.arange(len(path)), path]
+        out["state"], out["prob"] = state, prob
         return out
 
-    return df.select(*keys, at, *emissions).groupBy(*keys).applyInPandas(run, f"{kinds}, state int, prob double")
+    packs = max(1, df.count() // ROWS)
+    packed = df.select(*keys, at, *emissions, F.pmod(F.xxhash64(*keys), F.lit(packs)).alias("_pack"))
+    return packed.groupBy("_pack").applyInPandas(run, f"{kinds}, state int, prob double")
+
+
+ROWS = 20_000  # of a call, on average
 
 
 def homozygosity_emissions(p_alt: float, likelihoods: tuple[float, float, float]) -> tuple[float, float]:

@@ -227,15 +227,28 @@ def subset_lattice(spark, sf):
     return o.groupBy("m").agg(F.count("*").alias("n"))
 
 
-@register("runs_viterbi")
+@register("runs_viterbi", """WITH RECURSIVE e AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS "at", least(0.95, greatest(0.05, value / 100)) AS hi FROM events),
+v AS (SELECT user_id, "at", ln(0.5) + ln(1 - hi) AS d0, ln(0.5) + ln(hi) AS d1, [0] AS p0, [1] AS p1 FROM e WHERE "at" = 1 UNION ALL
+SELECT e.user_id, e."at", ln(1 - hi) + greatest(d0 + ln(0.9), d1 + ln(0.2)), ln(hi) + greatest(d0 + ln(0.1), d1 + ln(0.8)), CASE WHEN d0 + ln(0.9) >= d1 + ln(0.2) THEN list_append(p0, 0) ELSE list_append(p1, 0) END, CASE WHEN d0 + ln(0.1) >= d1 + ln(0.8) THEN list_append(p0, 1) ELSE list_append(p1, 1) END FROM v JOIN e ON e.user_id = v.user_id AND e."at" = v."at" + 1),
+b AS (SELECT user_id, arg_max(CASE WHEN d0 >= d1 THEN p0 ELSE p1 END, "at") AS path FROM v GROUP BY user_id) SELECT user_id, CAST(unnest(range(1, len(path) + 1)) AS INTEGER) AS "at", CAST(unnest(path) AS INTEGER) AS state FROM b""")
 def runs_viterbi(spark, sf):
-    """Two hidden states (quiet, busy) of each user decoded from event values (rows only)."""
+    """Two hidden states (quiet, busy) of each user decoded from event values."""
+    return decoded_users(spark, sf).select("user_id", "at", "state")
+
+
+def decoded_users(spark, sf):
     e = table(spark, sf, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = e.withColumn("at", F.row_number().over(w)).withColumn("hi", F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col("value") / 100)))
     return hmm.decode(e.withColumn("lo", 1 - F.col("hi")), ["user_id"], "at", ["lo", "hi"], [[0.9, 0.1], [0.2, 0.8]], [0.5, 0.5])
 
 
+@register("runs_posterior")
+def runs_posterior(spark, sf):
+    """Probability of the decoded state of each event (tested against all paths in tests/test_variants.py)."""
+    return decoded_users(spark, sf).select("user_id", "at", F.round("prob", 6).alias("prob"))
+
+
 @register("edit_distance", "SELECT a.p_partkey AS x, b.p_partkey AS y, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def edit_distance(spark, sf):
     p = table(spark, sf, "part")

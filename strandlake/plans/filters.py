@@ -44,12 +44,12 @@ def filter_exclude(spark, sf):
     return compile_filter('o_totalprice>100000 || o_orderstatus="O"', df).drop(df).select("o_orderkey")
 
 
-@register("filter_arithmetic", "SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * (1 - l_discount) / l_quantity, 3) AS DOUBLE) AS unit, CAST(l_orderkey AS BIGINT) % 7 AS rest FROM lineitem WHERE l_extendedprice * (1 - l_discount) / l_quantity > 1500")
+@register("filter_arithmetic", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) / l_quantity AS unit, CAST(l_orderkey AS BIGINT) % 7 AS rest FROM lineitem WHERE l_extendedprice * (1 - l_discount) / l_quantity > 1500")
 def filter_arithmetic(spark, sf):
     """The remainder is a value."""
     df = table(spark, sf, "lineitem")
     hit = compile_filter("l_extendedprice*(1-l_discount)/l_quantity > 1500", df).site
-    unit = F.round(compile_value("l_extendedprice*(1-l_discount)/l_quantity", df), 3)
+    unit = compile_value("l_extendedprice*(1-l_discount)/l_quantity", df)
     return df.filter(hit).select("l_orderkey", "l_linenumber", unit.alias("unit"), compile_value("l_orderkey % 7", df).cast("long").alias("rest"))
 
 

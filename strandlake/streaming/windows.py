@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.session import scratch_path
 
@@ -56,4 +57,4 @@ def run_to_end(df: DataFrame, mode: str = "complete") -> DataFrame:
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out) if mode == "complete" else spark.read.schema(df.schema.add("batch", "int")).parquet(out).drop("batch")
+    return spark.read.schema(df.schema).parquet(out) if mode == "complete" else spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(out).drop("batch")
