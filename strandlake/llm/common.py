@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: What separates words: the six ASCII white-space characters and nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
-_SHIPPED = "strandlake.shipped"
+_SHIPPED, _FOLDER = "strandlake.shipped", "strandlake.folder"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -124,11 +124,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local session, as in tests, gets one of
+    its own; on a cluster, whose machines share no temporary folder, it is an error."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_FOLDER, None)
     if not d:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = f"{tempfile.gettempdir()}/checkpoints/strandlake-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", d)
+        spark.conf.set(_FOLDER, d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -179,6 +182,16 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def hashed(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """id, text, h1 and h2 (128 bits that tell texts apart), and more columns."""
+    t = F.col(text_col)
+    return df.select(F.col(id_col).alias("id"), t.alias("text"), F.xxhash64(F.lit(1), t).alias("h1"), F.xxhash64(F.lit(2), t).alias("h2"), *more)
+
+
 def two_longs(x: int) -> tuple[int, int]:
     """128 bits as two signed longs."""
     return tuple(v - (1 << 64) if v >> 63 else v for v in (x >> 64, x & (1 << 64) - 1))

@@ -14,12 +14,13 @@ from strandlake.llm.common import checkpointed
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # a table of its own: joined from an aggregate in the same stage, a hub's rows could not be split over tasks
+    least = checkpointed(e.sparkSession, both.groupBy("u").agg(F.min("v").alias("m"))).withColumn("m", F.least("u", "m"))
     return both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = checkpointed(e.sparkSession, e.groupBy("u").agg(F.min("v").alias("m")))
     rest = e.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
