@@ -6,12 +6,12 @@ stream of words, cut into blocks of equal length; a source's slot of rank r take
 The schedule is cut, or topped up by the few slots that low discrepancy leaves out, so that a source gives its target to a
 word.
 
-Everything is DataFrame work. Running sums over a source go through hash buckets (sums of buckets first, then inside
-buckets), and ranks of slots through chunks of the schedule, so no source, however large, meets in one task.
+Everything is DataFrame work. Running sums over a source go through hash buckets (sums inside buckets, of buckets in groups of
+2**FAN, and of groups), and ranks of slots through chunks of the schedule, so no source, however large, meets in one task.
 
 Defined results: a null text has size 0; the null source is a source of its own, after all others; a source without words
 has target 0; documents without words take nothing; an empty table gives none; repeated rows each take their own words.
-A null id is an id like any other.
+A null id is an id like any other; very long texts are laid over as many blocks as they fill; other columns play no part.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import free, n_words, remove, written
+from strandlake.llm.common import free, hashed, n_words, quoted, remove, written
 
 CHUNK = 1 << 14  # slots ranked together
+BUCKET, FAN = 512, 12  # documents of a bucket, on average; bits of buckets summed together
 GOLDEN = 0.6180339887498949
 
 
@@ -84,8 +85,18 @@ def taken_blocks(plan: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     return cut.groupBy("sid", "block").agg(F.count(F.when(F.col("words") == F.col("length"), 1)).alias("times"), F.coalesce(F.max(F.when(F.col("words") < F.col("length"), F.col("words"))), F.lit(0)).alias("part"))
 
 
+def running_base(sums: DataFrame) -> DataFrame:
+    """sid, bucket, base: what the buckets before hold, in two steps, so that the buckets of a source never meet in one task."""
+    s = sums.withColumn("group", F.shiftright("bucket", FAN))
+    upto = lambda *by: Window.partitionBy("sid", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    tops = s.groupBy("sid", "group").agg(F.sum("sum").alias("total"))
+    tops = tops.select("sid", "group", (F.sum("total").over(upto("group")) - F.col("total")).alias("above"))
+    inside = s.withColumn("inside", F.sum("sum").over(upto("group", "bucket")) - F.col("sum"))
+    return inside.join(tops, ["sid", "group"]).select("sid", "bucket", (F.col("above") + F.col("inside")).alias("base"))
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 256, share: float = 1.0, most: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target and taken per row of df."""
+    """doc_id, size, source_size, target, taken and source per row of df."""
     spark = df.sparkSession
     sized, _ = written(spark, sizes(df, id_col, text_col, source_col), "mix-sizes")
     sources, _ = written(spark, targets(sized, share, most), "mix-sources")
@@ -95,31 +106,39 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     remove(spark, plan_path)
     free(spark)
 
-    n_buckets = max(1, sized.count() // 2_000)
+    n_buckets = max(1, sized.count() // BUCKET)
     same = F.col("d.source").eqNullSafe(F.col("s.source"))
-    docs = sized.alias("d").join(sources.alias("s"), same).select("doc_id", "size", "key", "sid", "source_size", "target", F.pmod(F.shiftright("key", 8), F.lit(n_buckets)).alias("bucket"))
+    docs = sized.alias("d").join(sources.alias("s"), same).select("doc_id", "d.source", "size", "key", "sid", "source_size", "target", F.pmod(F.shiftright("key", 8), F.lit(n_buckets)).alias("bucket"))
     filled = docs.filter("size > 0")
     sums = filled.groupBy("sid", "bucket").agg(F.sum("size").alias("sum"))
-    base = sums.select("sid", "bucket", (F.sum("sum").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum")).alias("base"))
     inside = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    bases, _ = written(spark, base, "mix-buckets")
+    bases, _ = written(spark, running_base(sums), "mix-buckets")
     placed = filled.withColumn("inside", inside).join(bases, ["sid", "bucket"]).withColumn("at", F.col("base") + F.col("inside")).drop("key", "bucket", "base", "inside")
     pieces = placed.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     lo = F.greatest(F.col("at") - F.col("block") * block, F.lit(0))
     hi = F.least(F.col("at") + F.col("size") - F.col("block") * block, F.lit(block))
     met = pieces.join(blocks, ["sid", "block"], "left")
     words = F.coalesce("times", F.lit(0)) * (hi - lo) + F.greatest(F.lit(0), F.least(hi, F.coalesce("part", F.lit(0))) - lo)
-    taken = met.groupBy("sid", "at", "doc_id", "size", "source_size", "target").agg(F.sum(words).alias("taken"))
+    taken = met.groupBy("sid", "at", "doc_id", "source", "size", "source_size", "target").agg(F.sum(words).alias("taken"))
     empty = docs.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    cols = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
+    cols = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source"]
     return taken.select(*cols).unionByName(empty.select(*cols))
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 256) -> DataFrame:
     """The rows of df, with all their columns, each as often as the mix takes it: taken words over size, to the nearest whole
-    number (only the one document at which a source's target ends is ever taken in part). Rows without words are not taken."""
-    by = mix(df, id_col, text_col, source_col, block).filter("taken > 0").groupBy("doc_id", "size").agg(F.round(F.sum("taken") / (F.count("*") * F.col("size"))).cast("int").alias("_times"))
-    by = by.select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("_times").alias("times")).filter("times > 0")
-    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("row_id"), n_words(F.col(text_col)).alias("row_size"))
-    met = packed.join(by, F.col("mix_id").eqNullSafe(F.col("row_id")) & (F.col("row_size") == F.col("mix_size")))
-    return met.select("row", F.explode(F.expr("sequence(1, times)")).alias("copy")).select("row.*")
+    number (only the one document at which a source's target ends is ever taken in part). Rows without words are not taken. Rows of
+    equal id, source and size share what is taken of them, those first whose text, and then whose row, has the lesser hash."""
+    spark = df.sparkSession
+    by = mix(df, id_col, text_col, source_col, block).filter("size > 0").groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"), F.round(F.sum("taken") / F.col("size")).cast("long").alias("times"))
+    by = by.filter("times > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "rows", "times")
+    by, _ = written(spark, by, "mix-times")
+    packed = hashed(df.select(F.struct(*df.columns).alias("row")), "row." + quoted(id_col), "row." + quoted(text_col), "row", F.col("row." + quoted(source_col)).alias("source"))
+    packed = packed.select("row", "id", "source", "h1", "h2", n_words(F.col("text")).alias("size"))
+    met = packed.join(by, F.col("mix_id").eqNullSafe(F.col("id")) & F.col("mix_source").eqNullSafe(F.col("source")) & (F.col("size") == F.col("mix_size")))
+    if by.filter("rows > 1").isEmpty():
+        return met.select("row", F.explode(F.expr("sequence(1L, times)")).alias("copy")).select("row.*")
+    first = Window.partitionBy("id", "source", "size").orderBy("h1", "h2", F.xxhash64(F.col("row").cast("string")))
+    alone = met.filter("rows = 1").select("row", "times")
+    shared = met.filter("rows > 1").withColumn("place", F.row_number().over(first)).select("row", (F.expr("times div rows") + (F.col("place") <= F.col("times") % F.col("rows")).cast("long")).alias("times"))
+    return alone.unionByName(shared).filter("times > 0").select("row", F.explode(F.expr("sequence(1L, times)")).alias("copy")).select("row.*")
