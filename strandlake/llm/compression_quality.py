@@ -1,17 +1,17 @@
 """Compression classifier of quality (operator 2).
 
-Two zstandard dictionaries are built, from texts labelled good and from texts labelled bad. A whole text is compressed in
-pieces of `PIECE` bytes, each with both dictionaries (in small pieces a dictionary counts for more than what the text
-repeats of itself). What the sizes say becomes the evidence: the difference of the two sizes over their sum, for the text
-and for its pieces at either extreme, and the sizes against the bytes. A logistic curve over these and their products,
-fitted to labelled texts that went into neither dictionary, makes it a calibrated probability.
+Two zstandard dictionaries are built, from texts labelled good and from texts labelled bad. A whole text is compressed with
+both, in pieces of `PIECE` bytes (in small pieces a dictionary counts for more than what the text repeats of itself). The
+difference of the two sizes over their sum is all the evidence there is; a logistic curve over this one number, fitted to
+labelled texts that went into neither dictionary, makes it a calibrated probability.
 
 Bounded sample: at most `per_class` labelled rows of each label, those whose hashed ids are smallest, and of these only
-texts up to `longest` characters; dictionaries take every other one, the curve the rest. Scoring reads every whole text.
+texts up to `longest` characters; dictionaries take every other one, the curve the rest. Scoring reads every whole text,
+however long.
 
-Defined results: a null or empty text has no evidence (all zero) and so the curve's value there; rows without an id are scored and
+Defined results: a null or empty text has difference nought and the curve's value there; rows without an id are scored and
 not held out; labels other than 0 and 1 are not used; without texts of both labels the score is the share of label 1
-(one half without any). Repeated rows score alike.
+(one half without any). Repeated rows and texts score alike; an empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import map_arrow
 
 LEVEL = 3
-PIECE = 512
+PIECE = 64
 
 
 def held_out(id_col: str, folds: int = 5) -> F.Column:
@@ -55,23 +55,22 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 class Model:
-    """Two dictionaries, and the curve over the evidence: means and scales that standardise it, and weights."""
+    """Two dictionaries, and slope and offset of the curve; without a slope the offset is the score."""
 
-    def __init__(self, good: bytes, bad: bytes, mean=0.0, scale=1.0, weights=None):
-        self.good, self.bad, self.mean, self.scale, self.weights = good, bad, mean, scale, weights
+    def __init__(self, good: bytes, bad: bytes, slope: float | None = None, offset: float = 0.5):
+        self.good, self.bad, self.slope, self.offset = good, bad, slope, offset
         self._by = None
 
     def __getstate__(self):
-        return self.good, self.bad, self.mean, self.scale, self.weights
+        return self.good, self.bad, self.slope, self.offset
 
     def __setstate__(self, x):
         self.__init__(*x)
 
-    def evidence(self, text: str | None) -> list[float]:
-        """Normalised size difference (above 0: more like the good texts), its least and greatest value in a piece, size with
-        the good dictionary against bytes, the least such in a piece, and the log of the length."""
+    def difference(self, text: str | None) -> float:
+        """Normalised size difference of a whole text; above nought: more like the good texts."""
         if not text:
-            return [0.0] * 6
+            return 0.0
         if self._by is None:
             self._by = []
             for d in (self.good, self.bad):
@@ -81,61 +80,49 @@ class Model:
         raw = text.encode("utf-8")
         n = -(-len(raw) // PIECE)
         cuts = [len(raw) * i // n for i in range(n + 1)]
-        pieces = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-        good, bad = (np.array([len(c(x)) for x in pieces], float) for c in self._by)
-        size = np.diff(cuts)
-        d, r = (bad - good) / (bad + good), good / size
-        return [float((bad - good).sum() / (bad + good).sum()), float(d.min()), float(d.max()), float(good.sum() / len(raw)), float(r.min()), float(np.log(len(raw)))]
+        good, bad = (sum(len(c(raw[a:b])) for a, b in zip(cuts, cuts[1:])) for c in self._by)
+        return (bad - good) / (bad + good)
 
     def score(self, x) -> np.ndarray:
-        """Probability of label 1 for rows of evidence."""
-        x = np.asarray(x, float).reshape(-1, 6)
-        if self.weights is None:
-            return np.full(len(x), self.mean)
-        return 1 / (1 + np.exp(-np.clip(products((x - self.mean) / self.scale) @ self.weights, -30, 30)))
-
-
-def products(a: np.ndarray) -> np.ndarray:
-    """Columns, their products by twos, and one."""
-    i, j = np.triu_indices(a.shape[1])
-    a = np.clip(a, -3, 3)
-    return np.concatenate([a, a[:, i] * a[:, j], np.ones((len(a), 1))], 1)
-
-
-def curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton's method with a ridge: means, scales, weights."""
-    mean, scale = x.mean(0), x.std(0)
-    scale[scale == 0] = 1.0
-    a = products((x - mean) / scale)
-    keep = np.full(a.shape[1], ridge)
-    keep[-1] = 1e-6
-    w = np.zeros(a.shape[1])
-    for _ in range(60):
+        """Probability of label 1 for differences."""
+        x = np.asarray(x, float)
+        if self.slope is None:
+            return np.full(len(x), self.offset)
+        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -30, 30)))
+
+
+def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and offset of a logistic curve, by Newton's method on standardised values with a slight ridge on the slope. Labels
+    are drawn in a little (to one over the number of rows of each), so a clean cut has a finite slope too."""
+    mean, scale = x.mean(), x.std() or 1.0
+    pos, neg = y.sum(), len(y) - y.sum()
+    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    a, w = np.stack([(x - mean) / scale, np.ones(len(x))], 1), np.zeros(2)
+    keep = np.array([ridge, 0.0])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (y - p) - keep * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(keep), g)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(keep + 1e-9), a.T @ (t - p) - keep * w)
         w = w + step * min(1.0, 5.0 / (np.abs(step).max() or 1.0))
         if np.abs(step).max() < 1e-8:
             break
-    return mean, scale, w
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, longest: int = 40_000, dictionary_bytes: int = 64 * 1024) -> Model:
     sample = training_sample(docs, labels, id_col, text_col, label_col, per_class, longest)
     of = {k: [t.encode("utf-8") for t, y in sample if y == k] for k in (0, 1)}
     if not of[0] or not of[1]:
-        share = len(of[1]) / len(sample) if sample else 0.5
-        return Model(b"\0" * 8, b"\0" * 8, share)
+        return Model(b"\0" * 8, b"\0" * 8, None, len(of[1]) / len(sample) if sample else 0.5)
     built = {k: of[k][::2] for k in of}
     m = Model(dictionary(built[1], dictionary_bytes), dictionary(built[0], dictionary_bytes))
     rest = {k: of[k][1::2] or of[k] for k in of}
-    x = np.array([m.evidence(t.decode("utf-8")) for k in (0, 1) for t in rest[k]])
+    x = np.array([m.difference(t.decode("utf-8")) for k in (0, 1) for t in rest[k]])
     y = np.array([float(k) for k in (0, 1) for _ in rest[k]])
-    m.mean, m.scale, m.weights = curve(x, y)
+    m.slope, m.offset = curve(x, y)
     # the sample is balanced by design; the curve's offset goes back to the labels' own shares
     known = labels.filter(F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(label_col).cast("int").alias("k")).count().filter("k IN (0, 1)").collect()
     share = {r["k"]: r["count"] for r in known}
-    m.weights[-1] += np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    m.offset += np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return m
 
 
@@ -146,9 +133,9 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                x = np.array([model.evidence(t) for t in part.column(1).to_pylist()], float)
+                x = np.array([model.difference(t) for t in part.column(1).to_pylist()], float)
                 s = model.score(x)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x[:, 0]), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "difference", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "difference", "score", "predicted"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_arrow(df.select(id_col, text_col), run, f"id {kind}, difference double, score double, predicted int").withColumnRenamed("id", id_col)
@@ -162,7 +149,7 @@ def keep_good(df: DataFrame, model: Model, text_col: str = "text", threshold: fl
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                s = model.score([model.evidence(t) for t in part.column(at).to_pylist()])
+                s = model.score([model.difference(t) for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(np.asarray(s) >= threshold))
 
     return map_arrow(df, run, df.schema)
