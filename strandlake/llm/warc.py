@@ -6,14 +6,19 @@ Of records with equal payloads the one with the largest page id is the response;
 refer to it and carry no body.
 
 The index has two levels. Captures are sorted by reversed-host URL key (range partitioning, then sorting inside), and every
-`lines` of them are one compressed block; blocks lie one after another in index files written the same way. The directory
-holds the first and last key of each block with file, offset and length: one row per block. A look-up searches the
-directory for the blocks that may hold a key, reads only those ranges, searches inside, and reads only the ranges of the
-records it wants.
-
-Defined results: null html is an empty payload; a null page id is left out of the record and read back as null, and never
-is the largest; rows that share the largest id are all responses; if no id of a group is known, all are responses; null
-URLs have an empty key. Other columns play no part.
+`lines` of them are one compressed block; blocks lie one after another in index files written the same way. The sparse directory is a
+table beside them, with first and last key, file, offset and length of each block. A look-up searches the directory by bisection for
+the blocks that may hold a key, reads only those ranges, searches inside, and reads only the ranges of the records it wants.
+Many keys are looked up at once by tasks: sorted keys meet the slice of the directory between the least and the greatest of a
+batch, and every block that is hit is read once, wherever its keys were searched, so a key that a third of all captures share is
+read by many tasks.
+
+Tasks read archives and ranges through Arrow's file systems, as streams; no file is held whole.
+
+Defined results: null html is an empty payload; very long html is one record like any other; a null page id is left out of the
+record and read back as null, and never is the largest; rows that share the largest id are all responses; if no id of a group is
+known, all are responses; null URLs have an empty key; repeated rows give repeated records; an empty table gives an empty one.
+Other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,18 +28,21 @@ import bisect
 import hashlib
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import map_arrow, new_path
+from strandlake.llm.common import map_arrow, new_path, written
 
 # Fixed value: a gzip member that holds nothing.
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 DATE = "1970-01-01T00:00:00Z"  # captures carry no date of their own
-FEED = 1 << 14
+FEED, READ = 1 << 14, 1 << 20
+FILE_BYTES = 64 << 20  # payload of an archive file, about
 
 
 def member(data: bytes, level: int = 1) -> bytes:
@@ -43,20 +51,47 @@ def member(data: bytes, level: int = 1) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(data: bytes, at: int = 0) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each member that holds something."""
-    view = memoryview(data)
-    while at < len(data):
-        z, out, i = zlib.decompressobj(31), [], at
-        while not z.eof and i < len(data):
-            out.append(z.decompress(view[i : i + FEED]))
-            i += FEED
-        if not z.eof:
-            raise ValueError("a gzip member is cut off")
-        end = min(i, len(data)) - len(z.unused_data)
-        if body := b"".join(out):
-            yield at, end - at, body
-        at = end
+def members(read: Callable[[], bytes], at: int = 0) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each member that holds something. read: gives the next bytes of a stream, none at its end."""
+    view, i, z, out, used = memoryview(b""), 0, None, [], 0
+    while True:
+        if i == len(view):
+            view, i = memoryview(read()), 0
+            if not len(view):
+                break
+        if z is None:
+            z, out, used = zlib.decompressobj(31), [], 0
+        feed = view[i : i + FEED]
+        out.append(z.decompress(feed))
+        taken = len(feed) - len(z.unused_data)
+        i, used = i + taken, used + taken
+        if z.eof:
+            if body := b"".join(out):
+                yield at, used, body
+            at, z = at + used, None
+    if z is not None:
+        raise ValueError("a gzip member is cut off")
+
+
+def opened(path: str):
+    """A file for reading in a task, through Arrow's file systems."""
+    system, name = located(path)
+    return system.open_input_file(name)
+
+
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def block_at(path: str, offset: int, length: int) -> bytes:
+    """The content of the one member in a range of a file."""
+    with opened(path) as f:
+        f.seek(offset)
+        rest = iter([f.read(length), b""])
+    ((_, _, body),) = members(lambda: next(rest))
+    return body
 
 
 def surt(url: str | None) -> str:
@@ -112,11 +147,15 @@ def write_binary(df: DataFrame, column: str, path: str, rows_per_file: int) -> N
     df.select(F.col(column).cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", rows_per_file).option("compression", "none").text(path)
 
 
-def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, rows_per_file: int = 2000) -> None:
-    """Writes a record for every row. Only payloads that occur more than once are joined back, as digests."""
+def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, rows_per_file: int | None = None) -> None:
+    """Writes a record for every row. Only payloads that occur more than once are joined back, as digests. Files are cut by rows, so
+    many that the mean file has FILE_BYTES of payload."""
     html = F.coalesce(F.col(html_col).cast("binary"), F.lit(b"").cast("binary"))
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     many = rows.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("winner")).filter(f"n > 1 AND winner IS NOT NULL").select("sha", "winner")
+    if rows_per_file is None:
+        mean = rows.agg(F.avg(F.length("payload"))).first()[0] or 0
+        rows_per_file = int(max(16, min(20_000, FILE_BYTES // (mean + 256))))
     known = rows.join(many, "sha", "left").withColumn("revisit", (F.length("payload") >= least_bytes) & F.coalesce(F.col("winner") != F.coalesce("page_id", F.col("winner") - 1), F.lit(False)))
 
     def run(batches):
@@ -132,13 +171,17 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """Reads archives back: one row per record, with where it lies. Digests and lengths of responses are those of the
-    payload that was read, and a digest that its record does not declare is an error."""
+    payload that was read, and a digest that its record does not declare is an error. A revisit has what it declares."""
+
+    def batch(rows):
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], CAPTURE)
 
     def run(batches):
-        for b in batches:
-            for name, data in zip(b.column(0), b.column(1)):
-                rows, data = [], data.as_py()
-                for at, size, body in members(data):
+        for name in (x for b in batches for x in b.column(0).to_pylist()):
+            rows = []
+            with opened(name) as stream:
+                for at, size, body in members(lambda: stream.read(READ)):
                     r = parse(body)
                     f, kind = r["fields"], r["fields"]["warc-type"]
                     said = f["warc-payload-digest"].removeprefix("sha1:")
@@ -146,13 +189,14 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"digest differs at {at} of {name}")
                     n = len(r["payload"]) if kind == "response" else int(f["x-payload-length"])
                     number = lambda k: int(f[k]) if k in f else None
-                    rows.append((surt(f.get("warc-target-uri")), number("x-page-id"), n, said, kind, number("x-refers-to-page-id"), name.as_py(), at, size))
-                for k in range(0, len(rows), 4096):
-                    cols = list(zip(*rows[k : k + 4096]))
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], CAPTURE)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+                    rows.append((surt(f.get("warc-target-uri")), number("x-page-id"), n, said, kind, number("x-refers-to-page-id"), name, at, size))
+                    if len(rows) == 4096:
+                        yield batch(rows)
+                        rows = []
+            if rows:
+                yield batch(rows)
+
+    files = spark.read.format("binaryFile").load(path).select("path")
     return map_arrow(files, run, CAPTURE_SCHEMA)
 
 
@@ -161,7 +205,8 @@ CAPTURE_SCHEMA = "key string, page_id bigint, payload_bytes bigint, payload_dige
 
 
 def write_index(found: DataFrame, path: str, lines: int = 1000, blocks_per_file: int = 64) -> None:
-    """Sorts captures by key and writes them as blocks of `lines` JSON lines, one gzip member a block."""
+    """Sorts captures by key and writes them as blocks of `lines` JSON lines, one gzip member a block, and the directory of the
+    blocks as a table beside them."""
 
     def run(batches):
         held: list[bytes] = []
@@ -177,37 +222,82 @@ def write_index(found: DataFrame, path: str, lines: int = 1000, blocks_per_file:
     order = ["key", "page_id", "file", "offset"]
     sorted_rows = found.select(*CAPTURE).repartitionByRange(*order).sortWithinPartitions(*order)
     write_binary(map_arrow(sorted_rows, run, "block binary"), "block", path, blocks_per_file)
+    blocks = directory_of(found.sparkSession, path)
+    blocks.repartitionByRange("first", "last", "file", "offset").sortWithinPartitions("first", "last", "file", "offset").write.parquet(path + DIRECTORY)
+
 
+DIRECTORY = "-directory"  # what the name of the directory adds to that of the index
 
-def directory(spark: SparkSession, path: str) -> DataFrame:
-    """first, last, file, offset, length, captures: one row for each block of an index."""
+
+def directory_of(spark: SparkSession, path: str) -> DataFrame:
+    """first, last, file, offset, length, captures: one row for each block of the index files."""
 
     def run(batches):
-        for b in batches:
-            for name, data in zip(b.column(0), b.column(1)):
-                rows = []
-                for at, size, body in members(data.as_py()):
+        for name in (x for b in batches for x in b.column(0).to_pylist()):
+            rows = []
+            with opened(name) as stream:
+                for at, size, body in members(lambda: stream.read(READ)):
                     entries = body.split(b"\n")
-                    rows.append((json.loads(entries[0])[0], json.loads(entries[-1])[0], name.as_py(), at, size, len(entries)))
-                if rows:
-                    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["first", "last", "file", "offset", "length", "captures"])
+                    rows.append((json.loads(entries[0])[0], json.loads(entries[-1])[0], name, at, size, len(entries)))
+            if rows:
+                kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["first", "last", "file", "offset", "length", "captures"])
+
+    return map_arrow(spark.read.format("binaryFile").load(path).select("path"), run, "first string, last string, file string, offset bigint, length bigint, captures bigint")
 
-    return map_arrow(spark.read.format("binaryFile").load(path).select("path", "content"), run, "first string, last string, file string, offset bigint, length bigint, captures bigint")
 
+def blocks_of(keys: list[str], firsts: list[str], lasts: list[str]) -> Iterator[tuple[str, int]]:
+    """(key, place) of every block that may hold a key; blocks are in order of their keys."""
+    for key in keys:
+        i = bisect.bisect_left(lasts, key)
+        while i < len(firsts) and firsts[i] <= key:
+            yield key, i
+            i += 1
 
-def index_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All captures of an index, from its blocks."""
+
+def keys_of(df: DataFrame, url_col: str) -> DataFrame:
+    """The distinct keys of the URLs of a table."""
 
     def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({surt(u) for u in b.column(0).to_pylist()}), pa.string())], ["key"])
+
+    return map_arrow(df.select(url_col), run, "key string").distinct()
+
+
+def looked_up(keys: DataFrame, path: str) -> DataFrame:
+    """All captures of an index whose key is among keys (distinct), by the directory and range reads."""
+
+    def search(batches):
+        system, name = located(path + DIRECTORY)
+        table = ds.dataset(name, filesystem=system, format="parquet")
+        for b in batches:
+            own = sorted(b.column(0).to_pylist())
+            if not own:
+                continue
+            part = table.to_table(filter=(ds.field("last") >= own[0]) & (ds.field("first") <= own[-1])).sort_by([(c, "ascending") for c in ("last", "first", "file", "offset")])
+            cols = part.to_pydict()
+            hits = list(blocks_of(own, cols["first"], cols["last"]))
+            for k in range(0, len(hits), 1 << 16):
+                at = hits[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in at], pa.string()), *(pa.array([cols[c][i] for _, i in at], t) for c, t in (("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())))], ["key", "file", "offset", "length"])
+
+    def fetch(batches):
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         for b in batches:
-            for data in b.column(0):
-                for _, _, body in members(data.as_py()):
-                    cols = zip(*map(json.loads, body.split(b"\n")))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], CAPTURE)
+            for file, offset, length, want in zip(*(c.to_pylist() for c in b.columns)):
+                rows, out = [json.loads(x) for x in block_at(file, offset, length).split(b"\n")], []
+                for key in sorted(want):
+                    lo = bisect.bisect_left(rows, key, key=lambda r: r[0])
+                    while lo < len(rows) and rows[lo][0] == key:
+                        out.append(rows[lo])
+                        lo += 1
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], CAPTURE)
 
-    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), run, CAPTURE_SCHEMA)
+    hits = map_arrow(keys.repartitionByRange("key").sortWithinPartitions("key"), search, "key string, file string, offset bigint, length bigint")
+    blocks = hits.groupBy("file", "offset", "length").agg(F.collect_set("key").alias("keys"))  # at most as many as a block has captures
+    return map_arrow(blocks, fetch, CAPTURE_SCHEMA)
 
 
 def read_range(spark: SparkSession, file: str, offset: int, length: int) -> bytes:
@@ -222,20 +312,20 @@ def read_range(spark: SparkSession, file: str, offset: int, length: int) -> byte
 
 
 class Lookup:
-    """Look-ups of single URLs. The directory (a row for each block) is sorted once and searched by bisection."""
+    """Look-ups of single URLs by the driver: the rows of the directory that may hold the key, then range reads."""
 
     def __init__(self, spark: SparkSession, index_path: str):
         self.spark = spark
-        self.blocks = directory(spark, index_path).orderBy("last", "first", "file", "offset").collect()
-        self.lasts = [b["last"] for b in self.blocks]
+        self.directory = spark.read.parquet(index_path + DIRECTORY)
+
+    def member_at(self, file: str, offset: int, length: int) -> bytes:
+        rest = iter([read_range(self.spark, file, offset, length), b""])
+        return next(members(lambda: next(rest)))[2]
 
     def captures(self, url: str) -> list[dict]:
         key, out = surt(url), []
-        for b in self.blocks[bisect.bisect_left(self.lasts, key) :]:
-            if b["first"] > key:
-                break
-            ((_, _, body),) = members(read_range(self.spark, b["file"], b["offset"], b["length"]))
-            rows = [json.loads(x) for x in body.split(b"\n")]
+        for b in self.directory.filter((F.col("last") >= key) & (F.col("first") <= key)).orderBy("last", "first", "file", "offset").toLocalIterator():
+            rows = [json.loads(x) for x in self.member_at(b["file"], b["offset"], b["length"]).split(b"\n")]
             lo = bisect.bisect_left(rows, key, key=lambda r: r[0])
             while lo < len(rows) and rows[lo][0] == key:
                 out.append(dict(zip(CAPTURE, rows[lo])))
@@ -244,13 +334,23 @@ class Lookup:
 
     def payloads(self, url: str) -> list[bytes]:
         """Payloads of the captures that are responses, by range reads of their records."""
-        return [parse(next(members(read_range(self.spark, c["file"], c["offset"], c["length"])))[2])["payload"] for c in self.captures(url) if c["record_type"] == "response"]
+        return [parse(self.member_at(c["file"], c["offset"], c["length"]))["payload"] for c in self.captures(url) if c["record_type"] == "response"]
 
 
 def archived(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Writes archives, reads them back into an index, and returns what the index's blocks hold of each record."""
+    """Writes archives, reads them back into an index, looks the URL of every row up in it, and returns what was found. Length and
+    digest of a revisit are those that were read of the response it refers to; a revisit without one is an error."""
     spark = df.sparkSession
     archives, index = new_path(spark, "warc"), new_path(spark, "warc-index")
     write_archives(df, archives, id_col, url_col, html_col, least_bytes)
+    # a null URL and the URL of a record without one have the same key, so do lines that were broken for the header
     write_index(captures(spark, archives), index)
-    return index_rows(spark, index)
+    urls = df.select(F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A").alias("url"))
+    found, _ = written(spark, looked_up(keys_of(urls, "url"), index), "warc-found")
+    responses = found.filter("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest")).agg(F.max("payload_bytes").alias("r_bytes"))
+    responses, _ = written(spark, responses, "warc-responses")
+    met = found.filter("record_type = 'revisit'").join(responses, (F.col("refers_to") == F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest")), "left")
+    lost = F.raise_error(F.concat(F.lit("no response for revisit "), F.coalesce(F.col("page_id").cast("string"), F.lit("-")))).cast("long")
+    same = F.col("r_bytes") == F.col("payload_bytes")
+    revisits = met.withColumn("payload_bytes", F.when(same, F.col("r_bytes")).otherwise(lost)).select(*CAPTURE)
+    return found.filter("record_type = 'response'").select(*CAPTURE).unionByName(revisits)
