@@ -139,26 +139,27 @@ def identifiers(text: str | None) -> tuple[int, list[tuple[int, str]]]:
 
 
 def matches(found: list[tuple[int, str]], gap: int = 2) -> list[tuple[str, int, int]]:
-    """(licence, first sentence, last sentence) in order of the text."""
+    """(licence, first sentence, last sentence) in order of the text. Each rule goes over the sentences once, and looks no further
+    ahead than the gap, so a long list of the same sentence costs no more than its length."""
     free, out = list(found), []
     for name, rule in RULES:
-        again = True
-        while again:
-            again = False
-            for i, (_, k) in enumerate(free):
-                if k != rule[0]:
-                    continue
-                chain = [i]
-                for want in rule[1:]:
-                    nxt = next((j for j in range(chain[-1] + 1, len(free)) if free[j][1] == want), None)
-                    if nxt is None or free[nxt][0] - free[chain[-1]][0] - 1 > gap:
-                        break
-                    chain.append(nxt)
-                if len(chain) == len(rule):
-                    out.append((name, free[chain[0]][0], free[chain[-1]][0]))
-                    free = [x for j, x in enumerate(free) if j not in chain]
-                    again = True
+        used: set[int] = set()
+        for i, (_, k) in enumerate(free):
+            if k != rule[0] or i in used:
+                continue
+            chain = [i]
+            for want in rule[1:]:
+                last, j = free[chain[-1]][0], chain[-1] + 1
+                while j < len(free) and free[j][0] - last - 1 <= gap and (free[j][1] != want or j in used):
+                    j += 1
+                if j == len(free) or free[j][0] - last - 1 > gap:
                     break
+                chain.append(j)
+            if len(chain) == len(rule):
+                out.append((name, free[chain[0]][0], free[chain[-1]][0]))
+                used.update(chain)
+        if used:
+            free = [x for i, x in enumerate(free) if i not in used]
     return sorted(out, key=lambda m: (m[1], m[2], m[0]))
 
 
