@@ -8,9 +8,10 @@ compositions are constant after two doublings, so the scan ends early. Each docu
 however many documents are scanned at once.
 
 The slices between boundaries go through pair merging (a heap over a linked list, so a long slice costs n log n), cached
-by slice with a bounded cache. Offsets of every token are kept, and decoding looks ids up and joins their bytes.
+by slice with a bounded cache. Offsets of every token are kept, and decoding copies the bytes of every id to its offset.
 
-Nulls and empty texts have no tokens; repeated rows give equal results; other columns play no part.
+Nulls and empty texts have no tokens; very long texts, and slices without a boundary in them, are encoded whole; repeated rows give
+equal results; an empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ START, GAP, BLANK, LETTER, NUMBER, OTHER, C2, C1, DONE = range(9)
 SPACE, SPACE_LAST, WHITE, WHITE_LAST, ALPHA, DIGIT, ELSE, SHORT, LONG = range(9)
 N_SYMBOLS = 9
 CHUNK = 1 << 20  # characters scanned at once
+DECODE = 1 << 16  # ids decoded at once
 
 
 def _step(symbol: int, state: int) -> int:
@@ -162,6 +164,8 @@ class Ranks:
         self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, t in self.bytes_of.items():
             self.lengths[i] = len(t)
+        self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.lengths))), np.uint8)
+        self.begin = np.cumsum(self.lengths) - self.lengths
         self.cache = Recent(self._entry)
         self.pairs = Recent(self.stays)
         self.prefixes = Recent(self.shorter)
@@ -247,9 +251,22 @@ class Ranks:
             i = end[i]
         return out
 
-    def decode(self, ids) -> bytes:
-        """Bytes of ids; an id outside the vocabulary raises KeyError."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """Where the bytes of each id begin, and the end."""
+        out = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.lengths[ids], out=out[1:])
+        return out
+
+    def decode(self, ids, offsets: np.ndarray | None = None) -> bytes:
+        """Bytes of ids, each at its offset; an id outside the vocabulary raises KeyError."""
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise KeyError("an id is not in the vocabulary")
+        offsets, out = self.offsets(ids) if offsets is None else offsets, []
+        for k in range(0, len(ids), DECODE):
+            part, at = ids[k : k + DECODE], offsets[k : k + DECODE + 1]
+            out.append(self.flat[np.repeat(self.begin[part] - at[:-1], np.diff(at)) + np.arange(at[0], at[-1])].tobytes())
+        return b"".join(out)
 
 
 @cache
@@ -294,9 +311,7 @@ def encode_texts(texts: list[str | None], vocabulary: str) -> Iterator[tuple[np.
     r = ranks_at(vocabulary)
     for slices in pre_tokens(texts):
         ids = np.array(list(chain.from_iterable([e[0] for e in map(r.cache.__getitem__, slices)])), np.int32)
-        offsets = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(r.lengths[ids], out=offsets[1:])
-        yield ids, offsets
+        yield ids, r.offsets(ids)
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,15 +335,15 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     def run(batches):
         r = ranks_at(resolve(vocabulary))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.decode(x or ()) for x in b.column(1).to_pylist()], pa.binary())], ["id", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], ["id", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_arrow(df.select(id_col, ids_col), run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
 
 def round_trip_digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes, then decodes each text where it is, and returns id_col, n_tokens, ids_sha256 and decoded_sha256: the ids
-    themselves never leave the worker, so nothing but digests is moved."""
+    """Encodes, then decodes each text where it is, and returns id_col, n_tokens, ids_sha256 and decoded_sha256: ids and offsets
+    never leave the worker, so nothing but digests is moved."""
 
     def run(batches):
         r = ranks_at(resolve(vocabulary))
@@ -338,10 +353,11 @@ def round_trip_digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             for k in range(0, b.num_rows, 512):
                 for slices in pre_tokens(b.column(1).slice(k, 512).to_pylist()):
                     found = list(map(entry, slices))
-                    ids = list(chain.from_iterable([e[0] for e in found]))
+                    ids = np.array(list(chain.from_iterable([e[0] for e in found])), np.int64)
+                    offsets = r.offsets(ids)
                     n.append(len(ids))
                     by_ids.append(hashlib.sha256(",".join([e[1] for e in found]).encode()).hexdigest())
-                    by_bytes.append(hashlib.sha256(r.decode(ids)).hexdigest())
+                    by_bytes.append(hashlib.sha256(r.decode(ids, offsets)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_bytes, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -1,20 +1,21 @@
 """Token counts by a finite-state tokenizer (operator 10).
 
-The piece vocabulary is compiled into a deterministic transducer over characters. Its state is what decides the future of a
-greedy pair-merging tokenizer: for each position from which a piece may still be growing, the node of the piece trie that
-the characters since then lead to, the piece that the tokenisation up to there ends with, and its token count. Reading a
-character moves every node; just one of the pieces that end there is compatible with the piece before it (two pieces are
-compatible if the merging of their joined text gives just these two), and the transition emits the difference of the token
-counts. The state is held as these parts and not as one number: written out, the product had over half a million states
-after 20 MB of text and still grew, while trie and compatible pairs settle.
-
-No piece spans two characters that never stand side by side inside a piece, so such places reset the machine. What a
-segment between resets emits is kept in a bounded cache. A chunk of text acts on states as (what precedes its first reset,
-tokens between, what follows its last reset), which composes associatively; texts longer than a chunk are cut and their
-chunk maps are joined by a tree of compositions.
-
-Characters that no piece holds count one token for each UTF-8 byte. Texts that are null or empty have no tokens.
-Repeated rows give equal results; other columns play no part.
+The piece vocabulary is compiled into a deterministic transducer over characters. What a state stands for is all that
+decides the future of a greedy pair-merging tokenizer: for each position from which a piece may still be growing, the node of the
+piece trie that the characters since then lead to, the piece that the tokenisation up to there ends with, and its token count
+against that of the text so far; and the last piece. Reading a character moves every node; just one of the pieces that end
+there is compatible with the piece before it (two pieces are compatible if the merging of their joined text gives just these two).
+A transition is annotated with the tokens it emits, the difference of the two counts. States are numbered and transitions kept in
+their tables as texts ask for them, as in a lazily built automaton: written out beforehand, the machine has over half a
+million states for 20 MB of text. At `MOST_STATES` the tables are begun anew.
+
+No piece spans two characters that never stand side by side inside a piece, so such places lead back to the start state. What a
+segment between them emits is kept in a bounded cache. Every text is cut into chunks. A chunk acts on states as (what precedes its
+first reset, tokens between, what follows its last reset); these chunk maps compose associatively, and a tree of compositions
+gives the count of a text.
+
+Characters that no piece holds count one token for each UTF-8 byte. Texts that are null or empty have no tokens; very long
+texts are more chunks. Repeated rows give equal results; an empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from strandlake.llm.common import Recent, map_arrow
 
 MARK = "▁"
 CHUNK = 1 << 20  # characters
+MOST_STATES = 100_000  # that are kept at a time
 
 
 class Transducer:
@@ -45,6 +47,7 @@ class Transducer:
             node[""] = p
         self.pairs = Recent(self.compatible)
         self.segments = Recent(self.walk)
+        self.begin_tables()
         pairs = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
         chars = sorted({c for p in pairs for c in p})
         self.number = np.zeros(0x110000, np.int16)  # class of a character; 0: it never merges
@@ -75,23 +78,45 @@ class Transducer:
                 pairs[i - 1] = get(parts[i - 1] + parts[i], none)
         return parts
 
+    def number_of(self, growing: tuple, last: str | None) -> int:
+        """The number of a state, which is given one if it is new. growing: (node, piece before, tokens against those so far)."""
+        key = (tuple((id(n), p, k) for n, p, k in growing), last)
+        q = self.numbers.get(key)
+        if q is None:
+            q = self.numbers[key] = len(self.moves)
+            self.meaning.append((growing, last))
+            self.moves.append({})
+        return q
+
+    def begin_tables(self) -> None:
+        self.numbers, self.meaning, self.moves = {}, [], []
+        self.number_of((), None)  # the start state is 0
+
+    def compile(self, state: int, c: str) -> tuple[int, int]:
+        """The transition of a state by a character: (next state, tokens emitted); kept in the state's table."""
+        growing, before = self.meaning[state]
+        still, last, emitted = [], None, 0
+        for node, piece, k in (*growing, (self.trie, before, 0)):
+            if (node := node.get(c)) is not None:
+                if last is None and (ends := node.get("")) is not None and (piece is None or self.pairs[piece, ends]):
+                    last, emitted = ends, k + 1
+                still.append((node, piece, k))
+        if last is None:  # a character that is no piece: it is spelt in bytes
+            last, emitted = c, int(self.alone[ord(c)])
+        move = self.moves[state][c] = self.number_of(tuple((n, p, k - emitted) for n, p, k in still), last), emitted
+        return move
+
     def walk(self, segment: str) -> int:
         """Tokens that the machine emits for a segment, from the start state."""
         if len(segment) == 1:
             return int(self.alone[ord(segment)])
-        trie, pairs = self.trie, self.pairs
-        growing, last, total = [], None, 0
+        if len(self.moves) > MOST_STATES:
+            self.begin_tables()
+        state, total = 0, 0
         for c in segment:
-            growing.append((trie, last, total))
-            still, last = [], None
-            for node, before, count in growing:
-                if (node := node.get(c)) is not None:
-                    if last is None and (piece := node.get("")) is not None and (before is None or pairs[before, piece]):
-                        last, total = piece, count + 1
-                    still.append((node, before, count))
-            if last is None:  # a character that is no piece: it is spelt in bytes, and nothing grows across it
-                last, total = c, growing[-1][2] + int(self.alone[ord(c)])
-            growing = still
+            move = self.moves[state].get(c)
+            state, emitted = move if move is not None else self.compile(state, c)
+            total += emitted
         return total
 
     def segment_counts(self, text: str, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,15 +138,6 @@ class Transducer:
         """Tokens of one segment."""
         return self.segments[segment] if segment else 0
 
-    def chunk_map(self, text: str) -> tuple[bool, str, int, str]:
-        """How a chunk acts: (has a reset, text before the first reset, tokens between, text after the last)."""
-        if not text:
-            return False, "", 0, ""
-        begin, count = self.segment_counts(text, np.zeros(1, int))
-        if len(begin) == 1:
-            return False, text, 0, ""
-        return True, text[: begin[1]], int(count[1:-1].sum()), text[begin[-1] :]
-
     def joined(self, a: str, b: str) -> bool:
         """Whether a piece may span the end of a and the beginning of b."""
         return bool(self.joins[self.number[ord(a[-1])], self.number[ord(b[0])]])
@@ -145,32 +161,46 @@ class Transducer:
             return True, middle, y[2], y[3]
         return False, middle, 0, ""
 
-    def tokens_of_long(self, text: str) -> int:
-        """Tokens of a whole text, by chunks."""
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        while len(maps) > 1:  # a tree of compositions
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        cut, head, n, tail = maps[0]
-        return self.count(head) + n + (self.count(tail) if cut else 0)
+    def maps(self, chunks: list[str]) -> list[tuple[bool, str, int, str]]:
+        """How each chunk acts: (has a reset, text before the first reset, tokens between, text after the last). The chunks are laid
+        end to end and scanned together."""
+        text, lengths = "".join(chunks), np.array([len(x) for x in chunks])
+        firsts = np.cumsum(lengths) - lengths
+        if not text:
+            return [(False, "", 0, "")] * len(chunks)
+        begin, count = self.segment_counts(text, firsts[lengths > 0])
+        total, cuts = np.concatenate([[0], np.cumsum(count)]), np.append(begin, len(text)).tolist()
+        out = []
+        for lo, hi in zip(np.searchsorted(begin, firsts).tolist(), np.searchsorted(begin, firsts + lengths).tolist()):
+            if hi - lo < 2:
+                out.append((False, text[cuts[lo] : cuts[hi]], 0, ""))
+            else:
+                out.append((True, text[cuts[lo] : cuts[lo + 1]], int(total[hi - 1] - total[lo + 1]), text[cuts[hi - 1] : cuts[hi]]))
+        return out
 
     def tokens(self, texts: list[str]) -> list[int]:
-        """Tokens of texts that have been marked already; they are laid end to end up to a chunk at a time."""
-        out, i = [], 0
-        while i < len(texts):
-            if len(texts[i]) > CHUNK:
-                out.append(self.tokens_of_long(texts[i]))
-                i += 1
-                continue
-            group, size = [], 0
-            while i < len(texts) and size + len(texts[i]) <= CHUNK:
-                group.append(texts[i])
-                size += len(texts[i])
-                i += 1
-            lengths = np.array([len(x) for x in group])
-            firsts = np.cumsum(lengths) - lengths
-            begin, count = self.segment_counts("".join(group), firsts[lengths > 0]) if size else (np.empty(0, int), np.empty(0, int))
-            total = np.concatenate([[0], np.cumsum(count)])
-            out += (total[np.searchsorted(begin, firsts + lengths)] - total[np.searchsorted(begin, firsts)]).tolist()
+        """Tokens of texts that have been marked already."""
+        chunks, owner = [], []
+        for i, x in enumerate(texts):
+            for k in range(0, len(x), CHUNK):
+                chunks.append(x[k : k + CHUNK])
+                owner.append(i)
+        by_text: list[list] = [[] for _ in texts]
+        at = 0
+        while at < len(chunks):
+            end, size = at, 0
+            while end < len(chunks) and (end == at or size + len(chunks[end]) <= CHUNK):
+                size += len(chunks[end])
+                end += 1
+            for i, m in zip(owner[at:end], self.maps(chunks[at:end])):
+                by_text[i].append(m)
+            at = end
+        out = []
+        for maps in by_text:
+            while len(maps) > 1:  # a tree of compositions
+                maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            cut, head, n, tail = maps[0] if maps else (False, "", 0, "")
+            out.append(self.count(head) + n + (self.count(tail) if cut else 0))
         return out
 
 
