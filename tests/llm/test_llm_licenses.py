@@ -1,5 +1,8 @@
 """Licence rules on texts written here, and against a plain search on the documents."""
 
+import random
+import time
+
 from pyspark.sql import Row
 
 from strandlake.llm import licenses
@@ -30,6 +33,46 @@ def test_rules():
     assert names("All rights reserved. " * 3) == ["All-Rights-Reserved"] * 3
 
 
+def brute_matches(found, gap):
+    """Rules one after another; each takes the first place where it fits, and begins anew, until it fits nowhere."""
+    free, out = list(found), []
+    for name, rule in licenses.RULES:
+        while True:
+            for i in range(len(free)):
+                chain = [i] if free[i][1] == rule[0] else []
+                for want in rule[1:]:
+                    later = [j for j in range(chain[-1] + 1, len(free)) if free[j][1] == want] if chain else []
+                    chain = [*chain, later[0]] if later and free[later[0]][0] - free[chain[-1]][0] - 1 <= gap else []
+                if chain:
+                    out.append((name, free[chain[0]][0], free[chain[-1]][0]))
+                    free = [x for j, x in enumerate(free) if j not in chain]
+                    break
+            else:
+                break
+    return sorted(out, key=lambda m: (m[1], m[2], m[0]))
+
+
+def test_matches_are_those_of_a_plain_search():
+    rng = random.Random(7)
+    names_ = ["mit-grant", "mit-notice", "as-is", "bsd-intro", "bsd-source", "bsd-binary", "bsd-names", "free", "gpl-terms-3", "reserved", "name:MIT", "name:Apache-2.0", "apache-may", "apache-copy"]
+    for _ in range(400):
+        few = rng.sample(names_, rng.randint(2, 8))
+        at, found = 0, []
+        for _ in range(rng.randint(0, 25)):
+            at += rng.choice([1, 1, 1, 2, 3, 4])
+            found.append((at, rng.choice(few)))
+        gap = rng.choice([0, 1, 2, 5])
+        assert licenses.matches(found, gap) == brute_matches(found, gap)
+
+
+def test_many_equal_sentences_take_time_in_proportion():
+    begun = time.perf_counter()
+    for k in ("reserved", "mit-grant"):
+        n, found = licenses.identifiers(sentence(k) * 1 + "\n" + (sentence(k) + "\n") * 40_000)
+        assert n == len(found) == 40_001 and len(licenses.matches(found)) == (40_001 if k == "reserved" else 0)
+    assert time.perf_counter() - begun < 60
+
+
 def test_scan(spark):
     texts = [None, "", "x", "All rights reserved.", "All rights reserved.", "w " * 100_000 + ". Released under the MIT License."]
     df = spark.createDataFrame([Row(doc_id=i, text=t, matches="clash", id="clash") for i, t in enumerate(texts)] + [Row(doc_id=None, text="all rights reserved", matches="", id="")])

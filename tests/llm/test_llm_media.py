@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -52,6 +53,60 @@ def test_text_media(spark):
     assert tiff.text_media_features(df.limit(0)).count() == 0
 
 
+def plain_feature(rows):
+    """feature_of by plain loops over a page of WIDTH samples a row."""
+    flat = [x for r in rows for x in r]
+    n = len(flat)
+    mean = sum(flat) * 1000 // n
+    spread = sum(x * x for x in flat) * 1000 // n - mean * mean // 1000
+    changes = sum(a != b for r in rows for a, b in zip(r, r[1:]))
+    cuts = [k * n // 64 for k in range(65)]
+    bits = "".join("01"[sum(flat[a:b]) * 1000 > mean * (b - a)] for a, b in zip(cuts, cuts[1:]))
+    return f"{len(rows[0])}x{len(rows)}x1 mean {mean} spread {spread} changes {changes} hash {int(bits, 2):016x}"
+
+
+def plain_tiff_samples(data):
+    """Samples of a one-page little-endian deflate TIFF with horizontal differences, by the format's text alone."""
+    word = lambda at, n: int.from_bytes(data[at : at + n], "little")
+    assert data[:4] == b"II*\0"
+    at, fields = word(4, 4), {}
+    for i in range(word(at, 2)):
+        e = at + 2 + 12 * i
+        size, count = {3: 2, 4: 4}.get(word(e + 2, 2), 1), word(e + 4, 4)
+        base = e + 8 if size * count <= 4 else word(e + 8, 4)
+        fields[word(e, 2)] = [word(base + size * k, size) for k in range(count)]
+    width, out = fields[256][0], []
+    assert fields[259] == [8] and fields[317] == [2]
+    for offset, count in zip(fields[273], fields[279]):
+        raw = zlib.decompress(data[offset : offset + count])
+        for r in range(0, len(raw), width):
+            total, row = 0, []
+            for x in raw[r : r + width]:
+                total = (total + x) % 256
+                row.append(total)
+            out.append(row)
+    return out
+
+
+def test_stored_form_and_feature_of_texts(spark):
+    texts = {1: None, 2: "a", 3: "line\n" * 50, 4: "é中" * 700, 5: "word and more " * 20_000}
+    df = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in texts.items()])
+    stored = {r.doc_id: bytes(r.media) for r in tiff.store_as_tiff(df).collect()}
+    for r in tiff.text_media_features(df).collect():
+        media = stored[r.doc_id]
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        rows = plain_tiff_samples(media)
+        assert bytes(x for row in rows for x in row) == tiff.padded(texts[r.doc_id])[1]
+        assert r.feature == plain_feature(rows)
+
+
+def test_known_lzw_bytes():
+    """Codes 256 7 258 8 8 2 257 in 9 bits each: the example of the format's description for 7 7 7 8 8 2, by hand."""
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 2, 257))
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.lzw_decode(data) == bytes([7, 7, 7, 8, 8, 2]) and tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 2])) == data
+
+
 def test_damaged_media_gives_an_error_row(spark):
     good = tiff.tiff_of([np.zeros((2, 2), np.uint8)] * 2)
     df = spark.createDataFrame([Row(k=1, media=good), Row(k=2, media=b"II*\0junk"), Row(k=3, media=None), Row(k=4, media=good[:-30])])
@@ -105,11 +160,42 @@ def test_top_k(spark):
         s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in good if i != q and len(w) == len(v))
         want += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:5])]
     assert got == sorted(want)
-    few = sorted(tuple(r) for r in top_k.top_k(df, lambda i: i % 50 == 0, k=5, round_bytes=600).collect())
-    assert few == got  # queries in several rounds
+    few = sorted(tuple(r) for r in top_k.top_k(df, lambda i: i % 50 == 0, k=5, tile_bytes=600).collect())
+    assert few == got  # many tiles and shards
     assert top_k.top_k(df.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_scores_are_those_of_plain_sizes(spark):
+    """Difference, score and prediction of every row from compressed sizes taken here, and the curve as the best of its kind."""
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(1, 150)))
+    bad = lambda: "".join(rng.choice("xyz#$%") for _ in range(rng.randint(1, 600)))
+    rows = [(i, good() if i % 4 else bad(), int(i % 4 > 0)) for i in range(200)] + [(900, "", None), (901, None, None), (902, "alpha beta " * 50_000, None)]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t) for i, t, _ in rows])
+    labels = spark.createDataFrame([Row(doc_id=i, quality=y) for i, _, y in rows if y is not None])
+    m = compression_quality.fit(docs, labels)
+    coders = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (m.good, m.bad)]
+
+    def plain(text):
+        raw = (text or "").encode()
+        n = -(-len(raw) // compression_quality.PIECE)
+        parts = [raw[len(raw) * k // n : len(raw) * (k + 1) // n] for k in range(n)]
+        g, b = (sum(len(c.compress(p)) for p in parts) for c in coders)
+        return (b - g) / (b + g) if raw else 0.0
+
+    got = {r.doc_id: r for r in compression_quality.score_texts(docs, m, threshold=0.3).collect()}
+    for i, t, _ in rows:
+        assert got[i].difference == pytest.approx(plain(t), abs=1e-12)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(m.slope * plain(t) + m.offset))), abs=1e-9)
+        assert got[i].predicted == (got[i].score >= 0.3)
+    assert m.slope > 0 and got[900].score == got[901].score
+    x, y = np.array([plain(t) for _, t, q in rows if q is not None]), np.array([q for *_, q in rows if q is not None], float)
+    slope, offset = compression_quality.curve(x, y)
+    aim = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    loss = lambda a, b: -(aim * np.log(p := 1 / (1 + np.exp(-(a * x + b)))) + (1 - aim) * np.log(1 - p)).sum()
+    assert all(loss(slope, offset) <= loss(slope * u, offset + v) + 1e-3 for u in (0.9, 1, 1.1) for v in (-0.2, 0, 0.2))
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(4)
     words = ["alpha", "beta", "gamma", "delta", "house", "river", "light", "stone"]

@@ -1,13 +1,18 @@
 """Mixing, near duplicates and substring dedup against brute force, and the pipeline's stages."""
 
+import base64
 import hashlib
 import random
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from strandlake.llm import components, jaccard_join, mixing, substring_dedup
+from strandlake.llm.queries import BPE_RANKS
 
 RNG = random.Random(5)
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -87,6 +92,35 @@ def test_components_are_those_of_all_pairs(spark, docs, n, percent, family, monk
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute_components(docs, n, percent)
 
 
+@pytest.mark.parametrize("n,percent", [(5, 80), (3, 90)])
+def test_one_row_of_each_component_stays(spark, docs, n, percent):
+    df = frame(spark, docs)
+    out = jaccard_join.one_of_each_group(df, n, percent)
+    assert out.columns == df.columns
+    sets = gram_sets(docs, n)
+    up = list(range(len(docs)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                up[find(a)] = find(b)
+    groups = defaultdict(list)
+    for k in range(len(docs)):
+        groups[find(k)].append(k)
+    want = Counter(min(((docs[k][0] is None, docs[k][0] or 0) for k in members)) for members in groups.values())
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == want
+    # a second time nothing more goes
+    again = spark.createDataFrame(out.collect(), df.schema)
+    assert jaccard_join.one_of_each_group(again, n, percent).count() == sum(want.values())
+    assert jaccard_join.one_of_each_group(df.limit(0), n, percent).count() == 0
+
+
 def test_keys_meet_whenever_sets_are_linked():
     import numpy as np
 
@@ -198,12 +232,88 @@ def test_mix_is_the_same_again_and_takes_odd_sources(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_rows_come_as_often_as_they_are_taken(spark):
+    rows = [(1, "a b c d", "p"), (1, "e f g h", "q"), *((k, "w " * 40, "q") for k in range(2, 30)), (50, "x y z", None), (50, "x y z", None), (None, "u v", "q"), (None, "v u", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.lit("clash"))
+    taken = defaultdict(int)
+    for r in mixing.mix(df, block=4).collect():
+        taken[r.doc_id, r.source, r["size"]] += r.taken
+    got = defaultdict(int)
+    for r in mixing.mixed_rows(df, block=4).collect():
+        got[r.doc_id, r.source, len(r.text.split())] += 1
+    assert {k: n for k, n in got.items()} == {k: int(t / k[2] + 0.5) for k, t in taken.items() if t / k[2] >= 0.5}
+    assert got[1, "p", 4] == 3  # a small source stops at three times its words
+    assert mixing.mixed_rows(df.limit(0)).count() == 0
+
+
+def test_low_discrepancy_of_the_schedule(spark):
+    """Any stretch of slots holds each source in proportion, to a few slots."""
+    sources = spark.createDataFrame([(0, 500.0), (1, 300.0), (2, 200.0)], "sid int, target double")
+    plan = sorted((r.slot, r.sid, r["rank"]) for r in mixing.schedule(spark, sources, 1000.0, 1).collect())
+    assert [p[0] for p in plan] == list(range(1000))
+    seen = Counter()
+    for _, sid, rank in plan:
+        assert rank == seen[sid]
+        seen[sid] += 1
+    for lo in range(0, 900, 50):
+        for n in (50, 100):
+            part = Counter(p[1] for p in plan[lo : lo + n])
+            assert all(abs(part[s] - n * w) <= 4 for s, w in ((0, 0.5), (1, 0.3), (2, 0.2)))
+
+
+def test_taken_words_of_every_document(spark):
+    """taken by document against streams laid out in Python: each source's documents in the order of their keys, its goal going
+    round its blocks from the first."""
+    rows = [(i, " ".join(["w"] * (i * 7 % 23)), "abc"[i % 3] if i % 5 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixing.sizes(df, "doc_id", "text", "source").collect()
+    sizes = defaultdict(int)
+    for r in sized:
+        sizes[r.source] += r["size"]
+    goals = {s: round(t) for s, t in brute_targets(sizes).items()}
+    n_buckets = max(1, len(rows) // mixing.BUCKET)
+    want = {}
+    for s in sizes:
+        own = sorted((r for r in sized if r.source == s and r["size"]), key=lambda r: (((r.key >> 8) % n_buckets), r.key, r.doc_id, r["size"]))
+        at = 0
+        for r in own:
+            whole, rest = divmod(goals[s], sizes[s])
+            want[r.doc_id] = whole * r["size"] + max(0, min(at + r["size"], rest) - at)
+            at += r["size"]
+    got = {r.doc_id: r.taken for r in mixing.mix(df, block=1).collect() if r["size"]}
+    assert got == want
+
+
 def test_empty_tables(spark, docs):
     none = frame(spark, docs).limit(0)
     assert jaccard_join.near_duplicates(none).count() == 0
     assert substring_dedup.removed_words(none).count() == 0
 
 
+def library_of(name):
+    with open(public_tokenizers.path(name), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_stages_on_empty_tables_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    odd = [(1, None, None, None, None, "x"), (2, "", "en", "a", 0, "x"), (2, "", "en", "a", 0, "x"), (None, "same words here " * 30, "en", None, 1, "x"), (3, "same words here " * 30, None, "b", 1, "x"), (4, "w " * 60_000, "en", "b", 1, "x"), (4, "w " * 60_000, "en", "b", 1, "x")]
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if k == len(corpus_pipeline.STAGES) - 1:
+                assert out.count() == docs.count()
+                break
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert rows == [] or {r.doc_id for r in docs.collect()} == {3, 4}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -218,5 +328,13 @@ def test_pipeline_stages(spark):
         assert before is None or docs.count() <= before
         before = docs.count()
     kept = [(r.doc_id, r.text) for r in docs.collect()]
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, sf)
+    assert mixed.columns == raw.columns
+    taken = {r.doc_id: int(r.taken / r["size"] + 0.5) for r in mixing.mix(docs).collect() if r["size"]}
+    assert Counter(r.doc_id for r in mixed.collect()) == {k: n for k, n in taken.items() if n}
+    tokens = corpus_pipeline.STAGES[4][1](spark, mixed, sf).collect()
+    texts = dict(kept)
+    enc = library_of(BPE_RANKS)
+    assert len(tokens) == mixed.count() and all(r.n_tokens == len(r.ids) and r.ids == enc.encode_ordinary(texts[r.doc_id]) for r in tokens)
     assert all(w[3] == 0 for w in brute_dedup(kept, 50))  # nothing repeats any more
     assert len({c[3] for c in brute_components(kept, 5, 80)}) == len(kept)
