@@ -1,7 +1,14 @@
 """From raw documents to token ids: five stages, each over all that the one before kept.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Every
-stage has defined results for nulls, empty and very long texts, repeated rows and empty tables: those of its operator."""
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever they are
+called. Empty tables stay empty; texts of any length are read whole.
+
+1. Null and empty texts have the score of difference nought and stay or go by it; repeated rows share their fate.
+2. Rows of equal id and text are one document of a group; null and empty texts are in no group and all stay; a null id is
+   larger than any other.
+3. Null and empty texts stay as they are; rows that share an id judge nothing among themselves.
+4. Texts without words are not taken; rows of equal id, source and size share what is taken of them; a null source is a source.
+5. One row for each row; null and empty texts have no tokens."""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import byte_bpe, compression_quality, jaccard_join, mixing, substring_dedup
-from strandlake.llm.common import written
+from strandlake.llm.common import remove, written
 from strandlake.llm.queries import BPE_RANKS
 
 
@@ -54,10 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each result is written and read again before the next stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; each result is written and read again before the next stage, and goes when that is
+    written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs, _ = written(spark, docs, f"pipeline-{k}")
+            docs, path = written(spark, docs, f"pipeline-{k}")
+            if before:
+                remove(spark, before)
+            before = path
     return docs
