@@ -7,7 +7,7 @@ against that of the text so far; and the last piece. Reading a character moves e
 there is compatible with the piece before it (two pieces are compatible if the merging of their joined text gives just these two).
 A transition is annotated with the tokens it emits, the difference of the two counts. States are numbered and transitions kept in
 their tables as texts ask for them, as in a lazily built automaton: written out beforehand, the machine has over half a
-million states for 20 MB of text. At `MOST_STATES` the tables are begun anew.
+million states for 20 MB of text. Once there are `MOST_STATES`, what leads to further ones is stepped through and not kept.
 
 No piece spans two characters that never stand side by side inside a piece, so such places lead back to the start state. What a
 segment between them emits is kept in a bounded cache. Every text is cut into chunks. A chunk acts on states as (what precedes its
@@ -31,7 +31,7 @@ from strandlake.llm.common import Recent, map_arrow
 
 MARK = "▁"
 CHUNK = 1 << 20  # characters
-MOST_STATES = 100_000  # that are kept at a time
+MOST_STATES = 50_000  # that are kept
 
 
 class Transducer:
@@ -92,9 +92,8 @@ class Transducer:
         self.numbers, self.meaning, self.moves = {}, [], []
         self.number_of((), None)  # the start state is 0
 
-    def compile(self, state: int, c: str) -> tuple[int, int]:
-        """The transition of a state by a character: (next state, tokens emitted); kept in the state's table."""
-        growing, before = self.meaning[state]
+    def step(self, growing: tuple, before: str | None, c: str) -> tuple[tuple, str, int]:
+        """What reading a character makes of (growing, last piece), and the tokens it emits."""
         still, last, emitted = [], None, 0
         for node, piece, k in (*growing, (self.trie, before, 0)):
             if (node := node.get(c)) is not None:
@@ -103,20 +102,34 @@ class Transducer:
                 still.append((node, piece, k))
         if last is None:  # a character that is no piece: it is spelt in bytes
             last, emitted = c, int(self.alone[ord(c)])
-        move = self.moves[state][c] = self.number_of(tuple((n, p, k - emitted) for n, p, k in still), last), emitted
+        return tuple([(n, p, k - emitted) for n, p, k in still]), last, emitted
+
+    def compile(self, state: int, c: str) -> tuple[int, int]:
+        """The transition of a state by a character: (next state, tokens emitted); kept in the state's table."""
+        growing, last, emitted = self.step(*self.meaning[state], c)
+        move = self.moves[state][c] = self.number_of(growing, last), emitted
         return move
 
+    def unkept(self, state: int, rest: str) -> int:
+        """Tokens for the rest of a segment, by steps that are not kept."""
+        (growing, last), total = self.meaning[state], 0
+        for c in rest:
+            growing, last, emitted = self.step(growing, last, c)
+            total += emitted
+        return total
+
     def walk(self, segment: str) -> int:
         """Tokens that the machine emits for a segment, from the start state."""
         if len(segment) == 1:
             return int(self.alone[ord(segment)])
-        if len(self.moves) > MOST_STATES:
-            self.begin_tables()
         state, total = 0, 0
-        for c in segment:
+        for i, c in enumerate(segment):
             move = self.moves[state].get(c)
-            state, emitted = move if move is not None else self.compile(state, c)
-            total += emitted
+            if move is None:
+                if len(self.moves) >= MOST_STATES:
+                    return total + self.unkept(state, segment[i:])
+                move = self.compile(state, c)
+            state, total = move[0], total + move[1]
         return total
 
     def segment_counts(self, text: str, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

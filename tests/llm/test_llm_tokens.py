@@ -75,6 +75,14 @@ def test_chunks_compose(pieces, monkeypatch):
     assert token_counts.count_texts(token_counts.transducer_at(MODEL), texts) == [len(x) for x in pieces.encode(texts)]
 
 
+def test_counts_do_not_depend_on_what_is_kept(pieces, monkeypatch):
+    texts = [t for t in TEXTS if t]
+    want = [len(x) for x in pieces.encode(texts)]
+    for most in (1, 5, 100):
+        monkeypatch.setattr(token_counts, "MOST_STATES", most)
+        assert token_counts.count_texts(token_counts.from_sentencepiece(MODEL), texts) == want
+
+
 def test_operators(spark, library, pieces):
     df = spark.createDataFrame([Row(doc_id=i, text=t, id="clash", n_tokens="clash") for i, t in enumerate(TEXTS + TEXTS[:3])] + [Row(doc_id=None, text="x", id="", n_tokens="")])
     got = byte_bpe.round_trip_digests(df, BPE_RANKS).collect()
