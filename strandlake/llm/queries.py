@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import byte_bpe, compression_quality, jaccard_join, licenses, mixing, substring_dedup, tiff, token_counts, top_k, warc
+from strandlake.llm import byte_bpe, compression_quality, importance, jaccard_join, lexical_search, licenses, mixing, simhash, substring_dedup, tiff, token_counts, top_k, warc
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -105,3 +105,74 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(documents(spark, sf_dir))
     names = F.array_distinct(F.transform("matches", lambda m: m["license"]))
     return out.select("doc_id", "n_sentences", "n_known", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# the CRC of each different feature by a fold over its bytes, with the table made by eight shifts
+IMPORTANCE_SQL = f"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i AS v FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+texts AS (
+  SELECT 's' AS side, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark
+), split AS (
+  SELECT side, r, doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts
+), features AS (
+  SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM split
+), known AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM features), crc
+), counted AS (
+  SELECT bucket, count(*) FILTER (WHERE side = 's') AS s, count(*) FILTER (WHERE side = 't') AS t FROM features JOIN known USING (f) GROUP BY bucket
+), total AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counted),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000)))) AS gain FROM counted, total
+), weights AS (
+  SELECT r, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM features JOIN known USING (f) JOIN gain USING (bucket) WHERE side = 's' GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (r) WHERE side = 's'
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 AND score IS NOT NULL ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20 AND score IS NOT NULL) AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND score IS NOT NULL AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@register("op11_importance_resampling", IMPORTANCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=25, least_words=20, buckets=10_000, seed=7)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op12_simhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), distance=2, n=3, seed=42)
+
+
+SEARCH_SQL = f"""
+WITH found AS (
+  SELECT doc_id, r, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents)
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), sizes AS (SELECT r, doc_id, count(*) AS n FROM found GROUP BY r, doc_id),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+tf AS (SELECT r, term, count(*) AS tf FROM found WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, n_docs),
+parts AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS part FROM tf JOIN w USING (term) JOIN sizes USING (r), total
+), scored AS (
+  SELECT item_id, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM parts JOIN asked USING (term) WHERE doc_id IS NOT NULL GROUP BY item_id, r, doc_id
+), ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@register("op13_lexical_search", SEARCH_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
