@@ -68,6 +68,12 @@ def translate(codon: Column) -> Column:
     return F.when(ok, F.get(F.split(F.lit(",".join(AMINO_ACIDS)), ","), 16 * at(1) + 4 * at(2) + at(3))).otherwise("X")
 
 
+def translate_all(bases: Column) -> Column:
+    """Amino acids of a text of whole codons."""
+    n = F.floor(F.length(bases) / 3).cast("int")
+    return F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)), lambda i: translate(F.substring(bases, i * 3 + 1, F.lit(3)))), "")
+
+
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 
@@ -86,8 +92,9 @@ def coding_sequences(gff: DataFrame, fasta: DataFrame) -> DataFrame:
 
 
 def local_consequences(variants: DataFrame, gff: DataFrame, fasta: DataFrame) -> DataFrame:
-    """chrom, pos, ref, alt, transcript, consequence, aa: each ALT by itself against the coding part it falls into (SNPs:
-    synonymous, missense, stop_gained, stop_lost, start_lost; indels: frameshift or inframe), else splice_donor,
+    """chrom, pos, ref, alt, transcript, consequence, aa: each ALT by itself against the coding part it falls into (substitutions
+    of any length: synonymous, missense, stop_gained, stop_lost, stop_retained, start_lost, by the codons they lie in; indels: frameshift or
+    inframe), else splice_donor,
     splice_acceptor or splice_region near a part's ends, intron or UTR inside the transcript, and intergenic outside."""
     v = variants.select("chrom", "pos", "ref", F.explode("alt").alias("alt")).withColumn("vend", F.col("pos") + F.length("ref") - 1)
     t = gff.filter("type IN ('mRNA', 'transcript')").select(F.col("chrom").alias("tchrom"), F.col("beg").alias("tbeg"), F.col("end").alias("tend"), F.col("id").alias("transcript"), "biotype")
@@ -101,13 +108,18 @@ def local_consequences(variants: DataFrame, gff: DataFrame, fasta: DataFrame) ->
     offset = F.when(F.col("strand") == "-", F.length("cds") - 1 - (before + p - part["beg"])).otherwise(before + p - part["beg"])
     x = x.withColumn("_o", offset.cast("int"))
     k = F.floor(F.col("_o") / 3).cast("int")
-    codon = F.substring(F.col("cds"), k * 3 + 1, F.lit(3))
-    base = F.when(F.col("strand") == "-", F.translate("alt", "ACGT", "TGCA")).otherwise(F.col("alt"))
-    in_codon = (F.col("_o") % 3).cast("int")
-    new = F.concat(F.substring(codon, F.lit(1), in_codon), base, F.substring(codon, in_codon + 2, F.lit(3)))
-    a, b = translate(codon), translate(new)
-    snp = (F.length("ref") == 1) & (F.length("alt") == 1)
-    coding = F.when(snp, F.when((k == 0) & (a == "M") & (b != "M"), "start_lost").when(a == b, F.when(a == "*", "stop_retained").otherwise("synonymous")).when(b == "*", "stop_gained").when(a == "*", "stop_lost").otherwise("missense")).when((F.length("alt") - F.length("ref")) % 3 == 0, F.when(F.length("alt") > F.length("ref"), "inframe_insertion").when(F.length("alt") < F.length("ref"), "inframe_deletion").otherwise("missense")).otherwise("frameshift")
+    # substitutions: all codons that they lie in, with and without them
+    m = F.length("ref")
+    low = F.when(F.col("strand") == "-", F.col("_o") - m + 1).otherwise(F.col("_o"))
+    k = F.floor(low / 3).cast("int")
+    codons = F.substring(F.col("cds"), k * 3 + 1, ((F.floor((low + m - 1) / 3) - k + 1) * 3).cast("int"))
+    bases = F.when(F.col("strand") == "-", reverse_complement(F.col("alt"))).otherwise(F.col("alt"))
+    new = F.concat(F.substring(codons, F.lit(1), low - k * 3), bases, F.substring(codons, low - k * 3 + m + 1, m + 6))
+    a, b = translate_all(codons), translate_all(new)
+    same_size = (m == F.length("alt")) & (F.col("pos") >= part["beg"]) & (F.col("vend") <= part["end"])
+    star = lambda c: F.contains(c, F.lit("*"))
+    substituted = F.when((k == 0) & a.startswith("M") & ~b.startswith("M"), "start_lost").when(a == b, F.when(star(a), "stop_retained").otherwise("synonymous")).when(star(b) & ~star(a), "stop_gained").when(star(a) & ~star(b), "stop_lost").otherwise("missense")
+    coding = F.when(same_size, substituted).when((F.length("alt") - m) % 3 == 0, F.when(F.length("alt") > m, "inframe_insertion").when(F.length("alt") < m, "inframe_deletion").otherwise("coding_sequence")).otherwise("frameshift")
     n = F.size("parts")
     first, last = F.get("parts", F.lit(0))["beg"], F.get("parts", n - 1)["end"]
     edge = lambda lo, hi, side: F.exists("parts", lambda q: (F.col("vend") >= (q["end"] + lo if side == "end" else q["beg"] - hi)) & (p <= (q["end"] + hi if side == "end" else q["beg"] - lo)) & ((q["end"] < last) if side == "end" else (q["beg"] > first)))
@@ -118,5 +130,5 @@ def local_consequences(variants: DataFrame, gff: DataFrame, fasta: DataFrame) ->
     utr = F.when((F.col("vend") < first) == plus, "5_prime_utr").otherwise("3_prime_utr")
     symbolic = ~F.col("alt").rlike("^[ACGTN]+$")
     what = F.when(F.col("transcript").isNull(), "intergenic").when(symbolic, F.lit(None)).when(F.col("parts").isNull(), "non_coding").when(inside & F.col("_o").isNotNull(), coding).when(inside, "coding_sequence").when(donor, "splice_donor").when(acceptor, "splice_acceptor").when(region, "splice_region").when((F.col("vend") < first) | (p > last), utr).otherwise("intron")
-    aa = F.when(inside & snp & F.col("_o").isNotNull(), F.concat((k + 1).cast("string"), a, F.when(a != b, F.concat(F.lit(">"), (k + 1).cast("string"), b)).otherwise("")))
+    aa = F.when(inside & same_size & F.col("_o").isNotNull(), F.concat((k + 1).cast("string"), a, F.when(a != b, F.concat(F.lit(">"), (k + 1).cast("string"), b)).otherwise("")))
     return x.select("chrom", "pos", "ref", "alt", "transcript", what.alias("consequence"), aa.alias("aa"))
