@@ -15,16 +15,27 @@ WIDTH = 1 << 12  # bases of a tile
 
 
 def reference_text(df: DataFrame, fasta: DataFrame, beg: Column, length: Column, name: str = "reference") -> DataFrame:
-    """Adds the reference from position beg on, up to WIDTH bases; null where the contig is not known."""
+    """Adds the reference from position beg on, of any length, as far as the contig goes; null where the contig is not known. Texts of up to
+    WIDTH bases come from the tile where they begin and the next one; of longer ones each tile that they touch gives its slice, and the slices
+    are put together by place before they are joined to the rows."""
     t = tiles(fasta, WIDTH)
     side = lambda k: t.select(F.col("chrom").alias(f"_c{k}"), (F.col("tile") - k).alias(f"_t{k}"), F.col("seq").alias(f"_s{k}"))
-    x = df.withColumn("_beg", F.greatest(F.lit(1), beg).cast("long")).withColumn("_len", F.least(F.lit(WIDTH), length).cast("int"))
-    x = x.withColumn("_tile", F.floor((F.col("_beg") - 1) / WIDTH))
+    x = df.withColumn("_beg", F.greatest(F.lit(1), beg).cast("long")).withColumn("_len", F.coalesce(length, F.lit(0)).cast("int"))
+    y = x.filter(F.col("_len") <= WIDTH).withColumn("_tile", F.floor((F.col("_beg") - 1) / WIDTH))
     for k in (0, 1):
-        x = x.join(side(k), (F.col("chrom") == F.col(f"_c{k}")) & (F.col("_tile") == F.col(f"_t{k}")), "left")
+        y = y.join(side(k), (F.col("chrom") == F.col(f"_c{k}")) & (F.col("_tile") == F.col(f"_t{k}")), "left")
     at = (F.col("_beg") - F.col("_tile") * WIDTH).cast("int")
     text = F.substring(F.concat("_s0", F.coalesce("_s1", F.lit(""))), at, F.col("_len"))
-    return x.withColumn(name, F.nullif(text, F.lit(""))).drop("_beg", "_len", "_tile", *(f"_{c}{k}" for c in "cts" for k in (0, 1)))
+    short = y.withColumn(name, F.nullif(text, F.lit(""))).select(*df.columns, name)
+    wide = x.filter(F.col("_len") > WIDTH)
+    where = wide.select(F.col("chrom").alias("_c"), F.col("_beg").alias("_b"), F.col("_len").alias("_l")).distinct()
+    each = where.withColumn("_tile", F.explode(F.sequence(F.floor((F.col("_b") - 1) / WIDTH), F.floor((F.col("_b") + F.col("_l") - 2) / WIDTH))))
+    each = each.join(t, (F.col("_c") == F.col("chrom")) & (F.col("_tile") == F.col("tile")))
+    first = F.greatest(F.col("_b"), F.col("beg"))
+    slice_ = F.substring("seq", (first - F.col("beg") + 1).cast("int"), (F.col("_b") + F.col("_l") - first).cast("int"))
+    whole = each.groupBy("_c", "_b", "_l").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", slice_.alias("s")))), lambda p: p["s"]), "").alias(name))
+    long = wide.join(whole, (F.col("chrom") == F.col("_c")) & (F.col("_beg") == F.col("_b")) & (F.col("_len") == F.col("_l")), "left")
+    return short.unionByName(long.select(*df.columns, name))
 
 
 def left_align(df: DataFrame, fasta: DataFrame, window: int = 1000) -> DataFrame:
@@ -59,8 +70,8 @@ def check_ref(df: DataFrame, fasta: DataFrame, mode: str = "w") -> DataFrame:
     in REF count as N, which agrees with everything. Rows of unknown contigs are left alone (ref_ok null)."""
     plain = F.regexp_replace(F.upper("ref"), "[^ACGTN]", "N")
     x = reference_text(df.withColumn("_plain", plain), fasta, F.col("pos"), F.length("ref"), "_seq")
-    bases = F.transform(F.sequence(F.lit(1), F.length("_plain")), lambda i: F.substring("_plain", i, F.lit(1)).isin("N", "") | (F.substring("_plain", i, F.lit(1)) == F.substring("_seq", i, F.lit(1))) | (F.substring("_seq", i, F.lit(1)) == "N"))
-    x = x.withColumn("ref_ok", F.when(F.col("_seq").isNotNull(), F.forall(bases, lambda b: b)))
+    bases = F.zip_with(F.split("_plain", ""), F.split("_seq", ""), lambda a, b: F.coalesce(a.isin("N", "") | (a == b) | (b == "N"), F.lit(False)))
+    x = x.withColumn("ref_ok", F.when(F.col("_seq").isNotNull(), (F.col("_plain") == F.col("_seq")) | (F.length("_plain") <= F.length("_seq")) & F.forall(F.slice(bases, F.lit(1), F.length("_plain")), lambda b: b)))
     if mode == "w":
         return x.drop("_plain", "_seq")
     if mode == "x":

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from strandlake.operators import annotate, merge, normalise, variants
 from strandlake.plans import register
 from strandlake.session import table
+from strandlake.sources.text_formats import tiled
 
 #: Records: REF and ALT of a part by its key; the contig c has the base of (p_size % 4) at each key.
 RECORDS = """WITH p AS (SELECT p_partkey + 1 AS pos, p_size, p_brand, p_type, p_retailprice, substr('ACGT', CAST(p_size % 4 AS INTEGER) + 1, 1) AS base, substr('ACGT', CAST((p_size + CASE WHEN p_partkey % 7 = 0 THEN p_partkey % 4 ELSE 0 END) % 4 AS INTEGER) + 1, 1) AS ref, substr('ACGT', CAST((p_size + 1 + p_partkey % 3) % 4 AS INTEGER) + 1, 1) AS a1 FROM part) """
@@ -16,10 +17,8 @@ def letter(i):
 
 
 def contig(spark, sf):
-    """One row; parts are numbered without gaps from 0, and the bases from 1."""
-    p = table(spark, sf, "part").select(F.struct("p_partkey", letter(F.col("p_size")).alias("b")).alias("x"))
-    seq = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "")
-    return p.groupBy(F.lit("c").alias("chrom")).agg(seq.alias("seq"))
+    """Tiles; parts are numbered without gaps from 0, and the bases from 1."""
+    return tiled(table(spark, sf, "part").select(F.lit("c").alias("chrom"), (F.col("p_partkey") + 1).alias("pos"), letter(F.col("p_size")).alias("text")), normalise.WIDTH)
 
 
 def records(spark, sf):

@@ -6,10 +6,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlake.session import scratch_path
+
 # The eight columns of a site.
 SITE = ["chrom", "pos", "id", "ref", "alt", "qual", "filters"]
 NUMBERS = {"Integer": "bigint", "Float": "double", "String": "string", "Character": "string", "Flag": "boolean"}
@@ -189,9 +192,76 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tiles(fasta: DataFrame, width: int = 1 << 16) -> DataFrame:
-    """chrom, tile, beg, seq: contigs cut into pieces that can be joined by (chrom, tile)."""
-    k = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / width))).alias("tile")
-    return fasta.select("chrom", "seq", k).select("chrom", "tile", (F.col("tile") * width + 1).alias("beg"), F.substring("seq", F.col("tile").cast("int") * width + 1, F.lit(width)).alias("seq"))
+    """chrom, tile, beg, seq: contigs cut into pieces that can be joined by (chrom, tile). Of a table of tiles (as read_fasta_tiles and tiled
+    give), those of this width are taken as they are, others are put together anew; a contig in a cell is cut in one pass over it."""
+    if {"tile", "beg"} <= set(fasta.columns):
+        if fasta.schema["tile"].metadata.get("width") == width:
+            return fasta.select("chrom", "tile", "beg", "seq")
+        return tiled(fasta.select("chrom", F.col("beg").alias("pos"), F.col("seq").alias("text")), width)
+
+    def cut(batches):
+        for b in batches:
+            for chrom, seq in zip(b.column(0).to_pylist(), b.column(1)):
+                text = seq.as_py() or ""
+                for first in range(0, len(text), width * TILES):
+                    at = range(first, min(first + width * TILES, len(text)), width)
+                    yield pa.RecordBatch.from_arrays([pa.array([chrom] * len(at), pa.string()), pa.array([a // width for a in at], pa.int64()), pa.array([a + 1 for a in at], pa.int64()), pa.array([text[a : a + width] for a in at], pa.string())], ["chrom", "tile", "beg", "seq"])
+
+    return fasta.select("chrom", "seq").mapInArrow(cut, "chrom string, tile bigint, beg bigint, seq string")
+
+
+TILES = 256  # of a batch
+
+
+def tiled(pieces: DataFrame, width: int = 1 << 12) -> DataFrame:
+    """chrom, tile, beg, seq of pieces of contigs (chrom, pos, text) that do not overlap and leave nothing out."""
+    first = F.col("pos") - 1
+    tile = F.explode(F.sequence(F.floor(first / width), F.floor((first + F.length("text") - 1) / width))).alias("tile")
+    cut = pieces.filter("text <> ''").select("chrom", first.alias("first"), "text", tile)
+    lo = F.greatest(F.col("first"), F.col("tile") * width)
+    piece = F.substring("text", (lo - F.col("first") + 1).cast("int"), (F.col("tile") * width + width - lo).cast("int"))
+    joined = cut.groupBy("chrom", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(lo.alias("lo"), piece.alias("p")))), lambda x: x["p"]), "").alias("seq"))
+    return joined.select("chrom", F.col("tile").alias("tile", metadata={"width": width}), (F.col("tile") * width + 1).alias("beg"), "seq")
+
+
+def read_fasta_tiles(spark: SparkSession, path: str, width: int = 1 << 12) -> DataFrame:
+    """chrom, tile, beg, seq straight from FASTA lines: no cell, row or task ever holds a contig. Lines stay where the file's splits
+    put them; each split tells how many bases it has of the contig that it begins in, and of those that begin in it, and running sums over
+    splits (a few rows each) give every line its offset. Pieces of lines are then put together by tile."""
+    lines = spark.read.text(path).select("_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def number(batches):
+        file = block = None
+        n = at = row = 0
+        for b in batches:
+            out = []
+            for f, k, line in zip(*(c.to_pylist() for c in b.columns)):
+                if (f, k) != (file, block):
+                    file, block, n, at, row = f, k, 0, 0, 0
+                    out.append((f, k, 0, None, 0, ""))  # of the contig that goes on, if any
+                if line.startswith(">"):
+                    n, at = n + 1, 0
+                    out.append((f, k, n, (line[1:].split() or [""])[0], 0, ""))
+                    continue
+                text = "".join(line.split()).upper()
+                if text:
+                    out.append((f, k, n, None, at, text))
+                    at += len(text)
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], ["file", "block", "n", "name", "at", "text"])
+
+    rows = lines.mapInArrow(number, "file string, block bigint, n bigint, name string, at bigint, text string")
+    path_of = scratch_path(spark, "fasta-lines")
+    rows.write.parquet(path_of)
+    rows = spark.read.schema(rows.schema).parquet(path_of)
+    # a row for each split and each contig that begins in it
+    parts = rows.groupBy("file", "block", "n").agg(F.max("name").alias("name"), F.max(F.col("at") + F.length("text")).alias("size"))
+    order = Window.partitionBy("file").orderBy("block", "n")
+    parts = parts.withColumn("contig", F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(order))
+    own = Window.partitionBy("file", "contig").orderBy("block", "n")
+    parts = parts.withColumn("chrom", F.first("name", True).over(own)).withColumn("before", F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = rows.filter("text <> ''").join(parts.filter("chrom IS NOT NULL").select("file", "block", "n", "chrom", "before"), ["file", "block", "n"])
+    return tiled(placed.select("chrom", (F.col("before") + F.col("at") + 1).alias("pos"), "text"), width)
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
