@@ -139,27 +139,47 @@ def constrained_calls(spark, sf):
     return out.select("pos", "missed", F.get("wanted_index", F.lit(0)).alias("first"))
 
 
-# Three sources with a sample each: which parts they have, and their ALT, go by the key.
-MERGED = """WITH s AS (SELECT p_partkey AS pos, k, substr('CGT', CAST((p_size + k * (p_partkey % 2)) % 3 AS INTEGER) + 1, 1) AS a, p_size + k AS q, CASE WHEN (p_partkey + k) % 5 = 0 THEN 'low' ELSE 'PASS' END AS f, (p_partkey + k) % 3 AS g FROM part, (VALUES (0), (1), (2)) v(k) WHERE p_partkey % (k + 2) <> 0),
-u AS (SELECT pos, a, min(k) AS first FROM s GROUP BY 1, 2), r AS (SELECT pos, a, row_number() OVER (PARTITION BY pos ORDER BY first) AS i FROM u), m AS (SELECT pos, string_agg(a, ',' ORDER BY i) AS alts FROM r GROUP BY 1),
-x AS (SELECT s.pos, k, CASE g WHEN 0 THEN '0/' || i WHEN 1 THEN i || '/' || i ELSE './' || i END AS gt FROM s JOIN r ON s.pos = r.pos AND s.a = r.a) """
+# Three sources with a sample each: which parts they have, and their ALT, go by the key. The second writes lower case, the third a REF of two
+# bases; one in eleven rows of each has no ALT.
+MERGED = """WITH s AS (SELECT p_partkey AS pos, k, substr('CGT', CAST((p_size + k * (p_partkey % 2)) % 3 AS INTEGER) + 1, 1) AS a, p_size + k AS q, CASE WHEN (p_partkey + k) % 5 = 0 THEN 'low' ELSE 'PASS' END AS f, (p_partkey + k) % 3 AS g, (p_partkey * 3 + k * 5) % 11 = 0 AS bare FROM part, (VALUES (0), (1), (2)) v(k) WHERE p_partkey % (k + 2) <> 0),
+l AS (SELECT pos, bool_or(k = 2) AS long FROM s GROUP BY 1),
+u AS (SELECT pos, a, min(k) AS first FROM s WHERE NOT bare GROUP BY 1, 2), r AS (SELECT pos, a, row_number() OVER (PARTITION BY pos ORDER BY first) AS i FROM u),
+m AS (SELECT l.pos, CASE WHEN long THEN 'AT' ELSE 'A' END AS ref, coalesce(string_agg(a || CASE WHEN long THEN 'T' ELSE '' END, ',' ORDER BY i), '') AS alts FROM l LEFT JOIN r ON l.pos = r.pos GROUP BY 1, 2),
+x AS (SELECT s.pos, s.k, CASE WHEN bare THEN '0/0' WHEN g = 0 THEN '0/' || i WHEN g = 1 THEN i || '/' || i ELSE './' || i END AS gt FROM s LEFT JOIN r ON s.pos = r.pos AND s.a = r.a) """
 
 
-@register("merge_records", MERGED + "SELECT m.pos, alts, CAST(max(q) AS DOUBLE) AS qual, CASE WHEN bool_or(f = 'low') THEN 'low' ELSE 'PASS' END AS filter, coalesce(max(CASE WHEN x.k = 0 THEN gt END), './.') AS g0, coalesce(max(CASE WHEN x.k = 1 THEN gt END), './.') AS g1, coalesce(max(CASE WHEN x.k = 2 THEN gt END), './.') AS g2 FROM m JOIN s ON m.pos = s.pos JOIN x ON x.pos = s.pos AND x.k = s.k GROUP BY m.pos, alts")
+@register("merge_records", MERGED + "SELECT m.pos, m.ref, alts, CAST(max(q) AS DOUBLE) AS qual, CASE WHEN bool_or(f = 'low') THEN 'low' ELSE 'PASS' END AS filter, coalesce(max(CASE WHEN x.k = 0 THEN gt END), './.') AS g0, coalesce(max(CASE WHEN x.k = 1 THEN gt END), './.') AS g1, coalesce(max(CASE WHEN x.k = 2 THEN gt END), './.') AS g2 FROM m JOIN s ON m.pos = s.pos JOIN x ON x.pos = s.pos AND x.k = s.k GROUP BY m.pos, m.ref, alts")
 def merge_records(spark, sf):
-    p = table(spark, sf, "part")
+    from strandlake.functions.project import gt_text
 
-    def source(k):
-        key, size = F.col("p_partkey"), F.col("p_size")
-        alt = F.substr(F.lit("CGT"), ((size + k * (key % 2)) % 3).cast("int") + 1, F.lit(1))
-        one, none = F.lit(1), F.lit(None).cast("int")
-        gt = F.when((key + k) % 3 == 0, F.array(F.lit(0), one)).when((key + k) % 3 == 1, F.array(one, one)).otherwise(F.array(none, one))
-        return p.filter(key % (k + 2) != 0).select(F.lit("1").alias("chrom"), key.alias("pos"), F.array().cast("array<string>").alias("id"), F.lit("A").alias("ref"), F.array(alt).alias("alt"), (size + k).cast("double").alias("qual"), F.array(F.when((key + k) % 5 == 0, "low").otherwise("PASS")).alias("filters"), F.array(F.struct(F.lit(f"s{k}").alias("sample"), gt.alias("gt"), F.lit(False).alias("phased"))).alias("samples"))
+    m = merge.merge_records([merge_source(spark, sf, k) for k in range(3)], [[f"s{k}"] for k in range(3)])
+    return m.select("pos", "ref", F.array_join("alt", ",").alias("alts"), "qual", F.array_join("filters", ";").alias("filter"), *(gt_text(F.get("samples", F.lit(k))).alias(f"g{k}") for k in range(3)))
+
+
+def merge_source(spark, sf, k):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    alt = F.substr(F.lit("CGT"), ((size + k * (key % 2)) % 3).cast("int") + 1, F.lit(1))
+    one, none, zero, bare = F.lit(1), F.lit(None).cast("int"), F.lit(0), (key * 3 + k * 5) % 11 == 0
+    gt = F.when(bare, F.array(zero, zero)).when((key + k) % 3 == 0, F.array(zero, one)).when((key + k) % 3 == 1, F.array(one, one)).otherwise(F.array(none, one))
+    ref, alt = [(F.lit("A"), alt), (F.lit("a"), F.lower(alt)), (F.lit("AT"), F.concat(alt, F.lit("T")))][k]
+    alts = F.when(bare, F.array().cast("array<string>")).otherwise(F.array(alt))
+    sample = F.struct(F.lit(f"s{k}").alias("sample"), gt.alias("gt"), F.lit(False).alias("phased"), F.array(size, size + 10).alias("AD"))
+    return table(spark, sf, "part").filter(key % (k + 2) != 0).select(F.lit("1").alias("chrom"), key.alias("pos"), F.array().cast("array<string>").alias("id"), ref.alias("ref"), alts.alias("alt"), (size + k).cast("double").alias("qual"), F.array(F.when((key + k) % 5 == 0, "low").otherwise("PASS")).alias("filters"), F.array(sample).alias("samples"))
+
+
+MERGED_VALUES = MERGED + """, d AS (SELECT s.pos, s.k, CAST(q - s.k AS INTEGER) AS base, bare, r.i FROM s LEFT JOIN r ON s.pos = r.pos AND s.a = r.a)
+SELECT d.pos, CAST(d.k AS INTEGER) AS source, v.i AS place, CASE WHEN v.i = 0 THEN base WHEN v.i = d.i AND NOT bare THEN base + 10 ELSE 0 END AS value
+FROM d, (VALUES (0), (1), (2), (3)) v(i) WHERE v.i <= (SELECT count(*) FROM r WHERE r.pos = d.pos)"""
 
-    from strandlake.functions.project import gt_text
 
-    m = merge.merge_records([source(k) for k in range(3)], [[f"s{k}"] for k in range(3)])
-    return m.select("pos", F.array_join("alt", ",").alias("alts"), "qual", F.array_join("filters", ";").alias("filter"), *(gt_text(F.get("samples", F.lit(k))).alias(f"g{k}") for k in range(3)))
+@register("merge_values", MERGED_VALUES)
+def merge_values(spark, sf):
+    """Depths by allele of merged rows, 0 where a source does not know the allele."""
+    rows = [merge_source(spark, sf, k) for k in range(3)]
+    cut = lambda d: d.withColumn("samples", F.transform("samples", lambda s: s.withField("AD", F.slice(s["AD"], F.lit(1), F.size("alt") + 1))))
+    m = merge.merge_records([cut(d) for d in rows], [[f"s{k}"] for k in range(3)], by_allele=("AD",), missing={"AD": 0})
+    each = m.select("pos", F.posexplode("samples").alias("source", "s")).select("pos", "source", F.posexplode("s.AD").alias("place", "value"))
+    return each
 
 
 #: Genotypes that the filter language has no short word for: the text of a record's samples as codes and as a line.

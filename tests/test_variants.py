@@ -410,9 +410,10 @@ def test_merged_records(spark):
     assert len(out) == 3
     both = next(o for o in out if o.pos == 5 and o.sources == [0, 1])
     alone = next(o for o in out if o.pos == 5 and o.sources == [1])
-    assert (both.alt, both.qual, both.filters, both.id) == (["G", "C"], 10.0, ["PASS"], ["x"]) and (alone.alt, alone.filters) == (["T", "G"], ["low"])
-    assert [(s.gt, s.DP, s.AD, s.PL) for s in both.samples] == [([0, 1], 7, [3, 4, None], [9, 0, 8, None, None, None]), ([0, 2], 1, [1, None, 1], [1, None, None, 0, None, 1])]
-    assert alone.samples[0].gt == [None, None] and alone.samples[1].phased
+    # of b's two rows the one with the allele that both sources have is merged first
+    assert (both.alt, both.qual, both.filters, both.id) == (["G", "T"], 30.0, ["low"], ["x", "y"]) and (alone.alt, alone.filters) == (["C"], ["PASS"])
+    assert [(s.gt, s.DP, s.AD, s.PL) for s in both.samples] == [([0, 1], 7, [3, 4, None], [9, 0, 8, None, None, None]), ([2, 1], 9, [1, 6, 2], [90, 60, 50, 80, 0, 70])]
+    assert alone.samples[0].gt == [None, None] and both.samples[1].phased
     indel = next(o for o in out if o.pos == 9)
     assert (indel.ref, indel.alt, indel.qual, indel.filters) == ("AC", ["ATC", "A"], 5.0, ["PASS"])
     assert [(s.sample, s.gt, s.AD, s.PL) for s in indel.samples] == [("s", [1, 1], [0, 2, None], [9, 3, 0, None, None, None]), ("t", [None, 2], None, None)]
