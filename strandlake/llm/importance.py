@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.llm.common import map_arrow, quoted, remove, written
 
@@ -161,8 +162,8 @@ def weighed(df: DataFrame, text_col: str, gain: np.ndarray) -> DataFrame:
             mean = sums[2] // np.maximum(sums[1], 1)
             yield pa.RecordBatch.from_arrays([*more, pa.array(sums[0]), pa.array(sums[1]), pa.array(mean)], [*keep, "n_words", "n_features", "weight"])
 
-    kinds = "".join(f"{quoted(f.name)} {f.dataType.simpleString()}, " for f in df.select(*map(quoted, keep)).schema)
-    return map_arrow(df, run, f"{kinds}n_words bigint, n_features bigint, weight bigint")
+    kinds = T.StructType(df.select(*map(quoted, keep)).schema.fields + [T.StructField(c, T.LongType()) for c in ("n_words", "n_features", "weight")])
+    return map_arrow(df, run, kinds)
 
 
 def noise(id_col: F.Column, seed: int) -> F.Column:
@@ -187,8 +188,8 @@ def placed(rows: DataFrame, percent: int, least_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(n + 1, n + b.num_rows + 1))], [*names, "part", "place"])
             n += b.num_rows
 
-    kinds = "".join(f"{quoted(f.name)} {f.dataType.simpleString()}, " for f in dealt.schema)
-    numbered, _ = written(spark, map_arrow(dealt, number, f"{kinds}part int, place bigint"), "importance-places")
+    kinds = T.StructType(dealt.schema.fields + [T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType())])
+    numbered, _ = written(spark, map_arrow(dealt, number, kinds), "importance-places")
     sizes = numbered.groupBy("part").agg(F.max("place").alias("size"))  # a row for each range partition
     sizes = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
     drawn = numbered.count() * percent // 100
