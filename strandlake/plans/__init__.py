@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from strandlake.plans import aggregates, filters, haplotype_twins, joins, record_twins, site_reports, streams, variant_twins  # noqa: E402,F401  (they register their queries)
+from strandlake.plans import aggregates, block_twins, filters, haplotype_twins, joins, record_twins, site_reports, streams, variant_twins  # noqa: E402,F401  (they register their queries)
