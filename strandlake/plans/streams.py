@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from strandlake.plans import register
+from strandlake.session import table
+from strandlake.streaming import ordered
 from strandlake.streaming import windows as w
 
 
@@ -29,3 +31,14 @@ def stream_session(spark, sf):
 @register("stream_watermark_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_watermark_dedup(spark, sf):
     return w.run_to_end(w.dedup(w.stream_of(spark, sf, "events").select("user_id", "event_type", "ts"), "ts", "user_id", "event_type", delay="3650 days").select("user_id", "event_type"), "append")
+
+
+@register("stream_in_order", "WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS \"at\", event_id FROM events) SELECT user_id, \"at\", event_id, row_number() OVER (PARTITION BY user_id ORDER BY \"at\", event_id) AS place FROM e")
+def stream_in_order(spark, sf):
+    """Events that arrive up to eight hours late, in six triggers of as long a time each; each user's leave in order."""
+    e = table(spark, sf, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    lo, hi = e.agg(F.min("at"), F.max("at")).first()
+    late = F.col("at") + F.pmod(F.xxhash64("event_id"), F.lit(8 * 3600))
+    part = F.floor((late - lo) * 6 / (hi - lo + 8 * 3600))
+    stream = ordered.arriving(e, part, 6)
+    return ordered.run_in_order(stream, ["user_id"], "at", 9 * 3600, ("event_id",))

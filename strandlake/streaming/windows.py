@@ -42,7 +42,8 @@ def sessions(df: DataFrame, at: str, gap: str, *keys: str, delay: str = "0 secon
 
 
 def dedup(df: DataFrame, at: str, *keys: str, delay: str = "30 days") -> DataFrame:
-    return df.withWatermark(at, delay).dropDuplicates(list(keys))
+    """First rows by keys; those of a key that are further apart than the delay are told apart again, so state goes with the watermark."""
+    return df.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def run_to_end(df: DataFrame, mode: str = "complete") -> DataFrame:
