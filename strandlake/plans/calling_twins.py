@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from strandlake.operators import consensus_calling
+from strandlake.operators import consensus_calling, indels
+from strandlake.operators.normalise import reference_text
 from strandlake.plans import register
+from strandlake.plans.record_twins import contig
 from strandlake.session import table
 
 #: z by a recursion over samples; frequencies of all, of the first three and of the other samples by fifty rounds each
@@ -34,3 +36,32 @@ def call_spectrum(spark, sf):
     df = f.groupBy("site").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("s"), F.col("s").cast("string")).alias("sample"), pl.alias("PL")))).alias("samples"))
     out = consensus_calling.call_spectrum(df, group=["s0", "s1", "s2"])
     return out.select("site", "call.an", "call.ac", F.round("call.qual", 6).alias("qual"), F.round("call.af", 6).alias("af"), F.round("call.lrt", 5).alias("lrt"))
+
+
+#: Reads of forty bases are lines; every fifty bases the copies of three samples differ by a deletion of three bases or an insertion of four. The
+#: twin tells what was put there, which realignment of the reads has to find again.
+PLANTED = """WITH n AS (SELECT count(*) AS n FROM part), m AS (SELECT unnest(range(0, (n - 85) // 50 + 1)) AS m FROM n),
+s AS (SELECT m, s, sum(CASE WHEN (m * 7 + s * 3 + c * 5) % 4 = 0 THEN 1 ELSE 0 END) AS copies FROM m, (VALUES (0), (1), (2)) a(s), (VALUES (0), (1)) b(c) GROUP BY m, s)
+SELECT m, CAST(CASE WHEN m % 2 = 0 THEN -3 ELSE 4 END AS INTEGER) AS change, 's' || s AS sample, CAST(copies AS INTEGER) AS copies FROM s WHERE m IN (SELECT m FROM s WHERE copies > 0)"""
+
+
+@register("call_indels", PLANTED)
+def call_indels(spark, sf):
+    fasta = contig(spark, sf)
+    n = table(spark, sf, "part").count()
+    li = table(spark, sf, "lineitem")
+    pos = F.col("l_partkey") % (n - 50) + 1
+    m = F.ceil((pos - 25) / 50)
+    at = 50 * m + 25
+    x = li.select(F.lit("c").alias("chrom"), pos.alias("pos"), m.alias("m"), (at - pos + 1).alias("k"), (F.col("l_suppkey") % 3).alias("s"), (F.col("l_orderkey") % 2).alias("copy"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("name"), at.alias("at"))
+    x = reference_text(x, fasta, F.col("pos"), F.lit(43), "_text")
+    carries = (F.col("k") <= 39) & (F.col("at") <= n - 60) & ((F.col("m") * 7 + F.col("s") * 3 + F.col("copy") * 5) % 4 == 0)
+    k, gone = F.col("k").cast("int"), carries & (F.col("m") % 2 == 0)
+    left, tail, text = F.substring("_text", F.lit(1), k), lambda skip: F.substring("_text", k + 1 + skip, F.lit(43)), lambda *parts: F.substring(F.concat(*parts), 1, 40)
+    seq = F.when(gone, text(left, tail(3))).when(carries, text(left, F.lit("GATC"), tail(0))).otherwise(F.substring("_text", 1, 40))
+    rest = 36 - k
+    cigar = F.when(gone, F.format_string("%dM3D%dM", k, 40 - k)).when(carries & (rest > 0), F.format_string("%dM4I%dM", k, rest)).when(carries, F.format_string("%dM%dS", k, 40 - k)).otherwise("40M")
+    reads = x.select("name", F.lit(0).alias("flag"), "chrom", "pos", F.lit(60).alias("mapq"), cigar.alias("cigar"), seq.alias("seq"), F.lit("*").alias("qual"), F.concat(F.lit("s"), F.col("s").cast("string")).alias("rg"))
+    called = indels.call_indels(reads, fasta)
+    each = called.select(F.floor(F.col("pos") / 50).alias("m"), (F.length(F.get("alt", F.lit(0))) - F.length("ref")).alias("change"), F.explode("samples").alias("s"))
+    return each.select("m", "change", "s.sample", F.aggregate("s.gt", F.lit(0), lambda a, g: a + g).alias("copies"))
