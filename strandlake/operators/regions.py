@@ -46,6 +46,9 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], a_iv:
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
     (ab, ae), (bb, be) = a_iv, b_iv
+    if residual is None and how in ("left_semi", "left_anti"):
+        hit = overlaps_any(a, b, keys, a_iv, b_iv, "_hit")
+        return hit.filter(F.col("_hit") if how == "left_semi" else ~F.col("_hit")).drop("_hit")
     levels = sorted(levels_in(a, *a_iv) | levels_in(b, *b_iv)) or [0]
     proper = F.coalesce(F.col(ab) <= F.col(ae), F.lit(False))
     right = placed(b.filter(F.col(bb) <= F.col(be)), bb, be, levels, "b")
@@ -83,6 +86,67 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], a_iv:
     return out.unionByName(a.filter(~proper), allowMissingColumns=True)
 
 
+TILE = 256  # positions of a tile of running values, unless told otherwise
+
+
+def running(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], a_at: str, b_at: str, strict: bool, values: dict[str, tuple[Column, str]], tile: int) -> DataFrame:
+    """Rows of a with, for each value (a column of b, and "max" or "sum"), that of b's rows at positions up to a's own (strict: before it).
+
+    Rows of both are sorted together by tiles of positions; what lies before a tile comes in as a row of its own at its beginning, from
+    one row a tile. No pairs are formed, and no window holds more than a key's tile. Rows of a without a position get what b gives to
+    nobody: null."""
+    fold = {"max": F.max, "sum": F.sum}
+    names = [y for _, y in keys]
+    number = lambda c: F.floor(F.col(c) / tile)
+    row = F.struct(*(F.col(f"`{c}`") for c in a.columns))
+    left = a.select(*(F.col(x).alias(f"_k{i}") for i, (x, _) in enumerate(keys)), number(a_at).alias("_tile"), F.col(a_at).cast("long").alias("_at"), F.lit(0 if strict else 2).alias("_side"), row.alias("_row"))
+    each = b.select(*(F.col(y).alias(f"_k{i}") for i, y in enumerate(names)), number(b_at).alias("_tile"), F.col(b_at).cast("long").alias("_at"), *(v.alias(f"_v{i}") for i, (v, _) in enumerate(values.values()))).filter("_at IS NOT NULL")
+    ks, vs = [f"_k{i}" for i in range(len(keys))], [f"_v{i}" for i in range(len(values))]
+    kinds = [k for _, k in values.values()]
+    own = each.groupBy(*ks, "_tile").agg(*(fold[k](v).alias(v) for v, k in zip(vs, kinds)))
+    all_tiles = own.unionByName(left.select(*ks, "_tile").distinct(), allowMissingColumns=True).groupBy(*ks, "_tile").agg(*(fold[k](v).alias(v) for v, k in zip(vs, kinds)))
+    before = Window.partitionBy(*ks).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)  # a row a tile
+    carried = all_tiles.select(*ks, "_tile", *(fold[k](v).over(before).alias(v) for v, k in zip(vs, kinds))).withColumn("_at", F.col("_tile") * tile).withColumn("_side", F.lit(-1))
+    both = left.unionByName(each.withColumn("_side", F.lit(1)), allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    w = Window.partitionBy(*ks, "_tile").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.select("_row", *(fold[k](v).over(w).alias(n) for n, v, k in zip(values, vs, kinds))).filter("_row IS NOT NULL")
+    return out.select("_row.*", *values)
+
+
+def overlaps_any(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], a_iv: tuple[str, str], b_iv: tuple[str, str], name: str = "hit", tile: int = TILE) -> DataFrame:
+    """Rows of a with whether any interval of b overlaps theirs: of b's intervals that begin at or before its end, the greatest end decides."""
+    (ab, ae), (bb, be) = a_iv, b_iv
+    x = running(a, b.filter(F.col(bb) <= F.col(be)), keys, ae, bb, False, {"_reach": (F.col(be), "max")}, tile)
+    return x.withColumn(name, F.coalesce((F.col(ab) <= F.col(ae)) & (F.col("_reach") >= F.col(ab)), F.lit(False))).drop("_reach")
+
+
+def overlap_totals(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], a_iv: tuple[str, str], b_iv: tuple[str, str], count: str = "n", sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, tile: int = TILE) -> DataFrame:
+    """Rows of a with how many intervals of b overlap theirs, and sums and least values of columns of b over these (null where there are none).
+
+    Counts and sums are differences: what begins at or before my end, less what ends before my beginning, both running sums. Least values need
+    pairs; those are of different intervals only, with b's values put together by interval first. Columns of a and b must differ in name."""
+    (ab, ae), (bb, be) = a_iv, b_iv
+    sums, least = sums or {}, least or {}
+    right = b.filter(F.col(bb) <= F.col(be))
+    values = {"_c": (F.lit(1).cast("long"), "sum")} | {f"_s{i}": (v, "sum") for i, v in enumerate(sums.values())} | {f"_f{i}": (v.isNotNull().cast("long"), "sum") for i, v in enumerate(sums.values())}
+    x = running(a, right, keys, ae, bb, False, {f"{n}a": v for n, v in values.items()}, tile)
+    x = running(x, right, keys, ab, be, True, {f"{n}b": v for n, v in values.items()}, tile)
+    proper = F.coalesce(F.col(ab) <= F.col(ae), F.lit(False))
+    diff = lambda n: F.when(proper, F.coalesce(F.col(f"{n}a"), F.lit(0)) - F.coalesce(F.col(f"{n}b"), F.lit(0))).otherwise(0)
+    x = x.withColumn(count, diff("_c")).withColumns({n: F.when(diff(f"_f{i}") > 0, diff(f"_s{i}")) for i, n in enumerate(sums)})
+    x = x.drop(*(f"{n}{t}" for n in values for t in "ab"))
+    if not least:
+        return x
+    few = right.groupBy(*(y for _, y in keys), bb, be).agg(*(F.min(v).alias(f"_m{i}") for i, v in enumerate(least.values())))
+    mine = a.filter(proper).select(*(F.col(k) for k, _ in keys), ab, ae).distinct()
+    met = overlap_join(mine, few, keys, a_iv, b_iv).groupBy(*(k for k, _ in keys), ab, ae).agg(*(F.min(f"_m{i}").alias(n) for i, n in enumerate(least)))
+    met = met.select(*(F.col(c).alias(f"_j{i}") for i, c in enumerate([*(k for k, _ in keys), ab, ae])), *least)
+    same = F.lit(True)
+    for i, c in enumerate([*(k for k, _ in keys), ab, ae]):
+        same = same & (F.col(c) == F.col(f"_j{i}"))
+    return x.join(met, same, "left").drop(*(f"_j{i}" for i in range(len(keys) + 2)))
+
+
 def merge_intervals(df: DataFrame, keys: list[str], beg: str, end: str, gap: int = 0) -> DataFrame:
     """Unions of intervals that share a position, or lie at most `gap` apart; touching ends merge, adjacent ones do not."""
     w = Window.partitionBy(*keys).orderBy(beg, end)

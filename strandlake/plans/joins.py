@@ -112,8 +112,8 @@ def annotate_min_overlap(spark, sf):
 
 @register("annotate_left_range", WINDOWS + 'SELECT s.l_orderkey, s.l_linenumber, CAST(count(w.o_orderkey) AS BIGINT) AS n, min(w.o_orderkey) AS first, CAST(sum(w.o_orderkey) AS BIGINT) AS total FROM s LEFT JOIN w ON pri = spri AND beg <= send AND sbeg <= "end" GROUP BY ALL')
 def annotate_left_range(spark, sf):
-    met = regions.overlap_join(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "left")
-    return met.groupBy("l_orderkey", "l_linenumber").agg(F.count("o_orderkey").alias("n"), F.min("o_orderkey").alias("first"), F.sum("o_orderkey").alias("total"))
+    out = regions.overlap_totals(shipments(spark, sf), windows(spark, sf), [("spri", "pri")], ("sbeg", "send"), ("beg", "end"), "n", {"total": F.col("o_orderkey")}, {"first": F.col("o_orderkey")})
+    return out.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("total").alias("total"))
 
 
 @register("merge_intervals", WINDOWS + """, m AS (SELECT *, max("end") OVER (PARTITION BY pri ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM w),
