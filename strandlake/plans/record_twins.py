@@ -196,3 +196,36 @@ def format_functions(spark, sf):
     df = f.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("sample"), gt.alias("gt"), F.lit(False).alias("phased"), (F.col("k") % 40).alias("DP")))).alias("samples"))
     df = df.withColumns({"chrom": F.lit("c"), "ref": F.lit("A"), "alt": F.array(F.lit("G"))})
     return df.select(Projector(df).compile("%CHROM:%POS %SUM(FMT/DP) %N_PASS(FMT/DP>10) [%IUPACGT]").alias("line"))
+
+
+#: Insertions and deletions of one to six bases at each part, on the contig of the parts' bases.
+REPEATS = """WITH p AS (SELECT p_partkey + 1 AS pos, substr('ACGT', CAST(p_size % 4 AS INTEGER) + 1, 1) AS base, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE -1 END * CAST(1 + p_partkey % 6 AS INTEGER) AS change, p_size FROM part),
+s AS (SELECT string_agg(base, '' ORDER BY pos) AS seq FROM p), t AS (SELECT pos, change, p_size, substr(seq, pos + 1, 50) AS after FROM p, s WHERE pos < length(seq)),
+u AS (SELECT *, unnest(range(1, 11)) AS k FROM t), c AS (SELECT *, list_max(list_filter(range(1, 51), lambda j: starts_with(after, repeat(substr(after, 1, k), j)))) AS copies FROM u WHERE length(after) >= k),
+b AS (SELECT pos, change, p_size, CAST(max((copies, k))[1] AS INTEGER) AS copies, CAST(max((copies, k))[2] AS INTEGER) AS unit FROM c GROUP BY pos, change, p_size),
+x AS (SELECT *, CASE WHEN unit <= 1 OR copies <= 1 THEN 'none' WHEN change % unit = 0 THEN 'whole' ELSE 'broken' END AS context FROM b) """
+
+
+def indel_context(spark, sf):
+    from strandlake.operators import repeats
+
+    key = F.col("p_partkey")
+    n = (1 + key % 6).cast("int")
+    p = table(spark, sf, "part").select(F.lit("c").alias("chrom"), (key + 1).alias("pos"), letter(F.col("p_size")).alias("base"), (key % 3 == 0).alias("gains"), n.alias("n"), "p_size")
+    more = F.substring(F.lit("ACGTAC"), F.lit(1), F.col("n"))
+    ref = F.when(F.col("gains"), F.col("base")).otherwise(F.concat("base", more))
+    alt = F.when(F.col("gains"), F.concat("base", more)).otherwise(F.col("base"))
+    return repeats.repeat_context(p.select("chrom", "pos", ref.alias("ref"), F.array(alt).alias("alt"), "p_size"), contig(spark, sf))
+
+
+@register("indel_repeat_context", REPEATS + "SELECT pos, change, copies, unit, context FROM x")
+def indel_repeat_context(spark, sf):
+    return indel_context(spark, sf).filter("context IS NOT NULL").select("pos", "change", "copies", "unit", "context")
+
+
+@register("indel_repeat_table", REPEATS + """, g AS (SELECT *, unnest([0.0, 10.0, 30.0]) AS at_least FROM x)
+SELECT at_least::DOUBLE AS at_least, CASE WHEN context = 'none' THEN 0 ELSE unit END AS unit, count(*) FILTER (WHERE context = 'whole' AND change < 0) AS whole_lost, count(*) FILTER (WHERE context = 'broken' AND change < 0) AS broken_lost, count(*) FILTER (WHERE context = 'whole' AND change > 0) AS whole_gained, count(*) FILTER (WHERE context = 'broken' AND change > 0) AS broken_gained, count(*) FILTER (WHERE context = 'none') AS "none" FROM g WHERE p_size >= at_least GROUP BY 1, 2""")
+def indel_repeat_table(spark, sf):
+    from strandlake.operators import repeats
+
+    return repeats.repeat_table(repeats.threshold_grid(indel_context(spark, sf), F.col("p_size"), [0, 10, 30]), "at_least")
