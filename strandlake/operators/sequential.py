@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.session import scratch_path
+
 
 def prune(df: DataFrame, keys: list[str], at: str, n: int, width: int, weight: str | None = None) -> DataFrame:
     """At most n rows in any `width` positions, walking in order: when one comes too many, the row of least weight in the window
@@ -105,10 +107,65 @@ def distinctive_blocks(df: DataFrame, site: str, sample: str, value: str, enough
     return wide.groupBy().applyInPandas(pairs, f"{site} {kind}, new_pairs long, covered long, block long")
 
 
-def cluster_samples(dist: DataFrame, a: str, b: str, d: str, linkage: str = "single", threshold: float | None = None) -> DataFrame:
-    """sample, cluster, height: agglomerative clustering of a table of distances of pairs (samples, not rows of data), cut at the
-    threshold (by default half the greatest distance)."""
+def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", d: str = "d") -> DataFrame:
+    """a, b, d, root: the edges of a least spanning forest, with a name for the tree of each. In every round each tree takes the least edge that
+    leaves it (of equal ones the first by names, so there are no circles), and trees that an edge joins become one; rounds are at most the logarithm
+    of the number of nodes. All rounds are joins and map-side combined aggregations, each a table of its own, so no task holds a
+    tree. Edges from a node to itself, or without a distance, play no part."""
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)) & F.col(d).isNotNull())
+    e = e.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(d).alias("d")).groupBy("a", "b").agg(F.min("d").alias("d"))
+    e = kept(e.select("*", F.col("a").alias("x"), F.col("b").alias("y")), "forest-edges")  # x, y: the trees of its ends
+    taken, trees = None, e.select(F.col("x").alias("node")).unionByName(e.select(F.col("y").alias("node"))).distinct().withColumn("root", F.col("node"))
+    while not e.isEmpty():
+        both = e.unionByName(e.select("a", "b", "d", F.col("y").alias("x"), F.col("x").alias("y")))
+        best = kept(both.groupBy("x").agg(F.min(F.struct("d", "a", "b", "y")).alias("e")).select("x", F.col("e.y").alias("to"), "e.a", "e.b", "e.d"), "forest-best")
+        new = best.select("a", "b", "d").distinct()
+        taken = kept(new if taken is None else taken.unionByName(new), "forest-taken")
+        # two trees that take the same edge point at each other: the lesser is the root; then pointers are followed to their roots
+        back = best.select(F.col("x").alias("to"), F.col("to").alias("back"))
+        up = best.join(back, "to", "left").select("x", F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("to")), F.col("x")).otherwise(F.col("to")).alias("up"))
+        up = kept(up, "forest-up")
+        while True:
+            far = up.select(F.col("x").alias("up"), F.col("up").alias("far"))
+            up = kept(up.join(far, "up", "left").select("x", F.coalesce("far", "up").alias("next"), F.col("up").alias("was")), "forest-up")
+            moved = not up.filter("next <> was").isEmpty()
+            up = up.select("x", F.col("next").alias("up"))
+            if not moved:
+                break
+        trees = kept(trees.join(up.withColumnRenamed("x", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "forest-trees")
+        e = e.join(up.withColumnRenamed("up", "_x"), "x").join(up.select(F.col("x").alias("y"), F.col("up").alias("_y")), "y").filter("_x <> _y")
+        e = e.select("d", "a", "b", F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y"))
+        # of the edges between two trees only the least can ever be taken
+        e = kept(e.groupBy("x", "y").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b", "e.d", "x", "y"), "forest-edges")
+    if taken is None:
+        return trees.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("d"), "root")
+    return taken.join(trees.withColumnRenamed("node", "a"), "a").select("a", "b", "d", "root")
 
+
+def cluster_samples(dist: DataFrame, a: str, b: str, d: str, linkage: str = "single", threshold: float | None = None) -> DataFrame:
+    """sample, cluster (its least name), height (of its last joining): agglomerative clustering of a table of distances of pairs, cut at the threshold
+    (by default half the greatest distance).
+
+    Single linkage is the least spanning forest of the pairs within the threshold, and goes over executors. Complete linkage has no such
+    form: it folds the table of pairs of samples, not rows of data, in one task."""
+    if linkage == "single":
+        limit = threshold if threshold is not None else (dist.agg(F.max(d)).first()[0] or 0) / 2
+        near = spanning_forest(dist.filter(F.col(d) <= limit), a, b, d)
+        tree = near.groupBy("root").agg(F.least(F.min("a"), F.min("b")).alias("cluster"), F.max("d").alias("height"))
+        of = near.select("root", F.explode(F.array("a", "b")).alias("sample")).distinct().join(tree, "root").select("sample", "cluster", F.col("height").cast("double").alias("height"))
+        names = dist.select(F.col(a).alias("sample")).unionByName(dist.select(F.col(b).alias("sample"))).filter("sample IS NOT NULL").distinct()
+        return names.join(of, "sample", "left").select("sample", F.coalesce("cluster", "sample").alias("cluster"), F.coalesce("height", F.lit(0.0)).alias("height"))
+    return _complete_linkage(dist, a, b, d, threshold)
+
+
+def _complete_linkage(dist: DataFrame, a: str, b: str, d: str, threshold: float | None) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*pdf[a], *pdf[b]})
         at = {n: i for i, n in enumerate(names)}
@@ -117,7 +174,6 @@ def cluster_samples(dist: DataFrame, a: str, b: str, d: str, linkage: str = "sin
             m[at[x], at[y]] = m[at[y], at[x]] = v
         groups, height = {i: [i] for i in at.values()}, {i: 0.0 for i in at.values()}
         limit = threshold if threshold is not None else float(np.nanmax(np.where(np.isfinite(m), m, 0))) / 2
-        join = np.minimum if linkage == "single" else np.maximum
         while len(groups) > 1:
             ids = sorted(groups)
             sub = m[np.ix_(ids, ids)]
@@ -126,7 +182,7 @@ def cluster_samples(dist: DataFrame, a: str, b: str, d: str, linkage: str = "sin
             v = m[i, j]
             if not v <= limit:
                 break
-            row = join(m[i], m[j])
+            row = np.maximum(m[i], m[j])
             m[i], m[:, i] = row, row
             groups[i] += groups.pop(j)
             height.update(dict.fromkeys(groups[i], v))

@@ -189,3 +189,17 @@ def gp_hard_calls(spark, sf):
 def pl_from_gl(spark, sf):
     pl = variants.gl_to_pl(F.array(F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100)))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.get(pl, F.lit(0)).alias("p0"), F.get(pl, F.lit(1)).alias("p1"))
+
+
+#: Suppliers of a nation by the difference of their balances: single linkage in one dimension joins neighbours that are near enough.
+LINKED = """WITH o AS (SELECT s_suppkey AS sample, s_nationkey AS nation, s_acctbal AS x FROM supplier), g AS (SELECT *, x - lag(x) OVER (PARTITION BY nation ORDER BY x, sample) AS gap FROM o),
+c AS (SELECT *, sum(CASE WHEN gap <= 900 THEN 0 ELSE 1 END) OVER (PARTITION BY nation ORDER BY x, sample ROWS UNBOUNDED PRECEDING) AS k FROM g), h AS (SELECT *, CASE WHEN gap <= 900 THEN gap END AS inside FROM c)
+SELECT sample, min(sample) OVER (PARTITION BY nation, k) AS cluster, round(coalesce(max(inside) OVER (PARTITION BY nation, k), 0), 2) AS height FROM h WHERE nation IN (SELECT nation FROM o GROUP BY nation HAVING count(*) > 1)"""
+
+
+@register("cluster_single_linkage", LINKED)
+def cluster_single_linkage(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a"), "s_nationkey", F.col("s_acctbal").alias("xa"))
+    t = s.select(F.col("a").alias("b"), "s_nationkey", F.col("xa").alias("xb"))
+    pairs = s.join(t, "s_nationkey").filter("a < b").select("a", "b", F.abs(F.col("xa") - F.col("xb")).alias("d"))
+    return sequential.cluster_samples(pairs, "a", "b", "d", threshold=900.0).withColumn("height", F.round("height", 2))
