@@ -73,8 +73,8 @@ def rename_samples(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def known_frequency(df: DataFrame, af: DataFrame, default: float | None = None) -> DataFrame:
-    """Adds af from a table (chrom, pos, ref, alt, af) where REF and all ALTs are just the same; else the default."""
-    a = af.groupBy(F.col("chrom").alias("_chrom"), F.col("pos").alias("_pos"), F.upper("ref").alias("_ref"), F.upper("alt").alias("_alt")).agg(F.first("af", ignorenulls=True).alias("_af"))
+    """Adds af from a table (chrom, pos, ref, alt, af) where REF and all ALTs are just the same (of several such rows the least); else the default."""
+    a = af.groupBy(F.col("chrom").alias("_chrom"), F.col("pos").alias("_pos"), F.upper("ref").alias("_ref"), F.upper("alt").alias("_alt")).agg(F.min("af").alias("_af"))
     cond = (F.col("chrom") == F.col("_chrom")) & (F.col("pos") == F.col("_pos")) & (F.upper("ref") == F.col("_ref")) & (F.upper(F.array_join("alt", ",")) == F.col("_alt"))
     return df.join(a, cond, "left").withColumn("af", F.coalesce("_af", F.lit(default))).drop("_chrom", "_pos", "_ref", "_alt", "_af")
 

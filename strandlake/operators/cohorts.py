@@ -40,10 +40,12 @@ def ad_bias(long: DataFrame, site: list[str], pairs: DataFrame, threshold: float
 
 
 def shared_subsets(long: DataFrame, site: list[str], samples: list[str]) -> DataFrame:
-    """mask, n: how often just this subset of samples (bit i: samples[i]) shares a genotype at a site."""
+    """mask, n: how often just this subset of samples (bit i: samples[i]; 63 at most) shares a genotype at a site."""
+    if len(samples) > 63:
+        raise ValueError("a mask has room for 63 samples")
     bit = F.create_map(*(F.lit(x) for i, s in enumerate(samples) for x in (s, 1 << i)))
     x = long.filter(~_missing(F.col("gt")) & F.col("sample").isin(samples)).withColumn("g", F.array_sort("gt"))
-    m = x.groupBy(*site, "g").agg(F.sum(bit[F.col("sample")]).alias("mask"))
+    m = x.groupBy(*site, "g").agg(F.bit_or(bit[F.col("sample")]).alias("mask"))
     return m.groupBy("mask").agg(F.count("*").alias("n"))
 
 
