@@ -1,21 +1,27 @@
 """Compression classifier of quality (operator 2).
 
 Two zstandard dictionaries are built, from texts labelled good and from texts labelled bad. A whole text is compressed with
-both, in pieces of `PIECE` bytes (in small pieces a dictionary counts for more than what the text repeats of itself). The
-difference of the two sizes over their sum is all the evidence there is; a logistic curve over this one number, fitted to
-labelled texts that went into neither dictionary, makes it a calibrated probability.
+both, in pieces of `PIECE` bytes (in small pieces a dictionary counts for more than what the text repeats of itself). Runs of one
+repeated word, which any compressor writes in a few bytes whatever its dictionary, are first written as the word and a numbered
+code for each repeat, in the dictionaries' texts as in those scored: only a dictionary that knows such runs makes them short.
+The difference of the two sizes over their sum is all the evidence there is; it becomes a calibrated probability by rising steps
+(isotonic regression) fitted to labelled texts that went into neither dictionary, each label weighted to its share of all labels;
+between steps the score is interpolated, and a twentieth of it is a logistic curve, which keeps the order of texts within a step.
 
 Bounded sample: at most `per_class` labelled rows of each label, those whose hashed ids are smallest, and of these only
 texts up to `longest` characters; dictionaries take every other one, the curve the rest. Scoring reads every whole text,
 however long.
 
-Defined results: a null or empty text has difference nought and the curve's value there; rows without an id are scored and
+Defined results: a null or empty text has difference nought and its score; rows without an id are scored and
 not held out; labels other than 0 and 1 are not used; without texts of both labels the score is the share of label 1
 (one half without any). Repeated rows and texts score alike; an empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -25,7 +31,22 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import map_arrow
 
 LEVEL = 3
-PIECE = 64
+PIECE = 128
+CURVE = 0.05  # the logistic curve's part of a score
+
+REPEATS = re.compile(rb"(?<!\S)(\S{1,64})(\s{1,4})(?:\1\2)+")
+CODES = b"".join(hashlib.md5(b"%d" % k).hexdigest()[:4].upper().encode() for k in range(64))
+
+
+def coded(raw: bytes) -> bytes:
+    """The text with runs of one word (equal separators) as the word and four bytes for each repeat, which differ from repeat to repeat."""
+
+    def codes(m: re.Match) -> bytes:
+        one = len(m[1]) + len(m[2])
+        n = 4 * ((m.end() - m.start()) // one - 1)
+        return m[1] + m[2] + (CODES * (n // len(CODES) + 1))[:n]
+
+    return REPEATS.sub(codes, raw)
 
 
 def held_out(id_col: str, folds: int = 5) -> F.Column:
@@ -55,14 +76,15 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 class Model:
-    """Two dictionaries, and slope and offset of the curve; without a slope the offset is the score."""
+    """Two dictionaries, the rising steps (differences and their shares of label 1), and slope and offset of the curve; without a
+    slope the offset is the score."""
 
-    def __init__(self, good: bytes, bad: bytes, slope: float | None = None, offset: float = 0.5):
-        self.good, self.bad, self.slope, self.offset = good, bad, slope, offset
+    def __init__(self, good: bytes, bad: bytes, slope: float | None = None, offset: float = 0.5, steps: tuple[np.ndarray, np.ndarray] | None = None):
+        self.good, self.bad, self.slope, self.offset, self.steps = good, bad, slope, offset, steps
         self._by = None
 
     def __getstate__(self):
-        return self.good, self.bad, self.slope, self.offset
+        return self.good, self.bad, self.slope, self.offset, self.steps
 
     def __setstate__(self, x):
         self.__init__(*x)
@@ -77,7 +99,7 @@ class Model:
                 z = zstandard.ZstdCompressionDict(d)
                 z.precompute_compress(LEVEL)
                 self._by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=z, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
-        raw = text.encode("utf-8")
+        raw = coded(text.encode("utf-8"))
         n = -(-len(raw) // PIECE)
         cuts = [len(raw) * i // n for i in range(n + 1)]
         good, bad = (sum(len(c(raw[a:b])) for a, b in zip(cuts, cuts[1:])) for c in self._by)
@@ -88,7 +110,21 @@ class Model:
         x = np.asarray(x, float)
         if self.slope is None:
             return np.full(len(x), self.offset)
-        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -30, 30)))
+        smooth = 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -30, 30)))
+        return smooth if self.steps is None else (1 - CURVE) * np.interp(x, *self.steps) + CURVE * smooth
+
+
+def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression of y on x: ends of the steps, and their weighted means. Equal values are one step."""
+    at, where = np.unique(x, return_inverse=True)
+    steps: list[list[float]] = []
+    for v, hit, n in zip(at, np.bincount(where, y * weight), np.bincount(where, weight)):
+        steps.append([hit, n, v, v])
+        while len(steps) > 1 and steps[-2][0] * steps[-1][1] >= steps[-1][0] * steps[-2][1]:
+            hit_, n_, _, end = steps.pop()
+            steps[-1] = [steps[-1][0] + hit_, steps[-1][1] + n_, steps[-1][2], end]
+    ends = [(v, hit / n) for hit, n, first, last in steps for v in ((first,) if first == last else (first, last))]
+    return np.array([v for v, _ in ends]), np.array([p for _, p in ends])
 
 
 def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -113,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     of = {k: [t.encode("utf-8") for t, y in sample if y == k] for k in (0, 1)}
     if not of[0] or not of[1]:
         return Model(b"\0" * 8, b"\0" * 8, None, len(of[1]) / len(sample) if sample else 0.5)
-    built = {k: of[k][::2] for k in of}
+    built = {k: [coded(t) for t in of[k][::2]] for k in of}
     m = Model(dictionary(built[1], dictionary_bytes), dictionary(built[0], dictionary_bytes))
     rest = {k: of[k][1::2] or of[k] for k in of}
     x = np.array([m.difference(t.decode("utf-8")) for k in (0, 1) for t in rest[k]])
@@ -123,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.filter(F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(label_col).cast("int").alias("k")).count().filter("k IN (0, 1)").collect()
     share = {r["k"]: r["count"] for r in known}
     m.offset += np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    m.steps = rising(x, y, np.where(y == 1, share[1] / y.sum(), share[0] / (len(y) - y.sum())))
     return m
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -166,18 +167,36 @@ def test_top_k(spark):
 
 
 def test_scores_are_those_of_plain_sizes(spark):
-    """Difference, score and prediction of every row from compressed sizes taken here, and the curve as the best of its kind."""
+    """Difference, score and prediction of every row from compressed sizes taken here, runs of a word found by a plain loop, and the
+    curve as the best of its kind."""
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(1, 150)))
     bad = lambda: "".join(rng.choice("xyz#$%") for _ in range(rng.randint(1, 600)))
-    rows = [(i, good() if i % 4 else bad(), int(i % 4 > 0)) for i in range(200)] + [(900, "", None), (901, None, None), (902, "alpha beta " * 50_000, None)]
+    rows = [(i, good() if i % 4 else bad(), int(i % 4 > 0)) for i in range(200)] + [(900, "", None), (901, None, None), (902, "alpha beta " * 50_000, None), (903, "so so so  so so\nso so", None), (904, "gamma " * 30_000, None)]
     docs = spark.createDataFrame([Row(doc_id=i, text=t) for i, t, _ in rows])
     labels = spark.createDataFrame([Row(doc_id=i, quality=y) for i, _, y in rows if y is not None])
     m = compression_quality.fit(docs, labels)
     coders = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (m.good, m.bad)]
 
+    def runs(raw):
+        out, i, space = [], 0, b" \t\n\r\f\v"
+        while i < len(raw):
+            if raw[i] not in space and (i == 0 or raw[i - 1] in space):
+                j = next((k for k in range(i, len(raw)) if raw[k] in space), len(raw))
+                e = next((k for k in range(j, len(raw)) if raw[k] not in space), len(raw))
+                one, n = raw[i:e], 0
+                while 0 < e - j <= 4 and j - i <= 64 and raw[e + n * len(one) : e + (n + 1) * len(one)] == one:
+                    n += 1
+                if n:
+                    out += [one, *(compression_quality.CODES[4 * (k % 64) : 4 * (k % 64) + 4] for k in range(n))]
+                    i = e + n * len(one)
+                    continue
+            out.append(raw[i : i + 1])
+            i += 1
+        return b"".join(out)
+
     def plain(text):
-        raw = (text or "").encode()
+        raw = runs((text or "").encode())
         n = -(-len(raw) // compression_quality.PIECE)
         parts = [raw[len(raw) * k // n : len(raw) * (k + 1) // n] for k in range(n)]
         g, b = (sum(len(c.compress(p)) for p in parts) for c in coders)
@@ -186,7 +205,8 @@ def test_scores_are_those_of_plain_sizes(spark):
     got = {r.doc_id: r for r in compression_quality.score_texts(docs, m, threshold=0.3).collect()}
     for i, t, _ in rows:
         assert got[i].difference == pytest.approx(plain(t), abs=1e-12)
-        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(m.slope * plain(t) + m.offset))), abs=1e-9)
+        smooth = 1 / (1 + np.exp(-(m.slope * plain(t) + m.offset)))
+        assert got[i].score == pytest.approx(0.95 * np.interp(plain(t), *m.steps) + 0.05 * smooth, abs=1e-9)
         assert got[i].predicted == (got[i].score >= 0.3)
     assert m.slope > 0 and got[900].score == got[901].score
     x, y = np.array([plain(t) for _, t, q in rows if q is not None]), np.array([q for *_, q in rows if q is not None], float)
@@ -196,6 +216,32 @@ def test_scores_are_those_of_plain_sizes(spark):
     assert all(loss(slope, offset) <= loss(slope * u, offset + v) + 1e-3 for u in (0.9, 1, 1.1) for v in (-0.2, 0, 0.2))
 
 
+def test_rising_steps():
+    """Steps against the largest of the smallest means of all stretches."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 40):
+        x, y, w = rng.integers(0, 25, n) / 10, rng.integers(0, 2, n).astype(float), rng.uniform(0.1, 3, n)
+        at = np.unique(x)
+        mean = lambda a, b: np.average(y[(x >= a) & (x <= b)], weights=w[(x >= a) & (x <= b)])
+        want = [max(min(mean(a, b) for b in at if b >= v) for a in at if a <= v) for v in at]
+        assert np.interp(at, *compression_quality.rising(x, y, w)) == pytest.approx(want)
+
+
+def test_errors_at_the_threshold(spark):
+    """On held-out labelled rows of the given tables: error rates where documents are rejected, Brier score, order."""
+    if not os.path.isdir("/root/testdata/sf0.1"):
+        pytest.skip("no tables here")
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    m = compression_quality.fit(docs, labels)
+    held = docs.join(labels, "doc_id").filter(compression_quality.held_out("doc_id"))
+    out = compression_quality.score_texts(held, m).join(labels, "doc_id").toPandas()
+    bad, good = out[out.quality == 0], out[out.quality == 1]
+    assert len(bad) > 100 and len(good) > 600
+    assert bad.predicted.mean() < 0.06 and good.predicted.mean() > 0.99
+    assert ((out.score - out.quality) ** 2).mean() < 0.01
+    assert (bad.score.to_numpy()[:, None] < good.score.to_numpy()).mean() > 0.99
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(4)
     words = ["alpha", "beta", "gamma", "delta", "house", "river", "light", "stone"]
