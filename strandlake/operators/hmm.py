@@ -267,8 +267,8 @@ def _sites(df: DataFrame, keys: list[str], at: str, more: list[str], width: int)
     return x.withColumn("_pack", F.pmod(F.xxhash64("_key", "_tile"), F.lit(packs))), packs
 
 
-def decode(df: DataFrame, keys: list[str], at: str, emissions: list[str], transition: list[list[float]], init: list[float], crossover: str | None = None, width: int = WIDTH) -> DataFrame:
-    """keys, at, state, prob (of that state): the likeliest path of each group, and how sure its states are. emissions: a column for
+def decode(df: DataFrame, keys: list[str], at: str, emissions: list[str], transition: list[list[float]], init: list[float], crossover: str | None = None, width: int = WIDTH, every: bool = False) -> DataFrame:
+    """keys, at, state, prob (of that state; every: also probs, of all states): the likeliest path of each group, and how sure its states are. emissions: a column for
     each state. crossover: a column with the factor (at most 1) for changes of state since the site before.
 
     A group is cut into tiles of `width` positions. Each tile is summed up by two small matrices (the best ways, and all ways, from the states of
@@ -308,7 +308,7 @@ def decode(df: DataFrame, keys: list[str], at: str, emissions: list[str], transi
     of_tile = decoded.filter("first IS NOT NULL").select("_key", "_tile", "first").join(incoming.select("_key", "_tile", "seam", "last"), ["_key", "_tile"])
     end = of_tile.groupBy("_key").applyInPandas(ends, "_key long, _tile long, end int")
     state = F.get("paths", F.col("end"))
-    return decoded.join(end, ["_key", "_tile"]).select(*keys, F.col("_at").cast(df.schema[at].dataType).alias(at), state.alias("state"), F.get("post", state).alias("prob"))
+    return decoded.join(end, ["_key", "_tile"]).select(*keys, F.col("_at").cast(df.schema[at].dataType).alias(at), state.alias("state"), F.get("post", state).alias("prob"), *([F.col("post").alias("probs")] if every else []))
 
 
 def train(df: DataFrame, keys: list[str], at: str, emissions: list[str], transition: list[list[float]], init: list[float], rounds: int = 20, least: float = 1e-4, width: int = WIDTH) -> list[list[float]]:
