@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from strandlake.plans import aggregates, block_twins, calling_twins, filters, genotype_twins, haplotype_twins, joins, record_twins, run_twins, site_reports, streams, variant_twins  # noqa: E402,F401  (they register their queries)
+from strandlake.plans import aggregates, block_twins, calling_twins, filters, genotype_twins, haplotype_twins, joins, record_twins, run_twins, segment_twins, site_reports, streams, variant_twins  # noqa: E402,F401  (they register their queries)
