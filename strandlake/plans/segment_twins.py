@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandlake.operators import copy_number, hmm, sharing, site_noise
+from strandlake.operators import copy_number, hmm, peak_fit, sharing, site_noise
 from strandlake.plans import register
 from strandlake.session import table
 
@@ -109,3 +109,16 @@ def noise(spark, sf):
     x = table(spark, sf, "lineitem").select(F.lit("c").alias("chrom"), F.col("l_partkey").alias("pos"), F.lit("A").alias("ref"), alt.alias("alt"), (F.col("l_quantity") % 9).alias("n_ref"), (F.col("l_linenumber") % 4).alias("n_alt"), (F.col("l_orderkey") % 5).alias("batch"))
     whole = site_noise.merged([site_noise.profile(x.filter(F.col("batch") == k), bins=BINS) for k in range(5)], BINS)
     return site_noise.scores(whole, bins=BINS).select("pos", "alt", "n", F.round("score", 6).alias("score"))
+
+
+@register("share_histograms", f"SELECT p_brand, {', '.join(f'count(*) FILTER (least(p_size * 7 % 101 * 20 // 100, 19) = {k}) AS h{k}' for k in range(20))} FROM part WHERE p_size % 17 <> 0 GROUP BY p_brand")
+def share_histograms(spark, sf):
+    x = table(spark, sf, "part").select("p_brand", F.when(F.col("p_size") % 17 != 0, (F.col("p_size") * 7 % 101) / 100.0).alias("baf"))
+    return peak_fit.histograms(x, ["p_brand"], bins=20).select("p_brand", *(F.get("hist", F.lit(k)).alias(f"h{k}") for k in range(20)))
+
+
+@register("peak_copies")
+def peak_copies(spark, sf):
+    """Copies of each brand's parts, by shares that scatter about one half or two thirds."""
+    x = table(spark, sf, "part").select("p_brand", ((F.col("p_size") % 7 + F.col("p_size") % 11 + F.col("p_size") % 13) / 30.0).alias("baf"))
+    return peak_fit.peak_copies(x, ["p_brand"], bins=50).select("p_brand", "copies", F.round("fraction", 4).alias("fraction"), "sites")
