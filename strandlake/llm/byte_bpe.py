@@ -7,8 +7,8 @@ doubling, gives the state before each character; a table of (symbol, state) says
 compositions are constant after two doublings, so the scan ends early. Each document begins in its own start state,
 however many documents are scanned at once.
 
-The slices between boundaries go through pair merging (a heap over a linked list, so a long slice costs n log n), cached
-by slice with a bounded cache. Offsets of every token are kept, and decoding copies the bytes of every id to its offset.
+The slices between boundaries go through pair merging: those not met lately together, a row for each and a step at a time,
+long ones by a heap over a linked list, n log n in the length. A bounded number of slices is kept with their ids. Offsets of every token are kept, and decoding copies the bytes of every id to its offset.
 
 Nulls and empty texts have no tokens; very long texts, and slices without a boundary in them, are encoded whole; repeated rows give
 equal results; an empty table gives an empty one; other columns play no part.
@@ -20,6 +20,7 @@ import base64
 import hashlib
 import heapq
 import os
+import sys
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -29,7 +30,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from strandlake.llm.common import Recent, map_arrow
+from strandlake.llm.common import map_arrow
 
 # The characters with the property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -42,8 +43,11 @@ START, GAP, BLANK, LETTER, NUMBER, OTHER, C2, C1, DONE = range(9)
 # Symbols. A space is LAST if it ends its run and something follows; FIRST_* is the first character of a document.
 SPACE, SPACE_LAST, WHITE, WHITE_LAST, ALPHA, DIGIT, ELSE, SHORT, LONG = range(9)
 N_SYMBOLS = 9
-CHUNK = 1 << 20  # characters scanned at once
+CHUNK = 1 << 18  # characters scanned at once
 DECODE = 1 << 16  # ids decoded at once
+KEPT = 100_000  # slices of a generation
+WIDE, TOGETHER = 64, 1 << 14  # bytes of the longest slice that is merged in a row, and rows merged at once
+NONE = np.iinfo(np.int32).max  # no token
 
 
 def _step(symbol: int, state: int) -> int:
@@ -149,30 +153,27 @@ def token_starts(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 class Ranks:
-    """Ranks of a byte-level vocabulary, with a bounded cache of merged slices (ids, and ids as text)."""
+    """Ranks of a byte-level vocabulary, with the ids of slices met lately. Those are kept in two generations: when the young one
+    holds KEPT slices it becomes the old one, so what a worker keeps between tasks is bounded."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks.keys()))
-        self.trie: dict = {}  # bytes lead to nodes; -1 marks a token's end
-        for t in self.ranks:
-            node = self.trie
-            for x in t:
-                node = node.setdefault(x, {})
-            node[-1] = node
-        self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.most = max(self.bytes_of) + 1
+        self.lengths = np.zeros(self.most, np.int64)
         for i, t in self.bytes_of.items():
             self.lengths[i] = len(t)
-        self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.lengths))), np.uint8)
+        self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(self.most)), np.uint8)
         self.begin = np.cumsum(self.lengths) - self.lengths
-        self.cache = Recent(self._entry)
-        self.pairs = Recent(self.stays)
-        self.prefixes = Recent(self.shorter)
-
-    def _entry(self, piece: bytes) -> tuple[list[int], str]:
-        ids = self.merged(piece) if len(piece) < 500 else self.merged_long(piece)
-        return ids, ",".join(map(str, ids))
+        self.decimal = list(map(str, range(self.most)))
+        self.single = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+        # two tokens side by side, as one number, and the token they give; the greatest number stands behind the last
+        get = self.ranks.get
+        pairs = sorted((x * (self.most + 1) + y, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (x := get(t[:k])) is not None and (y := get(t[k:])) is not None)
+        self.pairs = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.gives = np.array([i for _, i in pairs] + [NONE], np.int32)
+        self.young, self.old = {}, {}
 
     def plain(self, piece: bytes) -> list[bytes]:
         """Merges the adjacent pair of lowest rank, leftmost first, until none is in the vocabulary."""
@@ -189,41 +190,87 @@ class Ranks:
                 pairs[i - 1] = get(parts[i - 1] + parts[i], none)
         return parts
 
-    def stays(self, pair: tuple[bytes, bytes]) -> bool:
-        """Whether merging leaves two tokens side by side as they are; kept in self.pairs."""
-        return self.plain(pair[0] + pair[1]) == [*pair]
-
-    def shorter(self, token: bytes) -> bytes | None:
-        """The longest token that begins this one; kept in self.prefixes."""
-        return next((token[:i] for i in range(len(token) - 1, 0, -1) if token[:i] in self.ranks), None)
+    def encoded(self, group: list[list[bytes]]) -> Iterator[np.ndarray]:
+        """Ids of each list of slices; slices that are not kept are merged together."""
+        if len(self.young) >= KEPT:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        flat = list(chain.from_iterable(group))
+        found = list(map(young.get, flat))
+        at = [i for i, x in enumerate(found) if x is None]
+        missing = set(map(flat.__getitem__, at))
+        young.update([(x, old[x]) for x in missing if x in old])
+        new = [x for x in missing if x not in old]
+        young.update(zip(new, self.merged_all(new)))
+        for i in at:
+            found[i] = young[flat[i]]
+        for x in new:
+            if len(x) > WIDE:
+                del young[x]
+        i = 0
+        for slices in group:
+            yield np.frombuffer(b"".join(found[i : i + len(slices)]), np.int32)
+            i += len(slices)
 
     def merged(self, piece: bytes) -> list[int]:
-        """What merging gives, put together from kept results for pairs: tokens side by side are the result just if each
-        adjacent pair stays under merging. The longest token is tried first; a place that leads nowhere is not tried again."""
-        ranks = self.ranks
-        if (r := ranks.get(piece)) is not None:
-            return [r]
-        n, tokens, at, dead = len(piece), [], 0, set()
-        pairs, prefixes, trie = self.pairs, self.prefixes, self.trie
-        while at < n:
-            node, i, stop = trie, at, at
-            while i < n and (node := node.get(piece[i])) is not None:
-                i += 1
-                if -1 in node:
-                    stop = i
-            token = piece[at:stop]
-            while True:
-                if at + len(token) not in dead and (not tokens or pairs[tokens[-1], token]):
-                    tokens.append(token)
-                    at += len(token)
-                    break
-                token = prefixes[token]
-                while token is None:
-                    dead.add(at)
-                    last = tokens.pop()
-                    at -= len(last)
-                    token = prefixes[last]
-        return [ranks[t] for t in tokens]
+        return np.frombuffer(self.merged_all([piece])[0], np.int32).tolist()
+
+    def merged_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as the bytes of 32-bit numbers: whole tokens as they are, pieces of up to WIDE bytes many at a time
+        beside those of about their length, longer ones by a heap."""
+        out: list[bytes] = [b""] * len(pieces)
+        by_width: dict[int, list[int]] = {}
+        for i, x in enumerate(pieces):
+            if (r := self.ranks.get(x)) is not None:
+                out[i] = r.to_bytes(4, sys.byteorder)
+            elif len(x) <= WIDE:
+                by_width.setdefault(-(-len(x) // 4), []).append(i)
+            else:
+                out[i] = np.array(self.merged_long(x), np.int32).tobytes()
+        for at in by_width.values():
+            for k in range(0, len(at), TOGETHER):
+                for i, x in zip(at[k : k + TOGETHER], self.merged_rows([pieces[i] for i in at[k : k + TOGETHER]])):
+                    out[i] = x
+        return out
+
+    def given(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that each two tokens side by side give, or NONE."""
+        key = left * np.int64(self.most + 1) + right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.gives[at], NONE)
+
+    def merged_rows(self, pieces: list[bytes]) -> list[bytes]:
+        """Merges the adjacent pair of lowest rank, leftmost first, in a row for each piece, all rows a step at a time until they are
+        done. A token stands where its first byte does; `most`, which pairs with nothing, stands after the last one, and so before
+        the next row's first."""
+        size = np.array(list(map(len, pieces)))
+        rows, width = len(pieces), int(size.max()) + 1
+        there = (np.arange(width) < size[:, None]).ravel()
+        token = np.full(rows * width, self.most, np.int64)
+        token[there] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        if token.min() < 0:
+            raise KeyError("a byte is not in the vocabulary")
+        after, before = np.arange(1, rows * width + 1), np.arange(-1, rows * width - 1)
+        rank = np.full((rows, width), NONE, np.int32)
+        low = rank.ravel()
+        heads = np.flatnonzero(there)
+        low[heads] = self.given(token[heads], token[heads + 1])
+        live = np.arange(rows)
+        while True:
+            at = live * width + rank[live].argmin(1)
+            go = low[at] < NONE
+            live, at = live[go], at[go]
+            if not len(at):
+                break
+            gone = after[at]
+            right, left = after[gone], before[at]
+            token[at] = best = low[at].astype(np.int64)
+            there[gone], low[gone] = False, NONE
+            after[at], before[right] = right, at
+            low[at], low[left] = self.given(best, token[right]), self.given(token[left], best)
+        flat = token[there].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(there.reshape(rows, width).sum(1))).tolist()
+        return [flat[x:y] for x, y in zip([0, *ends], ends)]
 
     def merged_long(self, piece: bytes) -> list[int]:
         """The same by a heap over linked parts, n log n in the length."""
@@ -283,8 +330,8 @@ def resolve(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pre_tokens(texts: list[str | None]) -> Iterator[list[bytes]]:
-    """The slices of each text, in order; texts are scanned together up to CHUNK characters."""
+def pre_tokens(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
+    """The slices of each text, in order, by groups of texts that are scanned together, up to CHUNK characters."""
     i = 0
     while i < len(texts):
         group, size = [], 0
@@ -302,16 +349,15 @@ def pre_tokens(texts: list[str | None]) -> Iterator[list[bytes]]:
         raw = joined.encode("utf-8")
         cuts = at_byte[starts].tolist() + [len(raw)]
         bounds = np.searchsorted(starts, np.append(begin, len(codes))).tolist()
-        for a, b in zip(bounds, bounds[1:]):
-            yield [raw[x:y] for x, y in zip(cuts[a:b], cuts[a + 1 : b + 1])]
+        yield [[raw[x:y] for x, y in zip(cuts[a:b], cuts[a + 1 : b + 1])] for a, b in zip(bounds, bounds[1:])]
 
 
 def encode_texts(texts: list[str | None], vocabulary: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and byte offsets (one more than ids) of each text."""
     r = ranks_at(vocabulary)
-    for slices in pre_tokens(texts):
-        ids = np.array(list(chain.from_iterable([e[0] for e in map(r.cache.__getitem__, slices)])), np.int32)
-        yield ids, r.offsets(ids)
+    for group in pre_tokens(texts):
+        for ids in r.encoded(group):
+            yield ids, r.offsets(ids)
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,17 +393,14 @@ def round_trip_digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def run(batches):
         r = ranks_at(resolve(vocabulary))
-        entry = r.cache.__getitem__
         for b in batches:
             n, by_ids, by_bytes = [], [], []
             for k in range(0, b.num_rows, 512):
-                for slices in pre_tokens(b.column(1).slice(k, 512).to_pylist()):
-                    found = list(map(entry, slices))
-                    ids = np.array(list(chain.from_iterable([e[0] for e in found])), np.int64)
-                    offsets = r.offsets(ids)
-                    n.append(len(ids))
-                    by_ids.append(hashlib.sha256(",".join([e[1] for e in found]).encode()).hexdigest())
-                    by_bytes.append(hashlib.sha256(r.decode(ids, offsets)).hexdigest())
+                for group in pre_tokens(b.column(1).slice(k, 512).to_pylist()):
+                    for ids in r.encoded(group):
+                        n.append(len(ids))
+                        by_ids.append(hashlib.sha256(",".join(map(r.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
+                        by_bytes.append(hashlib.sha256(r.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_bytes, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()

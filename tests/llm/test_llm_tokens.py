@@ -62,6 +62,16 @@ def test_long_and_short_merging_agree():
         assert r.merged(piece) == r.merged_long(piece) == [r.ranks[p] for p in r.plain(piece)]
 
 
+def test_slices_merged_together_do_not_depend_on_what_is_kept(library, monkeypatch):
+    texts = [*TEXTS, *(" ".join(f"wörd{i * k}x{k}" for i in range(40)) + "abc中" * k for k in range(40)), None, " ".join("ab" * k for k in range(60))] * 2
+    want = [library.encode_ordinary(t or "") for t in texts]
+    for kept, wide, together in ((1, 64, 3), (100, 8, 1000), (100_000, 1, 1)):
+        for name, value in (("KEPT", kept), ("WIDE", wide), ("TOGETHER", together), ("CHUNK", 500)):
+            monkeypatch.setattr(byte_bpe, name, value)
+        byte_bpe.ranks_at.cache_clear()
+        assert ids(texts) == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\tabcdetr▁1é中")), st.characters(codec="utf-8")), max_size=40), max_size=6))
 def test_counts_on_any_texts(texts):
