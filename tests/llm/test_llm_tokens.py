@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -72,6 +73,20 @@ def test_slices_merged_together_do_not_depend_on_what_is_kept(library, monkeypat
         assert ids(texts) == want
 
 
+def test_what_a_worker_keeps_is_small():
+    """Workers outlive their tasks and the next operator has the same memory."""
+    path = byte_bpe.resolve(BPE_RANKS)
+    byte_bpe.ranks_at.cache_clear()
+    tracemalloc.start()
+    try:
+        for k in range(0, 160_000, 4_000):
+            for _ in byte_bpe.encode_texts([" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}qx" for i in range(k, k + 4_000))], path):
+                pass
+        assert tracemalloc.get_traced_memory()[0] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\tabcdetr▁1é中")), st.characters(codec="utf-8")), max_size=40), max_size=6))
 def test_counts_on_any_texts(texts):
