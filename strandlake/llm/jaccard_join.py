@@ -4,10 +4,12 @@ The global order of n-grams is that of their hashes; fragments are ranges of it.
 threshold differ in at most d elements, d = (100 - T)(n + m) / (100 + T). Cut into d + 1 fragments, they agree in one of
 them, so whatever shares a fragment is a candidate and nothing else can be a link. How many fragments: sets are put into
 classes of sizes, each as wide as two steps of the threshold; a set takes part in the cutting of its own class and, if it can
-have partners there, of the one below; partners are never further apart. A fragment that is empty says little: for such a one the next fragment goes into
-the key, whole and without each of its elements, since both sets then differ there in one element at most (if e fragments
-are empty in both, the others hold d differences in d + 1 - e fragments that all differ, and so one of the e fragments
-after an empty one differs in one element or none).
+have partners there, of the one below; partners are never further apart. A fragment that is empty says little, so for such a one those after it
+go into the key. As d differences lie in d + 1 fragments, there is a fragment without any after which, going around, the next k hold k at most, for
+every k (were there none, the sums over runs of fragments that each break the rule would exceed d). Where that fragment is empty in both sets, the
+next is taken whole and without each of its elements; where nothing might be left of it, the one after that too, without as many elements
+as the rule still allows, and so on for AFTER fragments. So a key names an n-gram, save those of sets with next to nothing in AFTER + 1 fragments, and
+the sets that share one do not grow in proportion with the table, as those with an empty fragment and nothing in the next do.
 
 Links are counted as the method says: the sets of candidates are cut into fragments, partial overlaps are counted a few
 fragments at a time, and summed for each pair; a pair that what is left could not bring to the threshold is not counted on.
@@ -34,6 +36,8 @@ an empty one; other columns play no part.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -51,6 +55,7 @@ FRAGMENT = 8192  # n-grams of a fragment where blocks meet
 BLOCK, BLOCK_GRAMS = 512, 1 << 19  # sets, and n-grams, of a block
 SKETCH = 256  # ranges of the n-gram order whose elements are counted for each set
 FEW = 128  # sets of a unit whose pairs are taken as they are
+AFTER = 6  # fragments after an empty one that may go into its keys
 LAST = (1 << 63) - 1  # stands for a null id
 
 
@@ -104,12 +109,29 @@ class Cutting:
         full = np.diff(cut) > 0
         out = [mix64(whole[full] ^ tag[full]) & ~np.uint64(1)]
         for f in np.flatnonzero(~full).tolist():
-            g = (f + 1) % n
-            less = np.concatenate([whole[g : g + 1], whole[g] - mixed[cut[g] : cut[g + 1]]])
-            out.append(mix64(mix64(less ^ tag[f]) ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1))
+            most, step, last = 1, 1, min(AFTER, n - 1)  # most: differences that the next fragment may have
+            while True:
+                g, at = (f + step) % n, tag[f : f + 1] if step == 1 else mix64(tag[f : f + 1] + np.uint64(step))
+                part = mixed[cut[g] : cut[g + 1]]
+                if len(part):
+                    out.append(mix64(mix64(left_over(part, whole[g], most) ^ at) ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1))
+                if len(part) > most:
+                    break
+                if step == last:  # nothing to hold on to
+                    out.append(mix64(mix64(at) ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1))
+                    break
+                most, step = most - len(part) + 1, step + 1
         return np.concatenate(out)
 
 
+def left_over(part: np.ndarray, total: np.uint64, most: int) -> np.ndarray:
+    """The sums of all that part, whose sum is total, can be without up to `most` of its elements, but for nothing at all."""
+    out = [np.full(1, total)]
+    for k in range(1, min(most, len(part) - 1) + 1):
+        out.append(total - (part if k == 1 else part[np.array(list(combinations(range(len(part)), k)))].sum(1, dtype=np.uint64)))
+    return np.concatenate(out)
+
+
 def set_pass(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Of each row (id, text, h1, h2): id, h1, h2, the 128-bit hash and size of its set, a sketch (elements in each of SKETCH
     ranges), and its keys by slice of the key space."""
@@ -255,10 +277,9 @@ def block_hints(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return rows.loc[keep, ["unit", "b1", "b2", "block", "node", "n", "label"]]
 
 
-def block_tiles(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """unit, b1, b2, block, node, n, label: pairs of blocks of each unit, with the sets in them that may have a link to a set of
-    another component on the other side. rest: unit, node, n, label. A block holds sets of sizes within a step of the threshold,
-    of one component or of several small ones, and meets those of its own sizes and the next."""
+def placed_in_blocks(rest: DataFrame, percent: int) -> DataFrame:
+    """unit, block, one (the component, if the block holds sets of one only), cls (of sizes), node, n, label. rest: unit, node, n, label. A
+    block holds sets of sizes within a step of the threshold, of one component or of several small ones."""
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent) * 1.0001))
     rest = rest.withColumn("cls", step.cast("int"))
     per = rest.groupBy("unit", "cls", "label").agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
@@ -267,7 +288,12 @@ def block_tiles(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     small = per.filter("NOT big").groupBy("unit", "cls").agg(F.greatest(F.ceil(F.sum("members") / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).alias("packs"))
     placed = rest.join(per.select("unit", "cls", "label", "parts", "big"), ["unit", "cls", "label"]).join(small, ["unit", "cls"], "left")
     block = F.when(F.col("big"), F.xxhash64(F.lit(1), "cls", "label", F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.xxhash64(F.lit(2), "cls", F.pmod(F.xxhash64("node"), "packs")))
-    placed = placed.withColumn("block", block).withColumn("one", F.when(F.col("big"), F.col("label")))
+    return placed.withColumn("block", block).withColumn("one", F.when(F.col("big"), F.col("label"))).select("unit", "block", "one", "cls", "node", "n", "label")
+
+
+def block_tiles(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """unit, b1, b2, block, node, n, label: pairs of blocks of each unit, with the sets in them that may have a link to a set of
+    another component on the other side. A block meets those of its own sizes and the next."""
     blocks = placed.select("unit", "block", "one", "cls").distinct()
     x, y = (blocks.select("unit", F.col("block").alias(f"b{k}"), F.col("one").alias(f"o{k}"), F.col("cls").alias(f"k{k}")) for k in (1, 2))
     meets = x.join(y, "unit").filter("b1 <= b2 AND abs(k1 - k2) <= 1 AND NOT coalesce(o1 = o2, false)").select("unit", "b1", "b2")
@@ -326,9 +352,12 @@ def link_classes(spark: SparkSession, keyed: DataFrame, keyed_path: str, classes
     families = components(spark, met.filter("NOT odd").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("label", "unit")
     told = nodes.join(labels, "node", "left").join(families, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("unit", "node").alias("unit"))
     told, told_path = written(spark, told, "jaccard-told")
+    # tables of their own, so that the join can be split and is done once; rows keep the size of their unit
     open_units = told.groupBy("unit").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    rest = told.join(open_units.filter(F.col("size") <= family).select("unit"), "unit").select("unit", "node", "n", "label")
-    wide = told.join(open_units.filter(F.col("size") > family).select("unit"), "unit").select("node", "n", "label")
+    open_units, units_path = written(spark, open_units.select("unit", "size"), "jaccard-units")
+    opened, opened_path = written(spark, told.join(open_units, "unit").select("unit", "size", "node", "n", "label"), "jaccard-open")
+    rest = opened.filter(F.col("size") <= family)
+    wide = opened.filter(F.col("size") > family).select("node", "n", "label")
     # odd keys join what has little in common; their groups are units of their own, as are all groups of too large a family
     inner = members.filter("key % 2 <> 0").select("key", "node").join(told.select("node", "n", "label"), "node")
     inner = inner.unionByName(members.filter("key % 2 = 0").select("key", "node").join(wide, "node"))
@@ -337,21 +366,21 @@ def link_classes(spark: SparkSession, keyed: DataFrame, keyed_path: str, classes
     if not inner.isEmpty():
         # groups of the same members are one unit
         unit = F.xxhash64(F.lit(3), F.count("*"), F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(5), "node")))
-        mixed = inner.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), unit.alias("unit")).filter("lo < hi")
-        mixed, mixed_path = written(spark, mixed.groupBy("unit").agg(F.min("key").alias("key")), "jaccard-mixed")
+        mixed = inner.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), unit.alias("unit")).filter("lo < hi")
+        mixed, mixed_path = written(spark, mixed.groupBy("unit").agg(F.min_by(F.struct("key", "size"), "key").alias("k")).select("unit", "k.key", "k.size"), "jaccard-mixed")
         gone.append(mixed_path)
-        rest = rest.unionByName(inner.join(mixed, "key").select("unit", "node", "n", "label"))
+        rest = rest.unionByName(inner.join(mixed, "key").select("unit", "size", "node", "n", "label"))
     rest, rest_path = written(spark, rest, "jaccard-rest")
-    remove(spark, members_path, met_path, told_path, inner_path, hubs_path)
+    remove(spark, members_path, met_path, told_path, units_path, opened_path, inner_path, hubs_path)
     gone.append(rest_path)
     if not rest.isEmpty():
         # units of a few sets: their pairs, which are fewer than FEW times the rows; larger ones: blocks
-        size = rest.groupBy("unit").agg(F.count("*").alias("size"))
-        few = rest.join(size.filter(F.col("size") <= FEW).select("unit"), "unit").join(nodes.select("node", "sketch"), "node")
+        few = rest.filter(F.col("size") <= FEW).drop("size").join(nodes.select("node", "sketch"), "node")
         packs = few.withColumn("pack", F.pmod(F.xxhash64("unit"), F.lit(max(1, rest.count() // 4096))))
         small = packs.groupBy("pack").applyInPandas(lambda pdf: pairs_in_units(pdf, percent), "a bigint, b bigint").distinct()
         small, small_path = written(spark, small.join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
-        large, large_path = written(spark, block_tiles(rest.join(size.filter(F.col("size") > FEW).select("unit"), "unit"), nodes, percent), "jaccard-tiles")
+        placed, placed_path = written(spark, placed_in_blocks(rest.filter(F.col("size") > FEW).drop("size"), percent), "jaccard-placed")
+        large, large_path = written(spark, block_tiles(placed, nodes, percent), "jaccard-tiles")
         want = [f.select(F.col(c).alias("node")) for f, c in ((small, "a"), (small, "b"), (large, "node"))]
         # sets of blocks are made again even where they are known: the table that blocks are read from stays small
         have = sets.select("node", F.lit(True).alias("has"))
@@ -359,7 +388,7 @@ def link_classes(spark: SparkSession, keyed: DataFrame, keyed_path: str, classes
         want = want.groupBy("node").agg(F.max("tile").alias("tile")).join(have, "node", "left").withColumn("known", F.coalesce("has", F.lit(False))).filter("tile OR NOT known")
         more_sets, more_path = written(spark, fragment_pass(texts, nodes.join(want, "node").select("node", "known", "h1", "h2"), n), "jaccard-sets")
         more = linked(spark, small, sets.unionByName(more_sets.filter("NOT known")), percent)
-        gone += [small_path, large_path, more_path]
+        gone += [small_path, placed_path, large_path, more_path]
         if not large.isEmpty():  # a job of its own: what the first has shuffled is gone by then
             crossed, _ = written(spark, compared_in_blocks(large, more_sets, percent), "jaccard-links")
             more = more.unionByName(crossed)

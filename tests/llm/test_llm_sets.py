@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -121,6 +122,65 @@ def test_one_row_of_each_component_stays(spark, docs, n, percent):
     assert jaccard_join.one_of_each_group(df.limit(0), n, percent).count() == 0
 
 
+def rows_of_joins(spark, on):
+    """Output rows of all joins so far whose keys are columns named `on` on both sides and that have no further condition."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, out = spark._jsparkSession.sharedState().statusStore(), {}
+    runs = store.executionsList()
+    for i in range(runs.size()):
+        k = runs.apply(i).executionId()
+        nodes, values = store.planGraph(k).allNodes(), store.executionMetrics(k)
+        for j in range(nodes.size()):
+            node = nodes.apply(j)
+            if re.match(rf"\w+Join(\(skew=true\))? \[{on}#\d+L?\], \[{on}#\d+L?\], Inner(, Build\w+, false)?$", node.desc()):
+                for m in (node.metrics().apply(x) for x in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        out[k, m.accumulatorId()] = int(values.apply(m.accumulatorId()).replace(",", ""))
+    return sum(out.values())
+
+
+def test_a_set_is_joined_by_its_unit_once(spark):
+    # one family of texts that share fragments and are not linked
+    rng = random.Random(9)
+    base, texts = rng.choices(VOCABULARY, k=300), []
+    for _ in range(40):
+        ws = list(base)
+        for at in rng.sample(range(300), 12):
+            ws[at] = rng.choice(VOCABULARY)
+        texts.append(" ".join(ws))
+    before = rows_of_joins(spark, "unit")
+    jaccard_join.near_duplicates(frame(spark, list(enumerate(texts))), 5, 80).collect()
+    assert 0 < rows_of_joins(spark, "unit") - before <= len(texts)
+
+
+def test_sets_with_little_in_common_share_no_key():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    cut = jaccard_join.Cutting(80)
+    sets = [np.unique(rng.integers(0, 2**64 - 1, 150, dtype=np.uint64)) for _ in range(4000)]
+    assert np.unique(np.concatenate([cut.keys(s) for s in sets]), return_counts=True)[1].max() <= 3
+    # nor is a link lost of sets that differ in one element of every fragment but those that are empty in both
+    odd, cut = 0, jaccard_join.Cutting(60)
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 2**64 - 1, int(rng.integers(4, 60)), dtype=np.uint64))
+        n = cut.fragments[cut.scheme(len(a))]
+        part = (a >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        gone, more = [], []
+        for f in np.unique(part).tolist():
+            if rng.random() < 0.5:
+                gone.append(int(rng.choice(np.flatnonzero(part == f))))
+            else:
+                more.append((f << 64) // n + int(rng.integers(1, 2**40)))
+        b = np.unique(np.concatenate([np.delete(a, gone), np.array(more, np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 60 * (len(a) + len(b) - common):
+            shared = np.intersect1d(cut.keys(a), cut.keys(b))
+            assert len(shared)
+            odd += bool((shared & np.uint64(1)).all())
+    assert odd > 50
+
+
 def test_keys_meet_whenever_sets_are_linked():
     import numpy as np
 
