@@ -116,5 +116,8 @@ def dosage_mask(gt: Column) -> Column:
 
 
 def ld(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """n and r2 of two dosage columns by group."""
-    return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.pow(F.corr(x, y), 2).alias("r2"))
+    """n and r2 of two dosage columns by group; NaN where one of them does not vary, null where no row has both."""
+    there = F.when(F.col(x).isNotNull(), F.col(y))
+    # corr stops with a division by zero where a column does not vary; regr_r2 is null for x, and 1 for y
+    r2 = F.when(F.min(there) == F.max(there), float("nan")).when(F.min(there).isNotNull(), F.coalesce(F.regr_r2(y, x), F.lit(float("nan"))))
+    return pairs.groupBy(*keys).agg(F.count("*").alias("n"), r2.alias("r2"))

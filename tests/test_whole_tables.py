@@ -107,3 +107,14 @@ def test_places_of_all_orders(spark, tmp_path):
     want = sorted(orders, key=lambda o: (-o["o_orderdate"].toordinal(), o["o_orderkey"]))
     rows = [(r.o_orderkey, r.place) for r in plans.queries()["sort_multi_key_all"](spark, str(tmp_path)).collect()]
     assert rows == [(o["o_orderkey"], i + 1) for i, o in enumerate(want)]
+
+
+def test_ld_of_parts_without_spread(spark, tmp_path):
+    """Quantities that are all the same have no correlation: NaN, as in SQL."""
+    q = {7: [4, 4, 4, 4, 4, 4], 8: [1, 2, 3, 4, 5, 6], 9: [2, 2, 2, 2, 2, 2], 11: [3, 1, 2, 6, 5, None]}
+    lines = [(p, s, None if v is None else float(v)) for p, vs in q.items() for s, v in enumerate(vs)] + [(12, s, 1.0) for s in range(4)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = {(r.x, r.y): (r.n, r.r2) for r in plans.queries()["ld_pairs"](spark, str(tmp_path)).collect()}
+    assert set(rows) == {(7, 8), (7, 9), (8, 9), (8, 11), (9, 11)} and all(n == 6 for n, _ in rows.values())
+    assert all((r2 != r2) == (7 in k or 9 in k) for k, (_, r2) in rows.items())
+    assert rows[8, 11][1] == pytest.approx(correlation([1, 2, 3, 4, 5], [3, 1, 2, 6, 5]) ** 2, abs=1e-6)
