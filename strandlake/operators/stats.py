@@ -115,6 +115,22 @@ def _types(df: DataFrame) -> DataFrame:
     return df.withColumn("_types", F.array_distinct(F.transform("alt", lambda a: M.variant_type(F.col("ref"), a))))
 
 
+def fisher_tests(df: DataFrame, a: str, b: str, c: str, d: str, name: str = "p", block: int = 1 << 14) -> DataFrame:
+    """Rows of df, no two of them equal, with the two-sided exact test of the table in four of their columns (M.fisher_exact), for counts of any size: the
+    tables with the same margins go to the tasks a block at a time, as rows."""
+    r, s, n = F.col(a) + F.col(b), F.col(a) + F.col(c), F.col(a) + F.col(b) + F.col(c) + F.col(d)
+    x = df.withColumn("_r", r).withColumn("_s", s).withColumn("_n", n).withColumn("_base", M.fisher_margins(r, s, n))
+    r, s, n, base = (F.col(f"_{m}") for m in ("r", "s", "n", "base"))
+    lo, hi = F.greatest(F.lit(0), r + s - n).cast("long"), F.least(r, s).cast("long")
+    x = x.withColumn("_hi", hi).withColumn("_own", base - M.fisher_cells(F.col(a), r, s, n)).withColumn("_lo", F.explode(F.sequence(lo, hi, F.lit(block).cast("long"))))
+    # the number of partitions is given: blocks are small rows, which would be put into one task again
+    x = x.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = x.withColumn("_k", F.explode(F.sequence("_lo", F.least(F.col("_lo") + (block - 1), F.col("_hi")))))
+    x = x.select(*df.columns, "_own", (base - M.fisher_cells(F.col("_k"), r, s, n)).alias("_lp"))
+    p = F.sum(F.when(F.col("_lp") <= F.col("_own") + 1e-7, F.exp("_lp")))
+    return x.groupBy(*df.columns).agg(F.least(F.lit(1.0), p).alias(name))
+
+
 def summary(df: DataFrame, *by: str) -> DataFrame:
     """Records, those without ALT, with SNPs, MNPs, indels and others (a row counts once in each), with several ALTs, and with several
     that are all SNPs; for each group of `by`, such as the set of files that hold a record."""

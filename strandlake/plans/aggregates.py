@@ -129,7 +129,7 @@ def fisher_2x2(spark, sf):
     g = table(spark, sf, "lineitem").groupBy(F.year("l_shipdate").alias("y"))
     n = lambda a, b: F.count_if((F.col("l_returnflag") == a) & (F.col("l_discount") < 0.05) if b else (F.col("l_returnflag") == a) & (F.col("l_discount") >= 0.05))
     t = g.agg(n("A", True).alias("a"), n("A", False).alias("b"), n("R", True).alias("c"), n("R", False).alias("d"))
-    return t.select("y", "a", "b", "c", "d", F.round(M.fisher_exact(F.col("a"), F.col("b"), F.col("c"), F.col("d")), 6).alias("p"))
+    return stats.fisher_tests(t, "a", "b", "c", "d").withColumn("p", F.round("p", 6))
 
 
 @register("binom_test", """WITH t AS (SELECT p_brand, count(*) FILTER (p_size <= 25) AS a, count(*) FILTER (p_size > 25) AS b FROM part GROUP BY 1), k AS (SELECT *, unnest(range(least(a, b) + 1)) AS k FROM t)

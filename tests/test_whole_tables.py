@@ -9,6 +9,7 @@ from statistics import correlation
 import pytest
 
 from strandlake import plans
+from strandlake.operators import stats
 
 RNG = random.Random(11)
 
@@ -118,3 +119,22 @@ def test_ld_of_parts_without_spread(spark, tmp_path):
     assert set(rows) == {(7, 8), (7, 9), (8, 9), (8, 11), (9, 11)} and all(n == 6 for n, _ in rows.values())
     assert all((r2 != r2) == (7 in k or 9 in k) for k, (_, r2) in rows.items())
     assert rows[8, 11][1] == pytest.approx(correlation([1, 2, 3, 4, 5], [3, 1, 2, 6, 5]) ** 2, abs=1e-6)
+
+
+def test_fisher_tests_by_blocks(spark):
+    """Blocks of terms in tasks of their own give what one row gives, whatever their size."""
+    tables = [(None, 9, 4, 3, 11), ("a", 0, 0, 0, 0), ("b", 0, 5, 7, 0), ("c", 2, 2, 2, 2), ("d", 60, 41, 37, 66), ("e", 700, 640, 655, 690)]
+    df = spark.createDataFrame(tables, "y string, a long, b long, c long, d long")
+    for block in (1, 7, 1 << 14):
+        rows = {r.y: r.p for r in stats.fisher_tests(df, "a", "b", "c", "d", block=block).collect()}
+        assert set(rows) == {t[0] for t in tables}
+        for y, a, b, c, e in tables:
+            lo, hi = max(0, a - e), min(a + b, a + c)
+            ways = [comb(a + b, k) * comb(c + e, a + c - k) for k in range(lo, hi + 1)]
+            assert rows[y] == pytest.approx(sum(w for w in ways if w <= ways[a - lo]) / sum(ways), rel=1e-9)
+
+
+def test_fisher_terms_are_rows(spark, small):
+    """No row holds all tables with the same margins: terms are not summed within an array."""
+    plan = plans.queries()["fisher_2x2"](spark, small[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("Generate explode") == 2
