@@ -9,7 +9,7 @@ from statistics import correlation
 import pytest
 
 from strandlake import plans
-from strandlake.operators import stats
+from strandlake.operators import regions, stats
 
 RNG = random.Random(11)
 
@@ -138,3 +138,22 @@ def test_fisher_terms_are_rows(spark, small):
     """No row holds all tables with the same margins: terms are not summed within an array."""
     plan = plans.queries()["fisher_2x2"](spark, small[0])._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan and plan.count("Generate explode") == 2
+
+
+def test_pairs_are_dealt(spark, small):
+    """Pairs are many more than rows: the join has the partitions that it is told, whatever Spark thinks of the rows' size."""
+    for name in ("interval_overlap_join",):
+        assert plans.queries()[name](spark, small[0]).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_overlaps_of_mixed_lengths(spark):
+    """Every pair once, whatever the lengths are and on either side of zero."""
+    some = lambda n: [(i, RNG.choice("pq"), b := RNG.randrange(-3000, 3000), b + RNG.choice([-1, 0, 1, 3, 15, 16, 17, 300, 4000])) for i in range(n)]
+    one, two = some(150), some(120)
+    a, b = spark.createDataFrame(one, "i long, k string, ab long, ae long"), spark.createDataFrame(two, "j long, kb string, bb long, be long")
+    want = sorted((x[0], y[0]) for x in one for y in two if x[1] == y[1] and x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3])
+    assert len(want) > 400
+    for parts in (None, 5):
+        join = lambda **o: sorted((r.i, r.j) for r in regions.overlap_join(a, b, [("k", "kb")], ("ab", "ae"), ("bb", "be"), parts=parts, **o).collect())  # noqa: B023, E731
+        assert join() == want
+        assert join(residual=a["i"] % 3 != b["j"] % 3) == [(i, j) for i, j in want if i % 3 != j % 3]
