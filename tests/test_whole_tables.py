@@ -142,7 +142,7 @@ def test_fisher_terms_are_rows(spark, small):
 
 def test_pairs_are_dealt(spark, small):
     """Pairs are many more than rows: the join has the partitions that it is told, whatever Spark thinks of the rows' size."""
-    for name in ("interval_overlap_join",):
+    for name in ("interval_overlap_join", "annotate_min_overlap"):
         assert plans.queries()[name](spark, small[0]).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
 
 
