@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import stats_math as M
-from strandlake.operators import alleles, genotypes, hmm, setops, stats
+from strandlake.operators import alleles, genotypes, hmm, regions, setops, stats
 from strandlake.plans import register
 from strandlake.session import table
 
@@ -251,9 +251,7 @@ def runs_posterior(spark, sf):
 
 @register("edit_distance", "SELECT a.p_partkey AS x, b.p_partkey AS y, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def edit_distance(spark, sf):
-    p = table(spark, sf, "part")
-    a, b = p.select(F.col("p_partkey").alias("x"), "p_brand", "p_size", F.col("p_name").alias("na")), p.select(F.col("p_partkey").alias("y"), "p_brand", "p_size", F.col("p_name").alias("nb"))
-    return a.join(b, ["p_brand", "p_size"]).filter("x < y").select("x", "y", F.levenshtein("na", "nb").alias("d"))
+    return setops.edit_distances(table(spark, sf, "part"), ["p_brand", "p_size"], "p_partkey", "p_name", regions.parts_of(spark))
 
 
 @register("html_strip", "SELECT page_id, CAST(length(regexp_replace(html, '<[^>]*>', '', 'g')) AS INTEGER) AS n FROM pages")

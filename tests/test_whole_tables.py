@@ -9,7 +9,7 @@ from statistics import correlation
 import pytest
 
 from strandlake import plans
-from strandlake.operators import regions, stats
+from strandlake.operators import regions, setops, stats
 
 RNG = random.Random(11)
 
@@ -157,3 +157,26 @@ def test_overlaps_of_mixed_lengths(spark):
         join = lambda **o: sorted((r.i, r.j) for r in regions.overlap_join(a, b, [("k", "kb")], ("ab", "ae"), ("bb", "be"), parts=parts, **o).collect())  # noqa: B023, E731
         assert join() == want
         assert join(residual=a["i"] % 3 != b["j"] % 3) == [(i, j) for i, j in want if i % 3 != j % 3]
+
+
+def test_edit_distances_of_classes(spark, tmp_path):
+    def apart(a, b):
+        if a is None or b is None:
+            return None
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            d, old = [i + 1], d
+            for j, y in enumerate(b):
+                d.append(min(old[j] + (x != y), old[j + 1] + 1, d[j] + 1))
+        return d[-1]
+
+    names = [*("".join(RNG.choices("abc", k=RNG.randrange(6))) for _ in range(25)), None]
+    parts = [(k, RNG.choice(["B1", "B2", None]), RNG.randrange(2), RNG.choice(names)) for k in range(120)]
+    df = spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int, p_name string")
+    want = sorted(((a[0], b[0], apart(a[3], b[3])) for a in parts for b in parts if a[0] < b[0] and a[1] and a[1:3] == b[1:3]), key=str)
+    for block in (1, 4, 256):
+        rows = setops.edit_distances(df, ["p_brand", "p_size"], "p_partkey", "p_name", 5, block)
+        assert sorted(((*r,) for r in rows.collect()), key=str) == want
+    df.write.parquet(f"{tmp_path}/part.parquet")
+    rows = plans.queries()["edit_distance"](spark, str(tmp_path))
+    assert sorted(((*r,) for r in rows.collect()), key=str) == want and rows.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
