@@ -1,10 +1,10 @@
 """Consequences on haplotypes: all variants that a sample carries on one copy of a transcript are spliced in together, so that
 neighbouring changes of one codon, and indels that mend each other's frame, are told as the one change they make.
 
-Joins and groupings find, per transcript and copy, the path of variants; equal paths of samples are one row from there on (a count
-keeps how many copies have it), and paths are grouped by transcript and first variant, since those with different first variants
-share nothing. Within a group the paths are a prefix tree: a node is a variant in place, shared by all paths that lead through it, and
-each stretch of a path is spliced and translated once. A row never carries more than the paths of one subtree.
+Joins and groupings find, per transcript and copy, the path of variants; equal paths of samples are one row from there on (with the
+copies that have it), and paths are grouped by transcript and first variant, since those with different first variants
+share no node. Only records are moved, to their transcript's task. Within a group the paths are a prefix tree: a node is a variant in place, shared by
+all paths that lead through it; a block of variants is spliced and translated once for its transcript. A row never carries more than the paths of one subtree.
 
 A path is cut into blocks: variants belong to one block while the frame is shifted, or while the next one begins in the codon in
 which the last one ends. A block gives one row; where its variants touch the ends of an exon, further rows say so.
@@ -19,20 +19,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators.consequence import AMINO_ACIDS, BASES, coding_sequences
-from strandlake.operators.regions import overlap_join
+from strandlake.operators.regions import levels_in, overlap_join, parts_of
 
 # Fixed value: names of consequences in the order in which those of one block are joined.
 ORDER = ("synonymous", "missense", "stop_lost", "stop_gained", "inframe_deletion", "inframe_insertion", "frameshift", "splice_acceptor", "splice_donor", "start_lost", "splice_region", "stop_retained", "coding_sequence", "inframe_altering", "start_retained")
 DONOR, REGION_INTRON, REGION_EXON = 2, 8, 3  # bases of an intron's ends, and of the exon's next to it
 CODONS = {a + b + c: AMINO_ACIDS[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
 COMPLEMENT = str.maketrans("ACGTacgt", "TGCAtgca")
+SLICE = 32  # groups of paths that are Python objects at one time
 FIELDS = ("pos", "type", "aa", "dna", "stop_before", "n_variants")
-PATH = pa.list_(pa.struct([("pos", pa.int64()), ("ref", pa.string()), ("alt", pa.string())]))
 ROWS = pa.list_(pa.struct(list(zip(FIELDS, [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32()]))))
 
 
@@ -68,6 +69,21 @@ class Transcript:
         self.starts = phase == 0 and self.cds.startswith("ATG")
         self.stops = len(self.cds) % 3 == 0 and translate(self.cds[-3:]) == "*"
         self.protein = translate(self.cds)
+        self.placed, self.told = {}, {}
+
+    def node(self, *variant) -> Node | tuple[str, ...]:
+        """What place says of a variant, found once for all paths of the transcript."""
+        if variant not in self.placed:
+            self.placed[variant] = self.place(*variant)
+        return self.placed[variant]
+
+    def block(self, nodes: tuple[Node, ...], shift: int) -> tuple[list[tuple], bool]:
+        """Rows of a block, but for whether the protein has ended before it, and whether it ends it; found once for all paths."""
+        if (nodes, shift) not in self.told:
+            b, in_order = block_of(self, nodes, shift), sorted(nodes, key=lambda x: x.pos)
+            rows = [(in_order[0].pos, "&".join(x for x in ORDER if x in b.types), b.aa, "+".join(x.text for x in in_order), len(nodes))]
+            self.told[nodes, shift] = rows + [(x.pos, "&".join(x.edges), None, x.text, 1) for x in nodes if x.edges], b.stops
+        return self.told[nodes, shift]
 
     def place(self, pos: int, ref: str, alt: str) -> Node | tuple[str, ...]:
         """The node of a variant; its splice consequences where it cannot be spliced in; an empty tuple where there is nothing to say."""
@@ -210,23 +226,20 @@ class Tree:
             shift += v.grows
             if i + 1 < len(path) and ((shift - before) % 3 or ends_in(v, shift - v.grows) >= (path[i + 1].at + shift) // 3):
                 continue
-            nodes, key = path[first : i + 1], (way[first], way[i + 1])
+            key = (way[first], way[i + 1])
             if key not in self.blocks:
-                self.blocks[key] = block_of(self.t, nodes, before)
-            b = self.blocks[key]
-            in_order = sorted(nodes, key=lambda x: x.pos)
-            yield in_order[0].pos, "&".join(x for x in ORDER if x in b.types), b.aa, "+".join(x.text for x in in_order), stopped, len(nodes)
-            for x in nodes:
-                if x.edges:
-                    yield x.pos, "&".join(x.edges), None, x.text, stopped, 1
-            stopped, first, before = stopped or b.stops, i + 1, shift
+                self.blocks[key] = self.t.block(tuple(path[first : i + 1]), before)
+            rows, stops = self.blocks[key]
+            for pos, kind, aa, dna, n in rows:
+                yield pos, kind, aa, dna, stopped, n
+            stopped, first, before = stopped or stops, i + 1, shift
 
 
 def consequences(t: Transcript, tree: Tree, path: list[tuple[int, str, str]]) -> list[tuple]:
     """Rows of one path of (pos, ref, alt), ascending."""
     nodes, out, last = [], [], -1
     for pos, ref, alt in path:
-        v = t.place(pos, ref, alt)
+        v = t.node(pos, ref, alt)
         if isinstance(v, Node):
             if pos + len(ref) - 1 <= last or nodes and overlaps(nodes[-1], v):
                 continue
@@ -286,7 +299,11 @@ def carried(variants: DataFrame, gff: DataFrame, phase: str = "a") -> DataFrame:
     v = variants.select("chrom", "pos", "ref", "alt", (copies(F.col("samples"), phase) if has else at).alias("on")).filter(F.size("on") > 0)
     v = v.withColumn("vend", F.col("pos") + F.length("ref"))
     parts = gff.filter("type = 'CDS'").select(F.col("chrom").alias("tchrom"), (F.col("beg") - REGION_INTRON).alias("tbeg"), (F.col("end") + REGION_INTRON).alias("tend"), F.col("parent").alias("transcript"))
-    met = overlap_join(v, parts, [("chrom", "tchrom")], ("pos", "vend"), ("tbeg", "tend"), "inner")
+    # levels of all records, told without looking at their samples
+    levels = levels_in(variants.select("pos", (F.col("pos") + F.length("ref")).alias("vend")), "pos", "vend") | levels_in(parts, "tbeg", "tend")
+    met = overlap_join(v, parts, [("chrom", "tchrom")], ("pos", "vend"), ("tbeg", "tend"), levels=levels)
+    # records go to their transcript's task before they are told apart by copies; paths are put together and compared there, and never moved
+    met = met.select("transcript", "pos", "ref", "alt", "on").repartition(parts_of(variants.sparkSession), "transcript")
     each = met.select("transcript", "pos", F.upper("ref").alias("ref"), "alt", F.explode("on").alias("c")).select("transcript", "c.sample", "c.copy", F.struct("pos", "ref", F.upper(F.get("alt", F.col("c.allele") - 1)).alias("alt")).alias("v"))
     each = each.filter(F.col("v.alt").rlike("^[ACGTN]+$"))
     # a set: a record near two coding parts comes twice
@@ -297,27 +314,39 @@ def haplotype_consequences(variants: DataFrame, gff: DataFrame, fasta: DataFrame
     """transcript, gene, biotype, strand, sample, copy, pos, type, aa, dna, stop_before, n_variants: a row for each block of each copy.
     aa: amino acids before and after, with the number of the first; dna: the variants of the block; stop_before: a block
     upstream has ended the protein. Types are in order of ORDER, joined by '&'."""
-    paths = carried(variants, gff, phase)
-    distinct = paths.groupBy("transcript", "path").agg(F.count("*").alias("copies"))
-    trees = distinct.groupBy("transcript", F.get("path", F.lit(0)).alias("first")).agg(F.collect_list("path").alias("paths"))
-    rows = models(gff, fasta).select("transcript", "strand", "parts", "cds", "phase").join(trees, "transcript").select("transcript", "strand", "parts", "cds", "phase", "paths")
+    distinct = carried(variants, gff, phase).groupBy("transcript", "path").agg(F.collect_list(F.struct("sample", "copy")).alias("who"))
+    trees = distinct.groupBy("transcript", F.get("path", F.lit(0)).alias("first")).agg(F.collect_list(F.struct("path", "who")).alias("paths"))
+    named = models_names(gff).withColumnRenamed("strand", "_strand")
+    rows = models(gff, fasta).select("transcript", "strand", "parts", "cds", "phase").join(named, "transcript", "left").join(trees, "transcript")
 
     def run(batches):
-        for b in batches:
-            names, ways, found = [], [], []
-            for name, strand, parts, cds, at, paths in zip(*(c.to_pylist() for c in b.columns)):
-                t = Transcript(strand, [(p["beg"], p["end"]) for p in parts], cds, int(at))
-                tree = Tree(t)
-                for path in paths:
-                    names.append(name)
-                    ways.append(path)
-                    found.append([dict(zip(FIELDS, r)) for r in consequences(t, tree, [(v["pos"], v["ref"], v["alt"]) for v in path])])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ways, PATH), pa.array(found, ROWS)], ["transcript", "path", "rows"])
-
-    told = rows.mapInArrow(run, "transcript string, path array<struct<pos:bigint,ref:string,alt:string>>, rows array<struct<pos:bigint,type:string,aa:string,dna:string,stop_before:boolean,n_variants:int>>")
-    named = models_names(gff)
-    out = paths.join(told, ["transcript", "path"]).select("transcript", "sample", "copy", F.explode("rows").alias("r"))
-    return out.join(named, "transcript", "left").select("transcript", "gene", "biotype", "strand", "sample", "copy", "r.*")
+        last = t = None
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                b = whole.slice(k, SLICE)
+                each = b.column("paths").flatten()
+                ways, ends = each.field("path").flatten(), np.cumsum(np.append(0, each.field("path").value_lengths())).tolist()
+                variants = list(zip(*(ways.field(c).to_pylist() for c in ("pos", "ref", "alt"))))
+                of = np.repeat(np.arange(b.num_rows), b.column("paths").value_lengths())
+                models = [b.column(c) for c in ("transcript", "strand", "parts", "cds", "phase")]
+                found, size, row, tree = [], [0], -1, None
+                for n, i in enumerate(of.tolist()):
+                    if (name := models[0][i].as_py()) != last:  # a transcript's rows come one after the other
+                        strand, parts, cds, at = (c[i].as_py() for c in models[1:])
+                        last, t = name, Transcript(strand, [(p["beg"], p["end"]) for p in parts], cds, int(at))
+                    if i != row:
+                        row, tree = i, Tree(t)
+                    found += consequences(t, tree, variants[ends[n] : ends[n + 1]])
+                    size.append(len(found))
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * len(FIELDS), ROWS.value_type)]
+                told = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(ROWS.value_type)))
+                names = [b.column(c).take(pa.array(of)) for c in ("transcript", "gene", "biotype", "_strand")]
+                yield pa.RecordBatch.from_arrays([*names, each.field("who"), told], ["transcript", "gene", "biotype", "strand", "who", "rows"])
+
+    rows = rows.select("transcript", "gene", "biotype", "_strand", "strand", "parts", "cds", "phase", "paths").sortWithinPartitions("transcript")
+    told = rows.mapInArrow(run, "transcript string, gene string, biotype string, strand string, who array<struct<sample:string,copy:int>>, rows array<struct<pos:bigint,type:string,aa:string,dna:string,stop_before:boolean,n_variants:int>>")
+    out = told.select("transcript", "gene", "biotype", "strand", F.explode("who").alias("w"), "rows").select("transcript", "gene", "biotype", "strand", "w.*", F.explode("rows").alias("r"))
+    return out.select("transcript", "gene", "biotype", "strand", "sample", "copy", "r.*")
 
 
 def models_names(gff: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ def genome(spark, sf):
 def phased(spark, sf):
     """Sites with the copies of ten samples."""
     key = F.col("l_partkey")
-    on = table(spark, sf, "lineitem").groupBy(key.alias("k"), (F.col("l_linenumber") % 3).alias("base"), (F.col("l_suppkey") % 10).alias("s"), (1 + F.col("l_orderkey") % 2).alias("copy")).agg(F.max(1 + F.col("l_quantity").cast("long") % 3).alias("shift"))
+    li = table(spark, sf, "lineitem").select(key.alias("k"), (F.col("l_linenumber") % 3).alias("base"), (F.col("l_suppkey") % 10).alias("s"), (1 + F.col("l_orderkey") % 2).alias("copy"), (1 + F.col("l_quantity").cast("long") % 3).alias("shift"))
+    on = li.repartition("k").groupBy("k", "base", "s", "copy").agg(F.max("shift").alias("shift"))  # lines are moved once, for all groupings
     two = on.groupBy("k", "base", "s").agg(*(F.coalesce(F.max(F.when(F.col("copy") == c, F.col("shift"))), F.lit(0)).cast("int").alias(f"c{c}") for c in (1, 2)))
     sites = two.groupBy("k", "base").agg(F.collect_list(F.struct(F.concat(F.lit("s"), F.col("s").cast("string")).alias("sample"), F.array("c1", "c2").alias("gt"), F.lit(True).alias("phased"))).alias("samples"))
     p = table(spark, sf, "part")

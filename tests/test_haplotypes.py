@@ -248,3 +248,28 @@ def test_local_substitutions_are_translated(spark):
     df = spark.createDataFrame([("1", 7, "AAA", ["AAG", "TTT", "TAA"]), ("1", 9, "AGA", ["TCT"]), ("1", 1, "ATG", ["ATT"])], "chrom string, pos bigint, ref string, alt array<string>")
     got = {(r["pos"], r["alt"]): (r["consequence"], r["aa"]) for r in consequence.local_consequences(df, gff, fasta).collect()}
     assert got == {(7, "AAG"): ("synonymous", "3K"), (7, "TTT"): ("missense", "3K>3F"), (7, "TAA"): ("stop_gained", "3K>3*"), (9, "TCT"): ("missense", "3KE>3NL"), (1, "ATT"): ("start_lost", "1M>1I")}
+
+
+def test_paths_are_not_moved(spark):
+    """Records are sent to their transcript before they are told apart by copies; paths are neither sent nor joined by."""
+    df = spark.createDataFrame([("c", 5, "A", ["C"], [sample("s", [0, 1])])], VARIANTS)
+    gff = spark.createDataFrame([("c", "mRNA", 1, 30, "+", None, "t", "g", "protein_coding", None), ("c", "CDS", 1, 30, "+", 0, None, "t", None, None)], GFF)
+    fasta = spark.createDataFrame([("c", "ATGAAACCCGGGTTTAAACCCGGGTTTTAA")], "chrom string, seq string")
+    got = haplotypes.haplotype_consequences(df, gff, fasta)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert sent and not any("path" in x or "copy" in x for x in sent)
+    assert [(r["sample"], r["copy"], r["pos"], r["aa"]) for r in got.collect()] == [("s", 2, 5, "2K>2T")]
+
+
+def test_more_paths_than_a_slice(spark):
+    """Rows of a batch are told apart where a slice ends within it."""
+    some = [(f"c{k}", 4 + j % 20, "A", ["C"], [sample(f"s{j}", [1, 0]), sample("x", [0, 1])]) for k in range(3) for j in range(60)]
+    df = spark.createDataFrame(some, VARIANTS)
+    gff = spark.createDataFrame([x for k in range(3) for x in ((f"c{k}", "mRNA", 1, 30, "+", None, f"t{k}", f"g{k}", "protein_coding", None), (f"c{k}", "CDS", 1, 30, "+", 0, None, f"t{k}", None, None))], GFF)
+    fasta = spark.createDataFrame([(f"c{k}", "ATG" + "A" * 27) for k in range(3)], "chrom string, seq string")
+    rows = haplotypes.haplotype_consequences(df.coalesce(1), gff, fasta).collect()
+    want = {(f"t{k}", f"s{j}", 1, 4 + j % 20) for k in range(3) for j in range(60)}
+    assert {(r["transcript"], r["sample"], r["copy"], r["pos"]) for r in rows if r["sample"] != "x"} == want and len([r for r in rows if r["sample"] != "x"]) == 180
+    assert {(r["transcript"], r["copy"]) for r in rows if r["sample"] == "x"} == {(f"t{k}", 2) for k in range(3)}
+    assert all(sum(r["n_variants"] for r in rows if r["sample"] == "x" and r["transcript"] == f"t{k}") == 20 for k in range(3))
