@@ -4,8 +4,8 @@ Candidates are what reads' CIGARs say, in leftmost form, with enough reads behin
 the reference around it with each allele in place. Every read that spans the site is aligned anew to each of them, so reads whose mapper has
 smeared an indel into mismatches, or put it elsewhere in a repeat, count for the allele that they fit best.
 
-Reads meet sites by an interval join and are aligned row by row: no group of reads is ever held, and a site of any depth is spread over
-tasks. Within a batch, all pairs of read and haplotype go through one affine-gap alignment at once, an array operation for each base of the
+Equal reads at one place are one row, with how many of them each sample has. Rows meet sites by an interval join and are aligned one by one: no group
+of reads is ever held, and a site of any depth is spread over tasks. Within a batch, all pairs of read and haplotype go through one affine-gap alignment at once, an array operation for each base of the
 read, in a band around the place where the read was mapped. What a read says of each genotype is added up by Spark.
 
 Defined results: reads that are unmapped, filtered by flag or quality, without sequence, or that do not span a site with a base on either side
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.calling import CIGAR
 from strandlake.operators.normalise import left_align, reference_text
-from strandlake.operators.regions import overlap_join
+from strandlake.operators.regions import levels_in, overlap_join, parts_of
 from strandlake.session import scratch_path
 
 FLANK, PAD, OPEN, EXTEND = 40, 8, 40.0, 20.0  # bases around a site; width of the band on either side; phred of gaps
@@ -60,19 +60,22 @@ def sound_reads(reads: DataFrame, min_mapq: int, skip_flags: int) -> DataFrame:
 
 def candidates(reads: DataFrame, fasta: DataFrame, min_reads: int = 2, longest: int = 60) -> DataFrame:
     """chrom, pos, ref, alt: sites with the indels, of up to `longest` bases, that at least min_reads reads of one sample have; leftmost, and those of one
-    position together. reads: as sound_reads gives them."""
+    position together. reads: as sound_reads gives them; n, if there, is how many reads a row stands for."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for chrom, sample, pos, cigar, seq in zip(*(c.to_pylist() for c in b.columns)):
-                if "I" in cigar or "D" in cigar:
-                    rows += [(chrom, sample, *c) for c in changes(pos, cigar, seq) if max(c[1], len(c[2])) <= longest]
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["chrom", "sample", "pos", "gone", "new"])
-
-    each = reads.select("chrom", "sample", "beg", "cigar", "seq").mapInArrow(run, "chrom string, sample string, pos long, gone int, new string")
-    counted = each.groupBy("chrom", "sample", "pos", "gone", F.upper("new").alias("new")).agg(F.count("*").alias("n"))
+            for chrom, sample, pos, cigar, seq, n in zip(*(c.to_pylist() for c in b.columns)):
+                rows += [(chrom, sample, *c, n) for c in changes(pos, cigar, seq) if max(c[1], len(c[2])) <= longest]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["chrom", "sample", "pos", "gone", "new", "n"])
+
+    n = F.col("n") if "n" in reads.columns else F.lit(1)
+    each = reads.filter(F.col("cigar").rlike("[ID]")).select("chrom", "sample", "beg", "cigar", "seq", n.cast("long").alias("n")).mapInArrow(run, "chrom string, sample string, pos long, gone int, new string, n long")
+    counted = each.groupBy("chrom", "sample", "pos", "gone", F.upper("new").alias("new")).agg(F.sum("n").alias("n"))
+    path = scratch_path(reads.sparkSession, "indel-counts")  # else reads would be gone through for each of the joins that follow
+    counted.write.parquet(path)
+    counted = reads.sparkSession.read.schema(counted.schema).parquet(path)
     x = reference_text(counted, fasta, F.col("pos"), F.col("gone") + 1, "ref").filter("length(ref) = gone + 1")
     x = x.withColumn("alt", F.array(F.concat(F.substring("ref", 1, 1), "new")))
     x = left_align(x.select("chrom", "pos", "ref", "alt", "sample", "n"), fasta)
@@ -171,14 +174,21 @@ def call_indels(reads: DataFrame, fasta: DataFrame, sites: DataFrame | None = No
     first in order."""
     spark = reads.sparkSession
     sound = sound_reads(reads, min_mapq, skip_flags)
-    s = candidates(sound, fasta, min_reads, longest) if sites is None else sites.select("chrom", "pos", "ref", "alt")
+    alike = ["chrom", "beg", "end", "cigar", "seq", "qual"]
+    classes = sound.groupBy(*alike, "sample").agg(F.count("*").alias("n")).groupBy(*alike).agg(F.collect_list(F.struct("sample", "n")).alias("who"))
+    # reads are gone through once; all that follows reads this table
+    path = scratch_path(spark, "indel-classes")
+    classes.write.parquet(path)
+    classes = spark.read.schema(classes.schema).parquet(path)
+    s = candidates(classes.select("*", F.explode("who").alias("w")).select(*alike, "w.*"), fasta, min_reads, longest) if sites is None else sites.select("chrom", "pos", "ref", "alt")
     s = reference_text(s, fasta, F.col("pos") - FLANK, F.lit(FLANK) - F.greatest(F.lit(0), FLANK + 1 - F.col("pos")), "_left")
     s = reference_text(s, fasta, F.col("pos") + F.length("ref"), F.lit(FLANK), "_right")
     s = s.select(F.col("chrom").alias("s_chrom"), F.col("pos").alias("s_pos"), F.col("ref").alias("s_ref"), F.col("alt").alias("s_alt"), F.coalesce("_left", F.lit("")).alias("s_left"), F.coalesce("_right", F.lit("")).alias("s_right"), (F.col("pos") + F.length("ref")).alias("s_end"))
     path = scratch_path(spark, "indel-sites")
     s.write.parquet(path)
     s = spark.read.schema(s.schema).parquet(path)
-    met = overlap_join(sound, s, [("chrom", "s_chrom")], ("beg", "end"), ("s_pos", "s_end")).filter("beg <= s_pos AND end >= s_end")
+    levels = levels_in(classes, "beg", "end") | levels_in(s, "s_pos", "s_end")
+    met = overlap_join(classes, s, [("chrom", "s_chrom")], ("beg", "end"), ("s_pos", "s_end"), parts=parts_of(spark), levels=levels).filter("beg <= s_pos AND end >= s_end")
 
     def run(batches):
         for whole in batches:
@@ -197,18 +207,19 @@ def call_indels(reads: DataFrame, fasta: DataFrame, sites: DataFrame | None = No
                 gl = [genotype_terms(log[x:y]).tolist() for x, y in spans]
                 best = [int(log[x:y].argmax()) if np.ptp(log[x:y]) > 1 else -1 for x, y in spans]
                 b = b.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("s_chrom"), b.column("s_pos"), b.column("sample"), pa.array(gl, pa.list_(pa.float64())), pa.array(best, pa.int32())], ["chrom", "pos", "sample", "gl", "best"])
+                yield pa.RecordBatch.from_arrays([b.column("s_chrom"), b.column("s_pos"), b.column("who"), pa.array(gl, pa.list_(pa.float64())), pa.array(best, pa.int32())], ["chrom", "pos", "who", "gl", "best"])
 
-    cols = ("beg", "cigar", "seq", "qual", "sample", "s_chrom", "s_pos", "s_ref", "s_alt", "s_left", "s_right")
-    told = met.select(*cols).mapInArrow(run, "chrom string, pos long, sample string, gl array<double>, best int")
+    cols = ("beg", "cigar", "seq", "qual", "who", "s_chrom", "s_pos", "s_ref", "s_alt", "s_left", "s_right")
+    told = met.select(*cols).mapInArrow(run, "chrom string, pos long, who array<struct<sample:string,n:bigint>>, gl array<double>, best int")
+    told = told.select("chrom", "pos", F.explode("who").alias("w"), "gl", "best").select("chrom", "pos", "w.sample", "w.n", "gl", "best")
     key = ["chrom", "pos", "sample"]
     told_path = scratch_path(spark, "indel-reads")
     told.write.parquet(told_path)
     told = spark.read.schema(told.schema).parquet(told_path)
     # sums by genotype and counts by allele are combined before they are moved
-    gl = told.select(*key, F.posexplode("gl").alias("g", "v")).groupBy(*key, "g").agg(F.sum("v").alias("v"))
+    gl = told.select(*key, "n", F.posexplode("gl").alias("g", "v")).groupBy(*key, "g").agg(F.sum(F.col("v") * F.col("n")).alias("v"))
     gl = gl.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("g", "v"))).alias("_gl"))
-    ad = told.groupBy(*key, "best").agg(F.count("*").alias("n")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("_ad"), F.sum("n").alias("DP"))
+    ad = told.groupBy(*key, "best").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("_ad"), F.sum("n").alias("DP"))
     x = gl.join(ad, key).join(s.select(F.col("s_chrom").alias("chrom"), F.col("s_pos").alias("pos"), F.col("s_ref").alias("ref"), F.col("s_alt").alias("alt")), ["chrom", "pos"])
     top = F.array_max("_gl.v")
     pl = F.transform("_gl", lambda g: F.least(F.lit(255), F.round((top - g["v"]) / -TO_LN)).cast("int"))

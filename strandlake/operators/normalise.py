@@ -25,7 +25,8 @@ def reference_text(df: DataFrame, fasta: DataFrame, beg: Column, length: Column,
     for k in (0, 1):
         y = y.join(side(k), (F.col("chrom") == F.col(f"_c{k}")) & (F.col("_tile") == F.col(f"_t{k}")), "left")
     at = (F.col("_beg") - F.col("_tile") * WIDTH).cast("int")
-    text = F.substring(F.concat("_s0", F.coalesce("_s1", F.lit(""))), at, F.col("_len"))
+    over = at + F.col("_len") - 1 - WIDTH  # bases in the next tile
+    text = F.concat(F.substring("_s0", at, F.col("_len")), F.when(over > 0, F.substring(F.coalesce("_s1", F.lit("")), F.lit(1), over)).otherwise(""))
     short = y.withColumn(name, F.nullif(text, F.lit(""))).select(*df.columns, name)
     wide = x.filter(F.col("_len") > WIDTH)
     where = wide.select(F.col("chrom").alias("_c"), F.col("_beg").alias("_b"), F.col("_len").alias("_l")).distinct()

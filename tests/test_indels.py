@@ -113,3 +113,17 @@ def test_given_sites_and_nothing(spark, fixture):
     assert r["pos"] == 200 and {s["sample"]: s["gt"] for s in r["samples"]} == {"x": [0, 1], "y": [0, 0]} and all(len(s["PL"]) == 6 for s in r["samples"])
     assert indels.call_indels(reads.limit(0), fasta).count() == 0
     assert indels.call_indels(reads, fasta.limit(0)).count() == 0
+
+
+def test_equal_reads_are_aligned_once(spark, tmp_path, monkeypatch):
+    """Copies of a read are one row with a count for each sample, and count as often as they come."""
+    monkeypatch.setattr(indels, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    text = "".join(random.Random(5).choices("ACGT", k=200))
+    fasta = spark.createDataFrame([("c", text)], "chrom string, seq string")
+    gone, plain = text[80:100] + text[103:123], text[80:120]
+    reads = [("r", 0, "c", 81, 60, "20M3D20M", gone, "*", s) for s, n in (("a", 7), ("b", 30)) for _ in range(n)] + [("r", 0, "c", 81, 60, "40M", plain, "*", "b")] * 30
+    df = spark.createDataFrame(reads, "name string, flag int, chrom string, pos long, mapq int, cigar string, seq string, qual string, rg string")
+    (r,) = indels.call_indels(df, fasta).collect()
+    assert {s["sample"]: (s["gt"], s["AD"], s["DP"]) for s in r["samples"]} == {"a": ([1, 1], [0, 7], 7), "b": ([0, 1], [30, 30], 60)}
+    rows = spark.read.parquet(f"{tmp_path}/indel-reads")
+    assert sorted((x["sample"], x["n"]) for x in rows.collect()) == [("a", 7), ("b", 30), ("b", 30)]
